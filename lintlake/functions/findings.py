@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.functions.text import quoted
 from lintlake.schemas import FINDING, FINDINGS
 
 # Findings of one file keep this order in reports: syntax rules, line rules,
@@ -45,18 +46,23 @@ def finding(
     )
 
 
-def no_findings() -> Column:
-    return F.array().cast(FINDINGS)
+def finding_sql(
+    line_num: str, violation_type: str, severity: str, message: str, fix: str, context: Mapping[str, str], order: str
+) -> str:
+    """The same struct as :func:`finding`, as SQL text; all arguments are SQL expressions."""
+    entries = ", ".join(f"{quoted(key)}, CAST({value} AS STRING)" for key, value in context.items())
+    return (
+        f"named_struct('line_num', CAST({line_num} AS INT), 'violation_type', {violation_type}, 'message', {message}, "
+        f"'fix_suggestion', {fix}, 'severity', {severity}, 'function_name', CAST(NULL AS STRING), "
+        f"'language_context', CAST(map({entries}) AS MAP<STRING, STRING>), 'rule_order', CAST({order} AS BIGINT))"
+    )
 
 
-def when_hit(condition: Column, hit: Column) -> Column:
-    """An array with one finding, or an empty one."""
-    return F.when(condition, F.array(hit)).otherwise(no_findings())
+NO_FINDINGS_SQL = f"CAST(array() AS {FINDINGS.simpleString()})"
 
 
-def present(hits: Iterable[Column]) -> Column:
-    """The non-null entries of a fixed list of findings."""
-    return F.array_compact(F.array(*hits))
+def no_findings() -> Column:
+    return F.array().cast(FINDINGS)
 
 
 def explode_findings(files: DataFrame, findings: Column, *keep: str) -> DataFrame:

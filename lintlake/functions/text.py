@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +15,11 @@ BLANK = r"[\s\x1C-\x1F]"
 PY_FLAGS = "(?U)(?d)"
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
 def py_regex(pattern: str) -> str:
     """The Java spelling of a Python ``re`` pattern written without flags."""
     return PY_FLAGS + pattern
@@ -26,6 +29,11 @@ def py_strip(text: Column) -> Column:
     return F.regexp_replace(text, f"(?U)^{BLANK}+|{BLANK}+$", "")
 
 
+def py_strip_sql(text: str) -> str:
+    pattern = quoted(f"(?U)^{BLANK}+|{BLANK}+$")
+    return f"regexp_replace({text}, {pattern}, '')"
+
+
 def is_blank(text: Column) -> Column:
     return ~text.rlike(r"(?U)[^\s\x1C-\x1F]")
 
@@ -35,17 +43,19 @@ def normalize_newlines(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, also inside higher-order functions."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def let_sql(value: str, name: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` bound to ``value``, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def line_array_sql(text: str) -> str:
+    """SQL text: lines as ``str.splitlines()`` gives them, no empty line after a final break."""
+    whole = "CASE WHEN element_at(parts, -1) = '' THEN slice(parts, 1, size(parts) - 1) ELSE parts END"
+    return let_sql(f"split({text}, {quoted(LINE_BREAKS)}, -1)", "parts", whole)
 
 
-def line_array(text: Column) -> Column:
-    """Lines as ``str.splitlines()`` gives them: no empty line after a final break."""
-    return let(
-        F.split(text, LINE_BREAKS, -1),
-        lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
-    )
+def line_array(text: str) -> Column:
+    return F.expr(line_array_sql(text))
 
 
 def line_count(text: Column) -> Column:

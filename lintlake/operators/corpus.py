@@ -140,7 +140,7 @@ def gate_access(manifest: DataFrame, scanned: DataFrame) -> DataFrame:
 
 def split_lines(files: DataFrame, *keep: str) -> DataFrame:
     """(path, ..., line_num, line), numbered from 1."""
-    numbered = explode_items(files, ["path", *keep], X.line_array(F.col("text")), "pos", "line")
+    numbered = explode_items(files, ["path", *keep], X.line_array("text"), "pos", "line")
     return numbered.select("path", *keep, (F.col("pos") + 1).alias("line_num"), "line")
 
 

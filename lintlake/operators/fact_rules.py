@@ -1,18 +1,20 @@
-"""Rules over syntax facts.
+"""Rules over syntax facts, held as data.
 
-Each rule is a function from one fact (a struct column) to an array of findings, so it runs
-inside the per-file scan as well as over the flat facts table.
+A rule is a few SQL expressions over one fact (``fact``, a struct) and the file it is in
+(``path``, ``test_strict``, ``test_loose``).  The same text runs inside the per-file scan,
+where ``fact`` is an array element, and over the flat facts table, where it is a column.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import paths as P
-from lintlake.functions.findings import SYNTAX, explode_findings, finding, no_findings, order_key, when_hit
+from lintlake.functions.findings import NO_FINDINGS_SQL, SYNTAX, explode_findings, finding_sql
+from lintlake.functions.text import quoted
 from lintlake.operators.facts import fact_struct
 from lintlake.operators.rulebook import (
     ALLOWED_IN_TESTS,
@@ -23,396 +25,328 @@ from lintlake.operators.rulebook import (
     UNITTEST_IN_TESTS,
 )
 
-FactRule = Callable[[Column, Column], Column]
 
-# Fixed value: os.path.<attribute>, written out, nothing before or after.
-OS_PATH_ATTRIBUTE = r"^os\.path\.[^.]+$"
+@dataclass(frozen=True)
+class FactRule:
+    """Fires on facts of ``kinds`` when ``when`` holds; all texts but the first are SQL.
 
+    With ``each``, an array, the rule gives one finding per element, called ``item``.
+    """
 
-def _row(fact: Column, kind: str, severity: str, message, fix: str | Column = "", context=None, line=None, rank=0):
-    return finding(
-        fact["lineno"] if line is None else line,
-        kind,
-        severity,
-        message,
-        fix,
-        context,
-        order=order_key(SYNTAX, fact["node_id"] * F.lit(100) + F.lit(rank)),
-    )
-
-
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-
-
-def _is(fact: Column, *kinds: str) -> Column:
-    return fact["kind"].isin(*kinds)
-
-
-def _dotted_prefixes(name: Column) -> Column:
-    """'a.b.c' -> ['a', 'a.b', 'a.b.c']."""
-    parts = F.split(name, "\\.")
-    return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "."))
-
-
-def banned_import(fact: Column, path: Column) -> Column:
-    """First table entry that equals the imported name or is a dotted prefix of it."""
-    names = BANNED_NAMES["python"]
-    ranks = F.create_map(*[F.lit(x) for rank, name in enumerate(names) for x in (name, rank)])
-    ordered = F.array(*[F.lit(name) for name in names])
-    advice = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    name = fact["name"]
-    in_tests = P.is_test_loose(path)
-    # Few names share a first part with the table, so the prefixes are rarely built.
-    heads = sorted({banned.split(".")[0] for banned in names})
-    rank = F.array_min(F.transform(_dotted_prefixes(name), lambda prefix: F.try_element_at(ranks, prefix)))
-    match = F.try_element_at(ordered, rank + 1)
-    in_scope = (
-        _is(fact, "import", "import_from")
-        & F.substring_index(name, ".", 1).isin(heads)
-        & ~name.isin(NEVER_BANNED)
-        & ~(in_tests & name.isin(ALLOWED_IN_TESTS))
-    )
-    fix = F.when(in_tests & (name == "unittest"), UNITTEST_IN_TESTS).otherwise(F.try_element_at(advice, match))
-    context = {"import_name": name, "banned_module": match, "is_test_file": in_tests}
-    row = _row(fact, "banned_import", "error", _text("Banned import '", name, "'"), fix, context, rank=2)
-    return F.when(in_scope, when_hit(rank.isNotNull(), row)).otherwise(no_findings())
-
-
-def gil_confusion(fact: Column, path: Column) -> Column:
-    return when_hit(
-        _is(fact, "import") & (fact["name"] == "threading"),
-        _row(
-            fact,
-            "gil_confusion",
-            "warning",
-            "Threads do not run Python code in parallel",
-            "Use multiprocessing for computing, asyncio for waiting",
-            {"pattern": "threading_import", "import_name": fact["name"]},
-        ),
-    )
-
-
-def local_directory_import(fact: Column, path: Column) -> Column:
-    dotted = F.contains(fact["name"], F.lit(".")) & ~fact["name"].startswith(".")
-    return when_hit(
-        _is(fact, "import") & dotted,
-        _row(
-            fact,
-            "local_directory_import",
-            "warning",
-            _text("Import of '", fact["name"], "' may depend on the working directory"),
-            "Run with -m or use a src layout",
-            {"pattern": "local_import", "import_name": fact["name"]},
-            rank=1,
-        ),
-    )
-
-
-def _missing_docstring(fact: Column, kind: str, label: str, fix: str) -> Column:
-    public = ~fact["name"].startswith("_")
-    return when_hit(
-        _is(fact, kind) & fact["doc_len"].isNull() & public,
-        _row(
-            fact,
-            "missing_docstring",
-            "warning",
-            _text(f"{label} '", fact["name"], "' has no docstring"),
-            fix,
-            {"pattern": f"missing_{kind}_docstring", f"{kind}_name": fact["name"], "is_public": "true"},
-        ),
-    )
-
-
-def missing_function_docstring(fact: Column, path: Column) -> Column:
-    return _missing_docstring(fact, "function", "Function", "Describe arguments, result and exceptions")
-
-
-def missing_class_docstring(fact: Column, path: Column) -> Column:
-    return _missing_docstring(fact, "class", "Class", "Describe what the class is for")
-
-
-def missing_module_docstring(fact: Column, path: Column) -> Column:
-    return when_hit(
-        _is(fact, "module") & fact["doc_len"].isNull(),
-        _row(
-            fact,
-            "missing_module_docstring",
-            "warning",
-            "Module has no docstring",
-            "Say at the top what the module does",
-            {"pattern": "missing_module_docstring", "file_type": "module"},
-        ),
-    )
-
-
-def inadequate_module_docstring(fact: Column, path: Column) -> Column:
-    # Fixed value: a module docstring needs 20 characters.
-    return when_hit(
-        _is(fact, "module") & (fact["doc_len"] < 20),
-        _row(
-            fact,
-            "inadequate_module_docstring",
-            "warning",
-            "Module docstring is shorter than 20 characters",
-            "Say more about what the module does",
-            {"pattern": "brief_module_docstring", "docstring_length": fact["doc_len"]},
-        ),
-    )
-
-
-def dataclass_opportunity(fact: Column, path: Column) -> Column:
-    """A plain attribute-setting __init__; the last one in the class gives the parameter count."""
-    inits = F.filter(
-        fact["members"], lambda m: (m["kind"] == "method") & (m["name"] == "__init__") & (m["n_params"] > 1)
-    )
-    n_params = F.try_element_at(inits, F.lit(-1))["n_params"]
-    simple = F.exists(inits, lambda m: m["only_self_assigns"])
-    return when_hit(
-        _is(fact, "class") & simple & (n_params >= 3),
-        _row(
-            fact,
-            "dataclass_opportunity",
-            "warning",
-            _text("Class '", fact["name"], "' could be a dataclass"),
-            "Declare the attributes with @dataclass",
-            {"pattern": "manual_init_class", "class_name": fact["name"], "param_count": n_params - 1},
-            rank=1,
-        ),
-    )
-
-
-def enum_opportunity(fact: Column, path: Column) -> Column:
-    n_texts = F.size(F.filter(fact["members"], lambda m: (m["kind"] == "assign") & (m["const_type"] == "str")))
-    return when_hit(
-        _is(fact, "class") & (n_texts >= 3),
-        _row(
-            fact,
-            "enum_opportunity",
-            "warning",
-            _text("Class '", fact["name"], "' holds ", n_texts.cast("string"), " text constants"),
-            "Make it an enum.Enum",
-            {"pattern": "string_constants_class", "class_name": fact["name"], "constant_count": n_texts},
-            rank=2,
-        ),
-    )
-
-
-def match_case_opportunity(fact: Column, path: Column) -> Column:
-    """One finding per branch that three or more elifs still follow."""
-    lines = fact["branch_lines"]
-    n = F.size(lines)
-
-    def row(line: Column, i: Column) -> Column:
-        conditions = (n - i).cast("string")
-        return _row(
-            fact,
-            "match_case_opportunity",
-            "warning",
-            _text("if/elif chain of ", conditions, " conditions"),
-            "Use match/case",
-            {"pattern": "long_if_elif_chain", "condition_count": conditions},
-            line=line,
-        )
-
-    return F.when(_is(fact, "if_chain") & (n >= 4), F.transform(F.slice(lines, F.lit(1), n - 3), row)).otherwise(
-        no_findings()
-    )
+    violation_type: str
+    severity: str
+    kinds: tuple[str, ...]
+    when: str
+    message: str
+    fix: str = "''"
+    context: dict[str, str] = field(default_factory=dict)
+    line: str = "fact.lineno"
+    each: str = ""
 
 
-def identity_comparison_gotcha(fact: Column, path: Column) -> Column:
-    """``is`` against a number or text whose identity is an accident."""
-    value = fact["const_value"]
-    # Literals carry no sign, so "above 256" is the whole range test.
-    big_int = (fact["const_type"] == "int") & ((F.length(value) > 3) | (value.try_cast("int") > 256))
-    odd_float = (fact["const_type"] == "float") & ~value.try_cast("double").isin(0.0, 1.0)
-    is_text = fact["const_type"] == "str"
-    label = F.when(big_int, F.lit("integer")).when(odd_float, F.lit("float")).otherwise("string")
-    message = F.when(big_int, _text("Identity test against the integer ", value)).otherwise(
-        _text("Identity test against a ", label)
-    )
-    return when_hit(
-        _is(fact, "identity_test") & (big_int | odd_float | is_text),
-        _row(
-            fact,
-            "identity_comparison_gotcha",
-            "error",
-            message,
-            "Compare values with ==; keep 'is' for None, True and False",
-            {
-                "pattern": _text(label, "_identity_comparison"),
-                "value": F.when(big_int, value).otherwise(F.substring(value, 1, 50)),
-            },
-        ),
-    )
+def _in(name: str, values: list[str]) -> str:
+    return f"{name} IN ({', '.join(map(quoted, values))})"
 
 
-def compile_call(fact: Column, path: Column) -> Column:
-    return when_hit(
-        _is(fact, "call") & (fact["name"] == "compile") & (fact["n_args"] >= 2),
-        _row(
-            fact,
-            "security_violation",
-            "warning",
-            "compile() turns text into code",
-            "Parse with ast.parse, or check the text first",
-            {"pattern": "compile_usage", "function": "compile"},
-        ),
-    )
+def _map(pairs: dict[str, str]) -> str:
+    return "map(" + ", ".join(f"{quoted(key)}, {value}" for key, value in pairs.items()) + ")"
 
 
-def path_traversal(fact: Column, path: Column) -> Column:
-    from_outside = F.exists(fact["arg_kinds"], lambda kind: kind.isin("Name", "Call", "Subscript"))
-    return when_hit(
-        _is(fact, "call") & fact["name"].rlike(OS_PATH_ATTRIBUTE) & from_outside,
-        _row(
-            fact,
-            "security_violation",
-            "error",
-            "File path built from a variable may leave its directory",
-            "Resolve the path and check it against the allowed directories",
-            {"pattern": "path_traversal_risk", "method": fact["name"]},
-        ),
-    )
+# os.path.<attribute>, written out, with nothing before or after it.
+_OS_PATH_ATTRIBUTE = r"fact.name RLIKE '^os\\.path\\.[^.]+$'"
+_PREFIXES = r"transform(split(fact.name, '\\.'), (p, i) -> array_join(slice(split(fact.name, '\\.'), 1, i + 1), '.'))"
 
+_NAMES = BANNED_NAMES["python"]
+_RANKS = _map({name: str(rank) for rank, name in enumerate(_NAMES)})
+_ADVICE = _map({name: quoted(advice) for name, advice in _NAMES.items()})
+# The first table entry that equals the imported name or is a dotted prefix of it.
+_BANNED_RANK = f"array_min(transform({_PREFIXES}, p -> try_element_at({_RANKS}, p)))"
+_BANNED_NAME = f"try_element_at(array({', '.join(map(quoted, _NAMES))}), {_BANNED_RANK} + 1)"
+_HEADS = sorted({name.split(".")[0] for name in _NAMES})
 
-def path_handling(fact: Column, path: Column) -> Column:
-    return when_hit(
-        _is(fact, "attribute") & fact["name"].rlike(OS_PATH_ATTRIBUTE),
-        _row(
-            fact,
-            "path_handling",
-            "warning",
-            "os.path in place of pathlib",
-            "Import Path from pathlib",
-            {"pattern": "os_path_usage", "method": F.substring_index(fact["name"], ".", -1)},
-        ),
-    )
-
-
-def environment_variable_handling(fact: Column, path: Column) -> Column:
-    return when_hit(
-        _is(fact, "attribute") & (fact["name"] == "os.environ"),
-        _row(
-            fact,
-            "environment_variable_handling",
-            "warning",
-            "os.environ used directly",
-            "Call os.getenv with a default",
-            {"pattern": "os_environ_direct_access"},
-        ),
-    )
+_INITS = "filter(fact.members, m -> m.kind = 'method' AND m.name = '__init__' AND m.n_params > 1)"
+_INIT_PARAMS = f"try_element_at({_INITS}, -1).n_params"
+_TEXT_CONSTANTS = "size(filter(fact.members, m -> m.kind = 'assign' AND m.const_type = 'str'))"
 
+# Literals carry no sign, so "above 256" is the whole test of an integer.
+_BIG_INT = "(fact.const_type = 'int' AND (length(fact.const_value) > 3 OR try_cast(fact.const_value AS INT) > 256))"
+_ODD_FLOAT = "(fact.const_type = 'float' AND try_cast(fact.const_value AS DOUBLE) NOT IN (0.0D, 1.0D))"
+_LITERAL = f"CASE WHEN {_BIG_INT} THEN 'integer' WHEN {_ODD_FLOAT} THEN 'float' ELSE 'string' END"
 
-def debug_pattern(fact: Column, path: Column) -> Column:
-    return when_hit(
-        _is(fact, "call") & (fact["name"] == "print"),
-        _row(
-            fact,
-            "debug_pattern",
-            "warning",
-            "print() left in the code",
-            "Use a logger, or rich.print",
-            {"pattern": "print_usage", "function": "print"},
-        ),
-    )
+_IS_MOCK_OBJECT = f"(fact.kind = 'call' AND {_in('fact.name', MOCK_CONSTRUCTORS)})"
+_IS_PATCH = f"(fact.kind <> 'call' AND {_in('fact.name', MOCK_CALLS)} AND fact.const_truthy)"
+_MOCK_TARGET = f"CASE WHEN {_IS_MOCK_OBJECT} THEN fact.name ELSE fact.const_value END"
 
+gil_confusion = FactRule(
+    "gil_confusion",
+    "warning",
+    ("import",),
+    "fact.name = 'threading'",
+    quoted("Threads do not run Python code in parallel"),
+    quoted("Use multiprocessing for computing, asyncio for waiting"),
+    {"pattern": "'threading_import'", "import_name": "fact.name"},
+)
+local_directory_import = FactRule(
+    "local_directory_import",
+    "warning",
+    ("import",),
+    "contains(fact.name, '.') AND NOT startswith(fact.name, '.')",
+    "concat('Import of ', fact.name, ' may depend on the working directory')",
+    quoted("Run with -m or use a src layout"),
+    {"pattern": "'local_import'", "import_name": "fact.name"},
+)
+banned_import = FactRule(
+    "banned_import",
+    "error",
+    ("import", "import_from"),
+    f"{_in('substring_index(fact.name, chr(46), 1)', _HEADS)} AND NOT {_in('fact.name', NEVER_BANNED)} "
+    f"AND NOT (test_loose AND {_in('fact.name', ALLOWED_IN_TESTS)}) AND {_BANNED_RANK} IS NOT NULL",
+    "concat('Banned import ', fact.name)",
+    f"CASE WHEN test_loose AND fact.name = 'unittest' THEN {quoted(UNITTEST_IN_TESTS)} "
+    f"ELSE try_element_at({_ADVICE}, {_BANNED_NAME}) END",
+    {"import_name": "fact.name", "banned_module": _BANNED_NAME, "is_test_file": "test_loose"},
+)
+missing_function_docstring = FactRule(
+    "missing_docstring",
+    "warning",
+    ("function",),
+    "fact.doc_len IS NULL AND NOT startswith(fact.name, '_')",
+    "concat('Function ', fact.name, ' has no docstring')",
+    quoted("Describe arguments, result and exceptions"),
+    {"pattern": "'missing_function_docstring'", "function_name": "fact.name", "is_public": "true"},
+)
+missing_class_docstring = FactRule(
+    "missing_docstring",
+    "warning",
+    ("class",),
+    "fact.doc_len IS NULL AND NOT startswith(fact.name, '_')",
+    "concat('Class ', fact.name, ' has no docstring')",
+    quoted("Describe what the class is for"),
+    {"pattern": "'missing_class_docstring'", "class_name": "fact.name", "is_public": "true"},
+)
+missing_module_docstring = FactRule(
+    "missing_module_docstring",
+    "warning",
+    ("module",),
+    "fact.doc_len IS NULL",
+    quoted("Module has no docstring"),
+    quoted("Say at the top what the module does"),
+    {"pattern": "'missing_module_docstring'", "file_type": "'module'"},
+)
+# Fixed value: a module docstring needs 20 characters.
+inadequate_module_docstring = FactRule(
+    "inadequate_module_docstring",
+    "warning",
+    ("module",),
+    "fact.doc_len < 20",
+    quoted("Module docstring is shorter than 20 characters"),
+    quoted("Say more about what the module does"),
+    {"pattern": "'brief_module_docstring'", "docstring_length": "fact.doc_len"},
+)
+# A plain attribute-setting __init__; the last one in the class gives the parameter count.
+dataclass_opportunity = FactRule(
+    "dataclass_opportunity",
+    "warning",
+    ("class",),
+    f"exists({_INITS}, m -> m.only_self_assigns) AND {_INIT_PARAMS} >= 3",
+    "concat('Class ', fact.name, ' could be a dataclass')",
+    quoted("Declare the attributes with @dataclass"),
+    {"pattern": "'manual_init_class'", "class_name": "fact.name", "param_count": f"{_INIT_PARAMS} - 1"},
+)
+enum_opportunity = FactRule(
+    "enum_opportunity",
+    "warning",
+    ("class",),
+    f"{_TEXT_CONSTANTS} >= 3",
+    f"concat('Class ', fact.name, ' holds ', {_TEXT_CONSTANTS}, ' text constants')",
+    quoted("Make it an enum.Enum"),
+    {"pattern": "'string_constants_class'", "class_name": "fact.name", "constant_count": _TEXT_CONSTANTS},
+)
+# One finding per branch that three or more elifs still follow.
+match_case_opportunity = FactRule(
+    "match_case_opportunity",
+    "warning",
+    ("if_chain",),
+    "size(fact.branch_lines) >= 4",
+    "concat('if/elif chain of ', item.conditions, ' conditions')",
+    quoted("Use match/case"),
+    {"pattern": "'long_if_elif_chain'", "condition_count": "item.conditions"},
+    line="item.line",
+    each="transform(slice(fact.branch_lines, 1, size(fact.branch_lines) - 3), "
+    "(line, i) -> named_struct('line', line, 'conditions', size(fact.branch_lines) - i))",
+)
+# ``is`` against a number or text whose identity is an accident.
+identity_comparison_gotcha = FactRule(
+    "identity_comparison_gotcha",
+    "error",
+    ("identity_test",),
+    f"{_BIG_INT} OR {_ODD_FLOAT} OR fact.const_type = 'str'",
+    f"CASE WHEN {_BIG_INT} THEN concat('Identity test against the integer ', fact.const_value) "
+    f"ELSE concat('Identity test against a ', {_LITERAL}) END",
+    quoted("Compare values with ==; keep 'is' for None, True and False"),
+    {
+        "pattern": f"concat({_LITERAL}, '_identity_comparison')",
+        "value": f"CASE WHEN {_BIG_INT} THEN fact.const_value ELSE substring(fact.const_value, 1, 50) END",
+    },
+)
+compile_call = FactRule(
+    "security_violation",
+    "warning",
+    ("call",),
+    "fact.name = 'compile' AND fact.n_args >= 2",
+    quoted("compile() turns text into code"),
+    quoted("Parse with ast.parse, or check the text first"),
+    {"pattern": "'compile_usage'", "function": "'compile'"},
+)
+path_traversal = FactRule(
+    "security_violation",
+    "error",
+    ("call",),
+    f"{_OS_PATH_ATTRIBUTE} AND arrays_overlap(fact.arg_kinds, array('Name', 'Call', 'Subscript'))",
+    quoted("File path built from a variable may leave its directory"),
+    quoted("Resolve the path and check it against the allowed directories"),
+    {"pattern": "'path_traversal_risk'", "method": "fact.name"},
+)
+path_handling = FactRule(
+    "path_handling",
+    "warning",
+    ("attribute",),
+    _OS_PATH_ATTRIBUTE,
+    quoted("os.path in place of pathlib"),
+    quoted("Import Path from pathlib"),
+    {"pattern": "'os_path_usage'", "method": "substring_index(fact.name, '.', -1)"},
+)
+environment_variable_handling = FactRule(
+    "environment_variable_handling",
+    "warning",
+    ("attribute",),
+    "fact.name = 'os.environ'",
+    quoted("os.environ used directly"),
+    quoted("Call os.getenv with a default"),
+    {"pattern": "'os_environ_direct_access'"},
+)
+debug_pattern = FactRule(
+    "debug_pattern",
+    "warning",
+    ("call",),
+    "fact.name = 'print'",
+    quoted("print() left in the code"),
+    quoted("Use a logger, or rich.print"),
+    {"pattern": "'print_usage'", "function": "'print'"},
+)
+# Patches with a literal target and mock objects, in test files.
+mock_violation = FactRule(
+    "mock_violation",
+    "error",
+    ("decorator", "with_item", "call"),
+    f"test_strict AND ({_IS_PATCH} OR {_IS_MOCK_OBJECT})",
+    f"concat('Mock of ', {_MOCK_TARGET})",
+    f"concat('Wrap the dependency and test the wrapper, or allow ', {_MOCK_TARGET}, ' in the project configuration')",
+    {
+        "pattern": "'mock_detection'",
+        "mock_type": "CASE fact.kind WHEN 'decorator' THEN 'decorator' WHEN 'with_item' THEN 'context_manager' "
+        "ELSE 'constructor' END",
+        "mock_target": _MOCK_TARGET,
+    },
+)
+# A file whose syntax tree could not be built for another reason than its syntax.
+analysis_error = FactRule(
+    "analysis_error", "warning", ("failure",), "true", "concat('Analysis failed: ', fact.name)"
+)
 
-def mock_violation(fact: Column, path: Column) -> Column:
-    """Patches with a literal target and mock objects, in test files."""
-    patches = _is(fact, "decorator", "with_item") & fact["name"].isin(MOCK_CALLS) & F.coalesce(
-        fact["const_truthy"], F.lit(False)
-    )
-    builds = _is(fact, "call") & fact["name"].isin(MOCK_CONSTRUCTORS)
-    target = F.when(builds, fact["name"]).otherwise(fact["const_value"])
-    mock_type = (
-        F.when(fact["kind"] == "decorator", "decorator")
-        .when(fact["kind"] == "with_item", "context_manager")
-        .otherwise("constructor")
+FACT_RULES: list[FactRule] = [
+    missing_module_docstring,
+    inadequate_module_docstring,
+    gil_confusion,
+    local_directory_import,
+    banned_import,
+    missing_function_docstring,
+    missing_class_docstring,
+    dataclass_opportunity,
+    enum_opportunity,
+    match_case_opportunity,
+    identity_comparison_gotcha,
+    compile_call,
+    mock_violation,
+    debug_pattern,
+    path_traversal,
+    path_handling,
+    environment_variable_handling,
+    analysis_error,
+]
+
+def _findings_sql(rule: FactRule, rank: int) -> str:
+    order = f"{SYNTAX} * 10000000000 + fact.node_id * 100 + {rank}"
+    row = finding_sql(
+        rule.line, quoted(rule.violation_type), quoted(rule.severity), rule.message, rule.fix, rule.context, order
     )
-    return when_hit(
-        P.is_test_strict(path) & (patches | builds),
-        _row(
-            fact,
-            "mock_violation",
-            "error",
-            _text("Mock of '", target, "'"),
-            _text("Wrap the dependency and test the wrapper, or allow '", target, "' in the project configuration"),
-            {"pattern": "mock_detection", "mock_type": mock_type, "mock_target": target},
-        ),
+    rows = f"transform({rule.each}, item -> {row})" if rule.each else f"array({row})"
+    return f"CASE WHEN {rule.when} THEN {rows} ELSE {NO_FINDINGS_SQL} END"
+
+
+def findings_of_fact_sql(rules: list[FactRule]) -> str:
+    """SQL text: the findings of one fact; it is only shown to the rules of its kind."""
+    by_kind: dict[str, list[str]] = {}
+    for rank, rule in enumerate(rules):
+        for kind in rule.kinds:
+            by_kind.setdefault(kind, []).append(_findings_sql(rule, rank))
+    branches = " ".join(
+        f"WHEN {quoted(kind)} THEN " + (f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0])
+        for kind, parts in by_kind.items()
     )
+    return f"CASE fact.kind {branches} ELSE {NO_FINDINGS_SQL} END"
 
 
-def analysis_error(fact: Column, path: Column) -> Column:
-    return when_hit(
-        _is(fact, "failure"),
-        _row(fact, "analysis_error", "warning", _text("Analysis failed: ", fact["name"])),
+def with_test_flags(df: DataFrame) -> DataFrame:
+    return df.withColumn("test_strict", P.is_test_strict(F.col("path"))).withColumn(
+        "test_loose", P.is_test_loose(F.col("path"))
     )
 
 
-# Which rules look at which facts: a fact is only shown to the rules of its kind.
-RULES_BY_KIND: dict[str, list[FactRule]] = {
-    "module": [missing_module_docstring, inadequate_module_docstring],
-    "import": [gil_confusion, local_directory_import, banned_import],
-    "import_from": [banned_import],
-    "function": [missing_function_docstring],
-    "class": [missing_class_docstring, dataclass_opportunity, enum_opportunity],
-    "if_chain": [match_case_opportunity],
-    "identity_test": [identity_comparison_gotcha],
-    "call": [compile_call, mock_violation, debug_pattern, path_traversal],
-    "attribute": [path_handling, environment_variable_handling],
-    "decorator": [mock_violation],
-    "with_item": [mock_violation],
-    "failure": [analysis_error],
-}
-
-
-def findings_of_fact(fact: Column, path: Column) -> Column:
-    result = None
-    for kind, rules in RULES_BY_KIND.items():
-        found = F.concat(*[rule(fact, path) for rule in rules]) if len(rules) > 1 else rules[0](fact, path)
-        result = F.when(fact["kind"] == kind, found) if result is None else result.when(fact["kind"] == kind, found)
-    return result.otherwise(no_findings())
-
-
-def fact_findings(path: Column, facts: Column) -> Column:
-    """ARRAY of findings of all syntax rules on one file; null without facts."""
-    return F.flatten(F.transform(facts, lambda fact: findings_of_fact(fact, path)))
+def fact_findings(rules: list[FactRule] | None = None) -> Column:
+    """ARRAY of findings on one file with columns facts, test_strict and test_loose."""
+    return F.expr(f"flatten(transform(facts, fact -> {findings_of_fact_sql(FACT_RULES if rules is None else rules)}))")
 
 
 def apply_fact_rules(facts: DataFrame, *rules: FactRule) -> DataFrame:
     """Findings of the given rules (default: all) over the flat facts table."""
-    fact, path = fact_struct(), F.col("path")
-    if rules:
-        kinds = [kind for kind, members in RULES_BY_KIND.items() if set(members) & set(rules)]
-        facts = facts.filter(F.col("kind").isin(kinds))
-        found = F.concat(*[rule(fact, path) for rule in rules]) if len(rules) > 1 else rules[0](fact, path)
-    else:
-        found = findings_of_fact(fact, path)
-    return explode_findings(facts.withColumn("language", F.lit("python")), found)
+    chosen = list(rules) or FACT_RULES
+    kinds = sorted({kind for rule in chosen for kind in rule.kinds})
+    shown = facts.filter(F.col("kind").isin(kinds)).select("path", F.lit("python").alias("language"), fact_struct().alias("fact"))
+    return explode_findings(with_test_flags(shown), F.expr(findings_of_fact_sql(chosen)))
 
 
 def rule_banned_import(facts: DataFrame, banned_names: DataFrame | None = None) -> DataFrame:
-    """Banned imports; with a table of names given, a join on the dotted prefixes."""
+    """Banned imports; with a table of names given, a join on the dotted prefixes.
+
+    Spark broadcasts the table only below its size threshold, and only imports are joined.
+    """
     if banned_names is None:
         return apply_fact_rules(facts, banned_import)
-    in_tests = P.is_test_loose(F.col("path"))
-    imports = facts.filter(F.col("kind").isin("import", "import_from") & ~F.col("name").isin(NEVER_BANNED))
-    imports = imports.filter(~(in_tests & F.col("name").isin(ALLOWED_IN_TESTS)))
-    candidates = imports.select("path", "node_id", "lineno", "name", F.explode(_dotted_prefixes(F.col("name"))).alias("prefix"))
+    imports = with_test_flags(facts.filter(F.col("kind").isin("import", "import_from")))
+    imports = imports.filter(
+        ~F.col("name").isin(NEVER_BANNED) & ~(F.col("test_loose") & F.col("name").isin(ALLOWED_IN_TESTS))
+    )
+    fact = F.struct("node_id", "lineno", "name").alias("fact")
+    candidates = imports.select("path", "test_loose", fact).withColumn("prefix", F.explode(F.expr(_PREFIXES)))
     table = banned_names.filter(F.col("language") == "python").select(
         F.col("name").alias("prefix"), "rank", "suggestion"
     )
     first = (
         candidates.join(table, "prefix")
-        .groupBy("path", "node_id", "lineno", "name")
+        .groupBy("path", "test_loose", "fact")
         .agg(F.min(F.struct("rank", "prefix", "suggestion")).alias("first"))
     )
-    fact = F.struct("node_id", "lineno", "name")
-    fix = F.when(in_tests & (F.col("name") == "unittest"), UNITTEST_IN_TESTS).otherwise(F.col("first.suggestion"))
-    context = {"import_name": F.col("name"), "banned_module": F.col("first.prefix"), "is_test_file": in_tests}
-    row = _row(fact, "banned_import", "error", _text("Banned import '", F.col("name"), "'"), fix, context, rank=2)
-    return explode_findings(first.withColumn("language", F.lit("python")), F.array(row))
+    row = finding_sql(
+        "fact.lineno",
+        quoted(banned_import.violation_type),
+        quoted(banned_import.severity),
+        banned_import.message,
+        f"CASE WHEN test_loose AND fact.name = 'unittest' THEN {quoted(UNITTEST_IN_TESTS)} ELSE first.suggestion END",
+        {"import_name": "fact.name", "banned_module": "first.prefix", "is_test_file": "test_loose"},
+        f"{SYNTAX} * 10000000000 + fact.node_id * 100 + {FACT_RULES.index(banned_import)}",
+    )
+    return explode_findings(first.withColumn("language", F.lit("python")), F.expr(f"array({row})"))
 
 
 def chain_lengths(facts: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import text as X
-from lintlake.functions.findings import WHOLE_FILE, explode_findings, finding, no_findings, order_key, when_hit
+from lintlake.functions.findings import NO_FINDINGS_SQL, WHOLE_FILE, explode_findings, finding_sql
+from lintlake.functions.text import quoted
 from lintlake.operators.rulebook import REQUIRED_PATTERNS
 
 # A quote, then %s or %d, then a quote, on one line.  Only the first % code after the first
@@ -22,88 +25,90 @@ LINEAR_REQUIRED = {
 }
 
 
-def _warn(rank: int, kind: str, message: str, fix: str, context: dict[str, Column | str]) -> Column:
-    return finding(1, kind, "warning", message, fix, context, order=order_key(WHOLE_FILE, F.lit(rank)))
-
-
-def missing_pathlib(text: Column) -> Column:
-    touches_files = F.contains(text, F.lit("open(")) | F.contains(F.lower(text), F.lit("file"))
-    return when_hit(
-        touches_files & ~F.contains(text, F.lit("pathlib")),
-        _warn(
-            0,
-            "missing_pathlib",
-            "File handling without pathlib",
-            "Import Path from pathlib",
-            {"missing_import": "pathlib"},
-        ),
-    )
-
-
-def old_formatting(text: Column) -> Column:
-    has_code = F.contains(text, F.lit("%s")) | F.contains(text, F.lit("%d"))
-    return when_hit(
-        has_code & ~F.contains(text, F.lit('f"')) & text.rlike(OLD_FORMATTING),
-        _warn(1, "old_formatting", "Percent-style formatting", "Use f-strings", {"formatting_style": "old_percent"}),
-    )
 
+@dataclass(frozen=True)
+class FileRule:
+    """A warning on line 1 when ``when``, SQL over ``text``, holds.
+
+    ``bind`` is a (name, SQL) pair computed once, after ``guard`` has let the file through.
+    """
+
+    violation_type: str
+    when: str
+    message: str
+    fix: str
+    context: dict[str, str]
+    guard: str = "true"
+    bind: tuple[str, str] | None = None
+
+
+# Something other than blanks must follow "class", because the trimmed line is looked at.
+_CLASS_LINE = quoted(f"(?U)(?s)^{X.BLANK}*class .*[^\\s\\x1C-\\x1F]")
+_COUNTS = X.let_sql(
+    X.line_array_sql("text"),
+    "lines",
+    f"named_struct('classes', size(filter(lines, l -> l RLIKE {_CLASS_LINE})), 'inherits', "
+    "size(filter(lines, l -> contains(lower(l), ' inheritance ') OR contains(l, 'super()'))))",
+)
+
+missing_pathlib = FileRule(
+    "missing_pathlib",
+    "(contains(text, 'open(') OR contains(lower(text), 'file')) AND NOT contains(text, 'pathlib')",
+    "File handling without pathlib",
+    "Import Path from pathlib",
+    {"missing_import": "'pathlib'"},
+)
+old_formatting = FileRule(
+    "old_formatting",
+    f"NOT contains(text, 'f\"') AND text RLIKE {quoted(OLD_FORMATTING)}",
+    "Percent-style formatting",
+    "Use f-strings",
+    {"formatting_style": "'old_percent'"},
+    guard="contains(text, '%s') OR contains(text, '%d')",
+)
+error_handling = FileRule(
+    "error_handling",
+    "contains(text, 'except Exception') AND NOT contains(lower(text), 'log')",
+    "Broad except without logging",
+    "Log the exception with its context",
+    {"pattern": "'exception_without_logging'"},
+)
+composition_violation = FileRule(
+    "composition_violation",
+    "n.classes > 0 AND n.inherits > n.classes * 0.5D",
+    "More inheritance than classes call for",
+    "Compose objects in place of inheriting",
+    {"class_count": "n.classes", "inheritance_count": "n.inherits"},
+    guard="contains(text, 'class ') AND (contains(text, 'super()') OR contains(lower(text), ' inheritance '))",
+    bind=("n", _COUNTS),
+)
 
-def error_handling(text: Column) -> Column:
-    return when_hit(
-        F.contains(text, F.lit("except Exception")) & ~F.contains(F.lower(text), F.lit("log")),
-        _warn(
-            2,
-            "error_handling",
-            "Broad except without logging",
-            "Log the exception with its context",
-            {"pattern": "exception_without_logging"},
-        ),
-    )
+FILE_RULES = [missing_pathlib, old_formatting, error_handling, composition_violation]
 
 
-def composition_violation(text: Column) -> Column:
-    # Something other than blanks must follow, because the trimmed line is looked at.
-    class_line = f"(?U)(?s)^{X.BLANK}*class .*[^\\s\\x1C-\\x1F]"
-    counts = X.let(
-        X.line_array(text),
-        lambda lines: F.struct(
-            F.size(F.filter(lines, lambda line: line.rlike(class_line))).alias("classes"),
-            F.size(
-                F.filter(
-                    lines,
-                    lambda line: F.contains(F.lower(line), F.lit(" inheritance ")) | F.contains(line, F.lit("super()")),
-                )
-            ).alias("inherits"),
-        ),
-    )
-    # Cheap tests first, so most files are not split into lines.
-    possible = F.contains(text, F.lit("class ")) & (
-        F.contains(text, F.lit("super()")) | F.contains(F.lower(text), F.lit(" inheritance "))
+def _findings_sql(rule: FileRule) -> str:
+    row = finding_sql(
+        "1",
+        quoted(rule.violation_type),
+        "'warning'",
+        quoted(rule.message),
+        quoted(rule.fix),
+        rule.context,
+        f"{WHOLE_FILE} * 10000000000 + {FILE_RULES.index(rule)}",
     )
-
-    def judge(n: Column) -> Column:
-        row = _warn(
-            3,
-            "composition_violation",
-            "More inheritance than classes call for",
-            "Compose objects in place of inheriting",
-            {"class_count": n["classes"], "inheritance_count": n["inherits"]},
-        )
-        return when_hit((n["classes"] > 0) & (n["inherits"] > n["classes"] * F.lit(0.5)), row)
-
-    return F.when(possible, X.let(counts, judge)).otherwise(no_findings())
-
-
-FILE_RULES = [missing_pathlib, old_formatting, error_handling, composition_violation]
+    judged = f"CASE WHEN {rule.when} THEN array({row}) ELSE {NO_FINDINGS_SQL} END"
+    judged = X.let_sql(rule.bind[1], rule.bind[0], judged) if rule.bind else judged
+    return f"CASE WHEN {rule.guard} THEN {judged} ELSE {NO_FINDINGS_SQL} END"
 
 
-def file_findings(language: Column, text: Column) -> Column:
-    found = F.concat(*[rule(text) for rule in FILE_RULES])
-    return F.when((language == "python") & text.isNotNull(), found)
+def file_findings(*rules: FileRule) -> Column:
+    """ARRAY of findings of the whole-file rules on a Python file; null elsewhere."""
+    found = ", ".join(map(_findings_sql, rules or FILE_RULES))
+    return F.expr(f"CASE WHEN language = 'python' AND text IS NOT NULL THEN concat({found}) END")
 
 
-def _python(files: DataFrame, rule) -> DataFrame:
-    return explode_findings(files.filter(F.col("language") == "python"), rule(F.col("text")))
+def _python(files: DataFrame, rule: FileRule) -> DataFrame:
+    return explode_findings(files.filter(F.col("language") == "python"), file_findings(rule))
 
 
 def rule_missing_pathlib(files: DataFrame) -> DataFrame:

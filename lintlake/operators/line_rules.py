@@ -10,6 +10,7 @@ One definition (:class:`LineRule`), two ways to run it:
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
@@ -17,47 +18,48 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import paths as P
 from lintlake.functions import text as X
-from lintlake.functions.findings import LINES, explode_findings, finding, no_findings, order_key, present
+from lintlake.functions.findings import LINES, NO_FINDINGS_SQL, explode_findings, finding_sql
+from lintlake.functions.text import quoted
 from lintlake.operators.rulebook import LINE_RULES, LineRule, rules_for
 
 
-def _entity(rule: LineRule, line: Column) -> Column:
-    if not rule.group:
-        return X.py_strip(line)
-    name = F.regexp_extract(line, X.py_regex(rule.pattern), rule.group)
-    return F.substring_index(name, rule.cut, 1) if rule.cut else name
+def _regex(pattern: str) -> str:
+    return quoted(X.py_regex(pattern))
 
 
-def _message(rule: LineRule, entity: Column) -> Column:
-    before, found, after = rule.message.partition("{name}")
-    return F.concat(F.lit(before), entity, F.lit(after)) if found else F.lit(rule.message)
-
-
-def _hit(rule: LineRule, path: Column, line_num: Column, line: Column, advice: Column | None = None) -> Column:
-    """The rule's finding on this line, or null."""
-    entity = _entity(rule, line)
-    fires = line.rlike(X.py_regex(rule.pattern))
+def _hit_sql(rule: LineRule, line: str, line_num: str) -> str:
+    """SQL text: the rule's finding on this line, or null."""
+    fires = f"{line} RLIKE {_regex(rule.pattern)}"
     if rule.test_files_only:
-        fires = P.is_test_naming(path) & fires
-    fix = F.lit(rule.fix)
+        fires = f"test_naming AND {fires}"
+    entity = X.py_strip_sql(line)
+    if rule.group:
+        entity = f"regexp_extract({line}, {_regex(rule.pattern)}, {rule.group})"
+        entity = f"substring_index({entity}, {quoted(rule.cut)}, 1)" if rule.cut else entity
+    fix = quoted(rule.fix)
     if rule.names is not None:
-        table = F.create_map(*[F.lit(x) for pair in rule.names.items() for x in pair])
-        fix = F.try_element_at(table, entity)
-        fires = fires & fix.isNotNull()
-    row = finding(
+        table = ", ".join(f"{quoted(name)}, {quoted(advice)}" for name, advice in rule.names.items())
+        fix = f"try_element_at(map({table}), {entity})"
+        fires = f"{fires} AND {fix} IS NOT NULL"
+    before, found, after = rule.message.partition("{name}")
+    row = finding_sql(
         line_num,
-        rule.violation_type,
-        rule.severity,
-        _message(rule, entity),
+        quoted(rule.violation_type),
+        quoted(rule.severity),
+        f"concat({quoted(before)}, {entity}, {quoted(after)})" if found else quoted(rule.message),
         fix,
-        {rule.context_key: entity, **rule.extra_context},
-        order=order_key(LINES, F.lit(rule.order) * F.lit(1_000_000_000) + line_num),
+        {rule.context_key: entity, **{key: quoted(value) for key, value in rule.extra_context.items()}},
+        f"{LINES} * 10000000000 + {rule.order} * 1000000000 + {line_num}",
     )
-    return F.when(fires, row)
+    return f"CASE WHEN {fires} THEN {row} END"
+
+
+def _hits_sql(rules: list[LineRule], line: str, line_num: str) -> str:
+    return f"array_compact(array({', '.join(_hit_sql(rule, line, line_num) for rule in rules)}))"
 
 
 def _any_of(rules: Iterable[LineRule]) -> str:
-    return X.py_regex("|".join(f"(?:{rule.pattern})" for rule in rules))
+    return _regex("|".join(f"(?:{rule.pattern})" for rule in rules))
 
 
 def _by_language(rules: Iterable[LineRule]) -> list[tuple[str, list[LineRule]]]:
@@ -65,31 +67,29 @@ def _by_language(rules: Iterable[LineRule]) -> list[tuple[str, list[LineRule]]]:
     return [(language, list(group)) for language, group in groupby(ordered, key=lambda rule: rule.language)]
 
 
-def _language_findings(path: Column, text: Column, rules: list[LineRule]) -> Column:
-    joint = _any_of(rules)
-    numbered = F.transform(
-        X.line_array(text), lambda line, pos: F.struct((pos + 1).alias("line_num"), line.alias("line"))
-    )
-    candidates = F.filter(numbered, lambda item: item["line"].rlike(joint))
-    return F.flatten(
-        F.transform(
-            candidates, lambda item: present(_hit(rule, path, item["line_num"], item["line"]) for rule in rules)
-        )
-    )
+def _needles_sql(rules: list[LineRule]) -> str:
+    """Some rule may fire: a cheap search of the whole text before it is split."""
+    tests = [
+        f"(test_naming AND contains(text, {quoted(rule.needle)}))" if rule.test_files_only
+        else f"contains(text, {quoted(rule.needle)})"
+        for rule in rules
+    ]
+    return f"({' OR '.join(tests)})"
+
+
+def with_naming_flag(df: DataFrame) -> DataFrame:
+    return df.withColumn("test_naming", P.is_test_naming(F.col("path")))
 
 
-def line_findings(path: Column, language: Column, text: Column, rules: list[LineRule] | None = None) -> Column:
-    """ARRAY of findings of all line rules on one file."""
-    result = None
+def line_findings(rules: list[LineRule] | None = None) -> Column:
+    """ARRAY of findings of all line rules on one file with language, text and test_naming."""
+    branches = ""
     for name, group in _by_language(LINE_RULES if rules is None else rules):
-        worth_splitting = F.lit(False)
-        for rule in group:
-            needle = F.contains(text, F.lit(rule.needle))
-            worth_splitting = worth_splitting | (needle & P.is_test_naming(path) if rule.test_files_only else needle)
-        condition = (language == name) & worth_splitting
-        found = _language_findings(path, text, group)
-        result = F.when(condition, found) if result is None else result.when(condition, found)
-    return no_findings() if result is None else result.otherwise(no_findings())
+        numbered = f"transform({X.line_array_sql('text')}, (l, i) -> named_struct('line_num', i + 1, 'line', l))"
+        candidates = f"filter({numbered}, x -> x.line RLIKE {_any_of(group)})"
+        found = f"flatten(transform({candidates}, x -> {_hits_sql(group, 'x.line', 'x.line_num')}))"
+        branches += f" WHEN language = {quoted(name)} AND {_needles_sql(group)} THEN {found}"
+    return F.expr(f"CASE{branches} ELSE {NO_FINDINGS_SQL} END" if branches else NO_FINDINGS_SQL)
 
 
 def apply_line_rules(lines: DataFrame, rules: list[LineRule] | None = None, *keep: str) -> DataFrame:
@@ -97,16 +97,10 @@ def apply_line_rules(lines: DataFrame, rules: list[LineRule] | None = None, *kee
 
     The joint pattern drops most lines before any finding is built.
     """
-    path, line_num, line = F.col("path"), F.col("line_num"), F.col("line")
     groups = _by_language(LINE_RULES if rules is None else rules)
-    wanted = F.lit(False)
-    hits = None
-    for name, group in groups:
-        here = F.col("language") == name
-        wanted = wanted | (here & line.rlike(_any_of(group)))
-        found = present(_hit(rule, path, line_num, line) for rule in group)
-        hits = F.when(here, found) if hits is None else hits.when(here, found)
-    return explode_findings(lines.filter(wanted), hits, *keep)
+    wanted = " OR ".join(f"(language = {quoted(name)} AND line RLIKE {_any_of(group)})" for name, group in groups)
+    hits = " ".join(f"WHEN {quoted(name)} THEN {_hits_sql(group, 'line', 'line_num')}" for name, group in groups)
+    return explode_findings(with_naming_flag(lines.filter(wanted)), F.expr(f"CASE language {hits} END"), *keep)
 
 
 def _with_names(lines: DataFrame, rule: LineRule, banned_names: DataFrame | None) -> DataFrame:
@@ -117,8 +111,7 @@ def _with_names(lines: DataFrame, rule: LineRule, banned_names: DataFrame | None
     """
     if banned_names is None:
         return apply_line_rules(lines, [rule])
-    free = LineRule(**{**rule.__dict__, "names": None})
-    candidates = apply_line_rules(lines, [free])
+    candidates = apply_line_rules(lines, [replace(rule, names=None)])
     table = banned_names.filter(F.col("language") == rule.language).select(
         F.col("name").alias("_name"), F.col("suggestion").alias("_advice")
     )

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from lintlake.functions import paths as P
 from lintlake.functions.findings import explode_findings, no_findings
 from lintlake.operators.corpus import gate_findings, route_language, with_gate
-from lintlake.operators.fact_rules import fact_findings
+from lintlake.operators.fact_rules import fact_findings, with_test_flags
 from lintlake.operators.facts import with_facts
 from lintlake.operators.file_rules import file_findings
-from lintlake.operators.line_rules import line_findings
+from lintlake.operators.line_rules import line_findings, with_naming_flag
 from lintlake.operators.rulebook import LineRule
 
 # A language pack of the caller: (path, language, text) columns to ARRAY<finding>.
@@ -38,17 +38,19 @@ def with_findings(
     small ones, and the same plan runs on a stream.
     """
     path, language, text = F.col("path"), F.col("language"), F.col("text")
-    prepared = with_facts(prepare(files, extensions))
+    prepared = with_naming_flag(with_test_flags(with_facts(prepare(files, extensions))))
     parts = [
         gate_findings(path, F.col("gate"), F.col("gate_bytes")),
-        fact_findings(path, F.col("facts")),
-        line_findings(path, language, text, rules),
-        file_findings(language, text),
+        fact_findings(),
+        line_findings(rules),
+        file_findings(),
     ]
     for name, pack in (packs or {}).items():
         parts.append(F.when(language == name, pack(path, language, text)))
     found = F.concat(*[F.coalesce(part, no_findings()) for part in parts])
-    return prepared.withColumn("findings", found).drop("text", "content", "facts", "gate_bytes")
+    return prepared.withColumn("findings", found).drop(
+        "text", "content", "facts", "gate_bytes", "test_strict", "test_loose", "test_naming"
+    )
 
 
 def scan_all(
