@@ -32,7 +32,7 @@ def apply_allow_list(violations: DataFrame, config: DataFrame) -> DataFrame:
         ),
     )
     joined = salted_join(keyed, patterns, ["_key"], how="left")
-    allowed = F.exists("_allowed", lambda regex: target.rlike(regex))
+    allowed = F.exists("_allowed", lambda regex: F.rlike(target, regex))
     return joined.filter(~F.coalesce(allowed, F.lit(False))).select(violations.columns)
 
 

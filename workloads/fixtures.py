@@ -102,14 +102,18 @@ def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def code_files(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
-    """(file_id, project, path, text)."""
+    return code_files_of(text_table(spark, sf_dir, "documents"), with_text)
+
+
+def code_files_of(documents: DataFrame, with_text: bool = True) -> DataFrame:
+    """(file_id, project, path, text) of a table or stream of documents."""
     number = F.col("doc_id").cast("string")
     program = F.replace(_by_template(["\n".join(t[4]) + "\n" for t in TEMPLATES]), F.lit("{id}"), number)
     mark = _by_template([t[3] for t in TEMPLATES])
     comment = F.concat(mark, F.replace(F.col("text"), F.lit("\n"), F.concat(F.lit("\n"), mark)), F.lit("\n"))
     name = F.replace(_by_template([f"/{t[0]}/{t[1]}{t[2]}" for t in TEMPLATES]), F.lit("{id}"), number)
     project = F.concat(F.lit("p"), (F.col("doc_id") % 5).cast("string"))
-    return text_table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("file_id"),
         project.alias("project"),
         F.concat(F.lit("/w/"), project, name).alias("path"),
@@ -122,7 +126,7 @@ def _sql(text: str) -> str:
 
 
 def _sql_array(values: list[str]) -> str:
-    return "[" + ", ".join(_sql(v) for v in values) + "][(doc_id % %d + 1)::INT]" % len(values)
+    return f"[{', '.join(map(_sql, values))}][(doc_id % {len(values)} + 1)::INT]"
 
 
 def code_files_sql() -> str:
@@ -138,11 +142,15 @@ def code_files_sql() -> str:
 
 
 def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History rows with repeated keys, plus event_id as the order of writing."""
+    return history_of(table(spark, sf_dir, "events"))
+
+
+def history_of(events: DataFrame) -> DataFrame:
+    """History rows with repeated keys, plus seq, the order of writing."""
     user, event = F.col("user_id"), F.col("event_id")
     name = F.concat(F.lit("f"), (event % 20).cast("string"), F.lit(".py"))
     languages = F.array(*[F.lit(x) for x in ("python", "typescript", "rust", "go")])
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.substring(F.md5(F.concat(F.lit("u"), (user % 10).cast("string"))), 1, 8).alias("project_hash"),
         F.col("ts").alias("timestamp"),
         F.concat(F.lit("/w/d"), (event % 3).cast("string"), F.lit("/"), name).alias("file_path"),
@@ -216,3 +224,210 @@ def edit_events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENT_TOOLS = {"click": "Write", "view": "Read", "error": "Edit", "purchase": "MultiEdit", "signup": "Bash"}
+
+
+# Linter reports: 0 to 3 entries per document; every 17th report is cut short.
+
+
+def _path(suffix: str, directory: str = "src") -> Column:
+    n = F.col("doc_id")
+    return F.concat(
+        F.lit("/w/p"), (n % 5).cast("string"), F.lit(f"/{directory}/f"), n.cast("string"), F.lit(suffix)
+    )
+
+
+def _broken(json: Column) -> Column:
+    return F.when(F.col("doc_id") % 17 == 0, F.concat(F.lit("{"), json)).otherwise(json)
+
+
+def _report(entries: list[Column]) -> Column:
+    return F.slice(F.array(*entries), F.lit(1), (F.col("doc_id") % 4).cast("int"))
+
+
+def ruff_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, json); documents with an odd number are test files; messages carry the text."""
+
+    def entry(code: str, message: Column, fix: str | None, row: Column) -> Column:
+        return F.struct(
+            F.lit(code).alias("code"),
+            message.alias("message"),
+            F.when(F.lit(fix is not None), F.struct(F.lit(fix).alias("message"))).alias("fix"),
+            F.struct(row.cast("int").alias("row"), F.lit(1).alias("column")).alias("location"),
+        )
+
+    entries = [
+        entry("S101", F.lit("assert used"), None, F.col("doc_id") % 50 + 1),
+        entry("F401", F.col("text"), "Remove the import", F.lit(2)),
+        entry("E999", F.concat(F.lit("SyntaxError: "), F.col("text")), None, F.lit(3)),
+    ]
+    path = F.when(F.col("doc_id") % 2 == 1, _path("_test.py", "tests")).otherwise(_path(".py"))
+    return text_table(spark, sf_dir, "documents").select(path.alias("path"), _broken(F.to_json(_report(entries))).alias("json"))
+
+
+def eslint_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def message(rule: str | None, severity: int, text: Column, line: Column) -> Column:
+        return F.struct(
+            F.lit(rule).cast("string").alias("ruleId"),
+            F.lit(severity).alias("severity"),
+            text.alias("message"),
+            line.cast("int").alias("line"),
+            F.lit(7).alias("column"),
+        )
+
+    messages = [
+        message("no-undef", 2, F.col("text"), F.col("doc_id") % 40 + 1),
+        message("semi", 1, F.lit("missing semicolon"), F.lit(2)),
+        message(None, 2, F.lit("parsing failed"), F.lit(None)),
+    ]
+    document = F.array(F.struct(_path(".ts", "web").alias("filePath"), _report(messages).alias("messages")))
+    return text_table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("/w/bulk"), (F.col("doc_id") % 3).cast("string")).alias("path"),
+        _broken(F.to_json(document)).alias("json"),
+    )
+
+
+def golangci_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def issue(linter: str | None, text: Column, file: Column, line: int) -> Column:
+        return F.struct(
+            F.lit(linter).cast("string").alias("FromLinter"),
+            text.alias("Text"),
+            F.struct(file.alias("Filename"), F.lit(line).alias("Line"), F.lit(3).alias("Column")).alias("Pos"),
+        )
+
+    here = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".go"))
+    issues = [
+        issue("errcheck", F.col("text"), F.concat(F.lit("cmd/"), here), 4),
+        issue("govet", F.lit("elsewhere"), F.lit("cmd/other.go"), 5),
+        issue(None, F.lit("no linter"), here, 6),
+    ]
+    document = F.struct(F.when(F.col("doc_id") % 4 > 0, _report(issues)).alias("Issues"))
+    return text_table(spark, sf_dir, "documents").select(
+        _path(".go", "cmd").alias("path"), _broken(F.to_json(document)).alias("json")
+    )
+
+
+def clippy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, line): three JSON lines per document, of which one may be cut short."""
+
+    def line(reason: str, level: str, code: str | None, text: Column, file: Column) -> Column:
+        span = F.struct(file.alias("file_name"), F.lit(9).alias("line_start"), F.lit(2).alias("column_start"))
+        body = F.struct(
+            text.alias("message"),
+            F.lit(level).alias("level"),
+            F.when(F.lit(code is not None), F.struct(F.lit(code).cast("string").alias("code"))).alias("code"),
+            F.when(F.col("doc_id") % 4 > 0, F.array(span)).otherwise(F.slice(F.array(span), 1, 0)).alias("spans"),
+        )
+        return F.to_json(F.struct(F.lit(reason).alias("reason"), body.alias("message")))
+
+    here = F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit(".rs"))
+    lines = F.array(
+        line("compiler-message", "error", "clippy::unwrap_used", F.col("text"), here),
+        _broken(line("compiler-message", "warning", None, F.lit("style"), here)),
+        line("build-finished", "error", "x", F.lit("done"), here),
+        line("compiler-message", "note", "x", F.lit("note"), here),
+        line("compiler-message", "error", "x", F.lit("elsewhere"), F.lit("src/lib.rs")),
+    )
+    return text_table(spark, sf_dir, "documents").select(_path(".rs", "native").alias("path"), F.explode(lines).alias("line"))
+
+
+def text_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, line): every line of a document, some of them dressed up as compiler errors."""
+    docs = text_table(spark, sf_dir, "documents").select(
+        _path(".ts", "web").alias("path"), F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "body")
+    )
+    tsc = F.concat(
+        F.lit("web/a.ts("), (F.col("pos") + 1).cast("string"), F.lit(","), (F.col("doc_id") % 9).cast("string"),
+        F.lit("): error TS2304: "), F.col("body"),
+    )
+    return docs.select("path", F.when((F.col("doc_id") + F.col("pos")) % 2 == 0, tsc).otherwise(F.col("body")).alias("line"))
+
+
+def mypy_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): the document as tool output, each line that starts with a capital an error."""
+    text = F.regexp_replace("text", r"(?m)^([A-Z])", "a.py:1: error: $1")
+    return text_table(spark, sf_dir, "documents").select(_path(".py").alias("path"), text.alias("text"))
+
+
+def tool_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    tools = F.array(*[F.lit(t) for t in TOOLS])
+    states = F.array(*[F.lit(s) for s in STATES])
+    return table(spark, sf_dir, "documents").select(
+        _path(".x").alias("path"),
+        F.element_at(tools, (n % len(TOOLS) + 1).cast("int")).alias("tool"),
+        F.element_at(states, (n % len(STATES) + 1).cast("int")).alias("status"),
+    )
+
+
+TOOLS = ["eslint", "tsc", "clippy", "golangci", "ruff", "mypy", "eslint"]
+STATES = ["ok", "timeout", "missing"]
+
+
+def legacy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line): one '|'-separated line per event; some are too short, some have no number."""
+    n = F.col("event_id")
+    number = F.when(n % 5 == 0, F.lit("n/a")).otherwise((n % 90).cast("string"))
+    line = F.concat_ws(
+        "|", F.col("ts").cast("date").cast("string"), F.concat(F.lit("/w/a/f"), n.cast("string"), F.lit(".py")), number,
+        F.col("event_type"), F.lit("old"),
+        F.when(n % 11 != 0, F.concat(F.lit("first\\nsecond "), F.get_json_object("props", "$.k"))),
+    )
+    return table(spark, sf_dir, "events").select(line.alias("line"))
+
+
+def raw_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_hash, json): one configuration per user, in various states of repair."""
+    u = F.col("user_id")
+    globs = F.array(F.lit("aws.*"), F.concat(F.lit("svc"), (u % 3).cast("string"), F.lit(".?oad")))
+    fix = F.struct(
+        F.when(u % 4 == 0, F.lit(0)).when(u % 4 == 1, F.lit(-1)).when(u % 4 == 2, (u % 7 + 1).cast("int")).alias("max_iterations"),
+        F.when(u % 5 == 0, F.lit(10)).alias("timeout"),
+    )
+    mock = F.when(u % 2 == 0, F.struct(globs.alias("allowed_patterns")))
+    json = F.to_json(F.struct(fix.alias("auto_fix"), mock.alias("mock_detection")))
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select(
+        F.concat(F.lit("u"), u.cast("string")).alias("project_hash"),
+        F.when(u % 10 == 3, F.lit("not json")).otherwise(json).alias("json"),
+    )
+
+
+def scan_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, project_hash, round, n_errors): events as findings of up to five rounds."""
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("/w/f"), (e % 700).cast("string"), F.lit(".py")).alias("path"),
+        F.concat(F.lit("u"), (e % 7).cast("string")).alias("project_hash"),
+        (e * 7 % 5 + 1).cast("int").alias("round"),
+        F.when(F.col("event_type").isin("error", "purchase"), 1).otherwise(0).cast("long").alias("n_errors"),
+    )
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, length, content): documents as bytes in every state the gates know."""
+    n = F.col("doc_id")
+    body = F.col("text").cast("binary")
+    content = (
+        F.when(n % 7 == 0, F.concat(F.lit(b"a\x00"), body))
+        .when(n % 7 == 1, F.concat(body, F.lit(b"\xff\xfe")))
+        .when(n % 7 == 2, F.lit(b" \n\t\n"))
+        .otherwise(body)
+    )
+    length = F.when(n % 7 == 3, F.col("n_chars") * 100000).otherwise(F.length(content)).cast("long")
+    path = F.when(n % 3 == 0, _path(".go")).otherwise(_path(".py"))
+    return text_table(spark, sf_dir, "documents").select(
+        n.alias("file_id"), path.alias("path"), length.alias("length"), content.alias("content")
+    )
+
+
+RAW_FILES_SQL = """SELECT doc_id AS file_id, n_chars, doc_id % 7 AS s,
+ '/w/p' || (doc_id % 5) || '/src/f' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.go' ELSE '.py' END AS path,
+ doc_id % 3 <> 0 AS is_py FROM documents"""
+
+
+def deep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): files whose last line nests deeper than the parser follows, if odd."""
+    text = F.concat(
+        F.lit("# "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n# ")), F.lit("\ny = "), F.expr("repeat('-', CASE WHEN doc_id % 2 = 1 THEN 20000 ELSE 5 END)"), F.lit("1\n")
+    )
+    return text_table(spark, sf_dir, "documents").select(_path(".py").alias("path"), text.alias("text"))
