@@ -80,7 +80,7 @@ def _salted_dirs(files: DataFrame) -> DataFrame:
 
 
 def _with_ancestors(dirs: DataFrame) -> DataFrame:
-    exploded = dirs.withColumn("_depth", F.explode(P.depths(F.col("_dir"))))
+    exploded = dirs.withColumn("_depth", F.explode_outer(P.depths(F.col("_dir")))).filter(F.col("_depth").isNotNull())
     return exploded.withColumn("dir", P.dir_at_depth(F.col("_dir"), F.col("_depth")))
 
 
