@@ -118,8 +118,11 @@ def gate(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def gate_access(manifest: DataFrame, scanned: DataFrame) -> DataFrame:
     """Findings for files that were listed but not read.
 
-    ``manifest`` has path and, if known, status: stat, denied, missing or io.
+    ``manifest`` has path and, if known, status (stat, denied, missing or io) and length:
+    Spark does not list empty files, so those are not reported as lost.
     """
+    if "length" in manifest.columns:
+        manifest = manifest.filter(F.col("length") > 0)
     status = F.col("status") if "status" in manifest.columns else F.lit(None).cast("string")
     lost = manifest.join(scanned.select("path"), "path", "left_anti").withColumn(
         "language", language_of(F.col("path"))

@@ -287,7 +287,8 @@ def _findings_sql(rule: FactRule, rank: int) -> str:
 def findings_of_fact_sql(rules: list[FactRule]) -> str:
     """SQL text: the findings of one fact; it is only shown to the rules of its kind."""
     by_kind: dict[str, list[str]] = {}
-    for rank, rule in enumerate(rules):
+    for position, rule in enumerate(rules):
+        rank = FACT_RULES.index(rule) if rule in FACT_RULES else len(FACT_RULES) + position
         for kind in rule.kinds:
             by_kind.setdefault(kind, []).append(_findings_sql(rule, rank))
     branches = " ".join(

@@ -22,13 +22,25 @@ from lintlake.schemas import HISTORY, HISTORY_COLUMNS
 PARTITIONS = ["event_date", "batch_id"]
 
 
-def append_history(batch: DataFrame, location: str, batch_id: int) -> None:
-    """Writes one batch, its own duplicates merged."""
-    rows = latest_per_key(batch.select(HISTORY_COLUMNS))
+# Upper bound of one file of the log; larger writes are cut into several.
+MAX_RECORDS_PER_FILE = 5_000_000
+
+
+def _dated(rows: DataFrame, batch_id: int, tasks_per_day: int) -> DataFrame:
+    """Rows laid out for a partitioned write: a day is the work of a few tasks, never of all
+    (many tiny files) and never of one (a hot day)."""
     dated = rows.withColumn("event_date", F.to_date("timestamp")).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    slot = F.pmod(F.xxhash64("project_hash", "file_path", "line_num"), F.lit(tasks_per_day))
+    return dated.repartition("event_date", slot).sortWithinPartitions("event_date", "project_hash", "timestamp")
+
+
+def append_history(batch: DataFrame, location: str, batch_id: int, tasks_per_day: int = 16) -> None:
+    """Writes one batch, its own duplicates merged."""
     (
-        dated.write.mode("overwrite")
+        _dated(latest_per_key(batch.select(HISTORY_COLUMNS)), batch_id, tasks_per_day)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy(*PARTITIONS)
         .parquet(location)
     )
@@ -49,17 +61,23 @@ def _stored_schema() -> str:
     return ", ".join([*fields, "event_date date", "batch_id bigint"])
 
 
-def compact(spark: SparkSession, location: str, target: str, as_of: datetime | None = None, days: int = 90) -> None:
+def compact(
+    spark: SparkSession,
+    location: str,
+    target: str,
+    as_of: datetime | None = None,
+    days: int = 90,
+    tasks_per_day: int = 64,
+) -> None:
     """Writes the merged history to ``target``; with ``as_of``, without expired rows."""
     newer = as_of - timedelta(days=days + 1) if as_of else None
     rows = read_history(spark, location, newer)
     if as_of:
         rows = expire(rows, as_of, days)
-    dated = rows.withColumn("event_date", F.to_date("timestamp")).withColumn("batch_id", F.lit(-1).cast("long"))
     (
-        dated.repartition("event_date", F.pmod(F.xxhash64("project_hash", "file_path"), F.lit(64)))
-        .sortWithinPartitions("event_date", "project_hash", "timestamp")
+        _dated(rows, -1, tasks_per_day)
         .write.mode("overwrite")
+        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy(*PARTITIONS)
         .parquet(target)
     )

@@ -14,6 +14,7 @@ from lintlake.functions import paths as P
 from lintlake.functions.findings import REPORTS, explode_findings, explode_items, finding, order_key
 from lintlake.functions.text import py_strip
 from lintlake.operators.corpus import language_of
+from lintlake.operators.projects import nearest_config
 
 RUFF = (
     "array<struct<code:string, message:string, fix:struct<message:string>, location:struct<row:int, column:int>>>"
@@ -47,6 +48,11 @@ def _or(value: Column, default) -> Column:
     return F.coalesce(value, default if isinstance(default, Column) else F.lit(default))
 
 
+def _array_of(json: str, schema: str) -> Column:
+    """The parsed document if it is an array; Spark would also take a single object for one."""
+    return F.from_json(F.when(F.col(json).rlike(r"^\s*\["), F.col(json)), schema)
+
+
 def _report_rows(df: DataFrame, language: str, row: Column) -> DataFrame:
     return explode_findings(df.withColumn("language", F.lit(language)), F.array(row))
 
@@ -64,7 +70,7 @@ def test_file_advice(code: Column) -> Column:
 
 def import_ruff(df: DataFrame) -> DataFrame:
     """ruff JSON; in test files some codes get configuration advice (``is_test_override``)."""
-    items = explode_items(df, ["path"], F.from_json("json", RUFF))
+    items = explode_items(df, ["path"], _array_of("json", RUFF))
     code = _or(F.col("item.code"), "")
     message = _or(F.col("item.message"), "Ruff violation")
     override = P.is_test_strict(F.col("path")) & code.isin(list(RUFF_TEST_CODES))
@@ -83,7 +89,7 @@ def import_ruff(df: DataFrame) -> DataFrame:
 
 def import_eslint(df: DataFrame) -> DataFrame:
     """ESLint JSON, errors only; a bulk report names the file of each entry itself."""
-    entries = explode_items(df, ["path"], F.from_json("json", ESLINT), "_n", "entry")
+    entries = explode_items(df, ["path"], _array_of("json", ESLINT), "_n", "entry")
     named = F.coalesce(F.nullif(F.col("entry.filePath"), F.lit("")), F.col("path"))
     entries = entries.select(named.alias("path"), F.col("entry.messages").alias("messages"))
     items = explode_items(entries, ["path"], F.col("messages")).filter(F.col("item.severity") == 2)
@@ -100,18 +106,22 @@ def import_eslint(df: DataFrame) -> DataFrame:
     return _report_rows(items, "typescript", row)
 
 
-def import_tsc(df_lines: DataFrame) -> DataFrame:
+def import_tsc(df_lines: DataFrame, markers: DataFrame | None = None) -> DataFrame:
     """tsc output lines; errors where the project has a configuration, warnings elsewhere.
 
-    ``config_dir`` comes from ``nearest_config(files, markers, 'tsconfig.json')``.
+    ``markers`` (dir, marker) tells where tsconfig.json files are; only lines that report an
+    error take part in that lookup.
     """
     hits = df_lines.filter(F.col("line").rlike(TSC_LINE))
+    if markers is None:
+        hits = hits.withColumn("config_dir", F.lit(None).cast("string"))
+    else:
+        hits = nearest_config(hits, markers, "tsconfig.json")
     line_num, column, code, text = (F.regexp_extract("line", TSC_LINE, i) for i in (1, 2, 3, 4))
-    configured = F.col("config_dir").isNotNull() if "config_dir" in df_lines.columns else F.lit(False)
     row = finding(
         line_num.try_cast("int"),
         F.concat(F.lit("typescript_"), code),
-        F.when(configured, "error").otherwise("warning"),
+        F.when(F.col("config_dir").isNotNull(), "error").otherwise("warning"),
         F.concat(F.lit("TypeScript: "), text),
         "",
         {"error_code": code, "column": column.try_cast("int")},

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +74,7 @@ def _(spark, sf_dir):
     day = F.dayofmonth("timestamp")
     parts = [rows.filter(day <= 10), rows.filter((day > 10) & (day <= 20)), rows.filter(day > 20)]
     for batch_id, part in enumerate([*parts, parts[1]]):
-        history_store.append_history(history.latest_per_key(part, "seq"), place, min(batch_id, 2) if batch_id < 3 else 1)
+        history_store.append_history(history.latest_per_key(part, "seq"), place, batch_id if batch_id < 3 else 1, 1)
     return history_store.read_history(spark, place)
 
 
@@ -82,9 +84,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     place = _work_folder(spark, "history")
-    history_store.append_history(history.latest_per_key(_history(spark, sf_dir), "seq"), place, 0)
-    from datetime import timedelta
-
+    history_store.append_history(history.latest_per_key(_history(spark, sf_dir), "seq"), place, 0, 1)
     return history_store.read_history(spark, place, AS_OF - timedelta(days=7))
 
 
@@ -171,8 +171,6 @@ def _(spark, sf_dir):
 
 @query("recent_violations_project", f"{RECENT} SELECT {COLUMNS} FROM r WHERE project_hash = substr(md5('u3'), 1, 8) ORDER BY timestamp DESC")
 def _(spark, sf_dir):
-    import hashlib
-
     project = hashlib.md5(b"u3").hexdigest()[:8]
     return history.recent_violations(_history(spark, sf_dir), AS_OF, project=project).drop("seq")
 
@@ -265,8 +263,7 @@ _TSC_LINES = (
 )
 def _(spark, sf_dir):
     lines = fx.text_report_lines(spark, sf_dir)
-    configured = projects.nearest_config(lines, fx.project_markers(spark, sf_dir), "tsconfig.json")
-    found = linters.import_tsc(configured)
+    found = linters.import_tsc(lines, fx.project_markers(spark, sf_dir))
     message = F.concat(F.lit("TypeScript: "), F.trim(F.substring("message", 13, 1 << 20)))
     return found.select(
         "path", "line_num", "violation_type", message.alias("message"), "severity",
