@@ -9,6 +9,7 @@ whole class or a whole if/elif chain need no shuffle, and the step also runs on
 from __future__ import annotations
 
 import ast
+import gc
 import sys
 import warnings
 
@@ -101,49 +102,96 @@ def _of_interest(name: str | None) -> bool:
     return name is not None and name.split(".", 1)[0] in ROOTS_OF_INTEREST
 
 
-def _facts_of(node: ast.AST, in_chain: set[int]) -> list[dict]:
-    line = getattr(node, "lineno", 1)
-    if isinstance(node, ast.Module):
-        return [{"kind": "module", "lineno": 1, "doc_len": _doc_len(node)}]
-    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-        facts = [
-            {"kind": "decorator", "lineno": deco.lineno, **_call(deco)}
-            for deco in node.decorator_list
-            if isinstance(deco, ast.Call) and _of_interest(_dotted(deco.func))
-        ]
-        return facts + [{"kind": "function", "lineno": line, "name": node.name, "doc_len": _doc_len(node)}]
-    if isinstance(node, ast.ClassDef):
-        return [
-            {"kind": "class", "lineno": line, "name": node.name, "doc_len": _doc_len(node), "members": _members(node)}
-        ]
-    if isinstance(node, ast.Import):
-        return [{"kind": "import", "lineno": line, "name": alias.name} for alias in node.names]
-    if isinstance(node, ast.ImportFrom):
-        return [{"kind": "import_from", "lineno": line, "name": node.module, "n_args": node.level}] if node.module else []
-    if isinstance(node, ast.With):
-        calls = [item.context_expr for item in node.items if isinstance(item.context_expr, ast.Call)]
-        return [{"kind": "with_item", "lineno": line, **_call(c)} for c in calls if _of_interest(_dotted(c.func))]
-    if isinstance(node, ast.If):
-        if id(node) in in_chain:
-            return []
-        lines = [line]
-        while len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If):
-            node = node.orelse[0]
-            in_chain.add(id(node))
-            lines.append(node.lineno)
-        return [{"kind": "if_chain", "lineno": line, "branch_lines": lines}]
-    if isinstance(node, ast.Compare):
-        return [
-            {"kind": "identity_test", "lineno": line, **_constant(right)}
-            for op, right in zip(node.ops, node.comparators)
-            if isinstance(op, (ast.Is, ast.IsNot)) and isinstance(right, ast.Constant)
-        ]
-    if isinstance(node, ast.Call):
-        return [{"kind": "call", "lineno": line, **_call(node)}] if _of_interest(_dotted(node.func)) else []
-    if isinstance(node, ast.Attribute):
-        name = _dotted(node)
-        return [{"kind": "attribute", "lineno": line, "name": name}] if _of_interest(name) else []
-    return []
+# One function per kind of syntax node; the node types without one carry no facts.
+
+
+def _module(node: ast.Module, seen: set[int]) -> list[dict]:
+    return [{"kind": "module", "lineno": 1, "doc_len": _doc_len(node)}]
+
+
+def _function(node: ast.FunctionDef | ast.AsyncFunctionDef, seen: set[int]) -> list[dict]:
+    calls = [deco for deco in node.decorator_list if isinstance(deco, ast.Call)]
+    facts = [{"kind": "decorator", "lineno": c.lineno, **_call(c)} for c in calls if _of_interest(_dotted(c.func))]
+    return facts + [{"kind": "function", "lineno": node.lineno, "name": node.name, "doc_len": _doc_len(node)}]
+
+
+def _class(node: ast.ClassDef, seen: set[int]) -> list[dict]:
+    fact = {"kind": "class", "lineno": node.lineno, "name": node.name, "doc_len": _doc_len(node)}
+    return [{**fact, "members": _members(node)}]
+
+
+def _import(node: ast.Import, seen: set[int]) -> list[dict]:
+    return [{"kind": "import", "lineno": node.lineno, "name": alias.name} for alias in node.names]
+
+
+def _import_from(node: ast.ImportFrom, seen: set[int]) -> list[dict]:
+    fact = {"kind": "import_from", "lineno": node.lineno, "name": node.module, "n_args": node.level}
+    return [fact] if node.module else []
+
+
+def _with(node: ast.With, seen: set[int]) -> list[dict]:
+    calls = [item.context_expr for item in node.items if isinstance(item.context_expr, ast.Call)]
+    return [{"kind": "with_item", "lineno": node.lineno, **_call(c)} for c in calls if _of_interest(_dotted(c.func))]
+
+
+def _if(node: ast.If, seen: set[int]) -> list[dict]:
+    """The chain that starts here; its elifs are remembered and start none of their own."""
+    if id(node) in seen:
+        return []
+    lines = [node.lineno]
+    branch = node
+    while len(branch.orelse) == 1 and isinstance(branch.orelse[0], ast.If):
+        branch = branch.orelse[0]
+        seen.add(id(branch))
+        lines.append(branch.lineno)
+    return [{"kind": "if_chain", "lineno": node.lineno, "branch_lines": lines}] if len(lines) > 1 else []
+
+
+def _compare(node: ast.Compare, seen: set[int]) -> list[dict]:
+    return [
+        {"kind": "identity_test", "lineno": node.lineno, **_constant(right)}
+        for op, right in zip(node.ops, node.comparators)
+        if isinstance(op, (ast.Is, ast.IsNot)) and isinstance(right, ast.Constant)
+    ]
+
+
+def _named_call(node: ast.Call, seen: set[int]) -> list[dict]:
+    return [{"kind": "call", "lineno": node.lineno, **_call(node)}] if _of_interest(_dotted(node.func)) else []
+
+
+def _attribute(node: ast.Attribute, seen: set[int]) -> list[dict]:
+    name = _dotted(node)
+    return [{"kind": "attribute", "lineno": node.lineno, "name": name}] if _of_interest(name) else []
+
+
+FACTS_BY_NODE = {
+    ast.Module: _module,
+    ast.FunctionDef: _function,
+    ast.AsyncFunctionDef: _function,
+    ast.ClassDef: _class,
+    ast.Import: _import,
+    ast.ImportFrom: _import_from,
+    ast.With: _with,
+    ast.If: _if,
+    ast.Compare: _compare,
+    ast.Call: _named_call,
+    ast.Attribute: _attribute,
+}
+
+# Fields that hold no nodes, or only operators and contexts, and node types that are leaves.
+_PLAIN_FIELDS = frozenset({"ctx", "op", "ops", "id", "attr", "level", "module", "type_comment", "is_async", "simple", "kind"})
+_LEAVES = (ast.Name, ast.Constant, ast.alias, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal)
+
+
+def _children(node: ast.AST) -> list[ast.AST]:
+    children: list[ast.AST] = []
+    for field in node._fields:
+        if field not in _PLAIN_FIELDS:
+            value = getattr(node, field, None)
+            for child in value if isinstance(value, list) else (value,):
+                if isinstance(child, ast.AST) and not isinstance(child, _LEAVES):
+                    children.append(child)
+    return children
 
 
 def facts_of_text(text: str | None) -> list[dict] | None:
@@ -155,11 +203,13 @@ def facts_of_text(text: str | None) -> list[dict] | None:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             stack: list[ast.AST] = [ast.parse(text)]
-        in_chain: set[int] = set()
+        seen: set[int] = set()
         while stack:
             node = stack.pop()
-            facts.extend(_facts_of(node, in_chain))
-            stack.extend(reversed(list(ast.iter_child_nodes(node))))
+            found = FACTS_BY_NODE.get(type(node))
+            if found is not None:
+                facts += found(node, seen)
+            stack += reversed(_children(node))
     except SyntaxError:
         return []
     except (ValueError, RecursionError, MemoryError) as error:
@@ -177,8 +227,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 @F.arrow_udf(FACTS)
 def py_facts(text: pa.Array) -> pa.Array:
-    # One file at a time: the trees of a batch never live side by side.
-    return pa.array((facts_of_text(value.as_py()) for value in text), type=_ARROW_FACTS)
+    # Trees hold no cycles, so reference counting frees each one before the next is built, and
+    # the cycle collector, which would walk every new node, can rest.
+    gc.disable()
+    try:
+        return pa.array((facts_of_text(value.as_py()) for value in text), type=_ARROW_FACTS)
+    finally:
+        gc.enable()
 
 
 def with_facts(files: DataFrame) -> DataFrame:
