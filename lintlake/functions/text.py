@@ -11,6 +11,9 @@ LINE_BREAKS = r"[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}](?:(?<=\r)\n)?+"
 # Characters Python's str.strip() removes, for use with (?U).
 BLANK = r"[\s\x1C-\x1F]"
 
+# Blanks at both ends.  A run inside the text is looked at once, from its start.
+OUTER_BLANKS = rf"(?U)^{BLANK}++|(?<!{BLANK}){BLANK}++\z"
+
 # Python regexes know Unicode word characters, and their dot stops at LF only.
 PY_FLAGS = "(?U)(?d)"
 
@@ -26,12 +29,11 @@ def py_regex(pattern: str) -> str:
 
 
 def py_strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{BLANK}+|{BLANK}+$", "")
+    return F.regexp_replace(text, OUTER_BLANKS, "")
 
 
 def py_strip_sql(text: str) -> str:
-    pattern = quoted(f"(?U)^{BLANK}+|{BLANK}+$")
-    return f"regexp_replace({text}, {pattern}, '')"
+    return f"regexp_replace({text}, {quoted(OUTER_BLANKS)}, '')"
 
 
 def is_blank(text: Column) -> Column:
