@@ -27,14 +27,21 @@ MAX_RECORDS_PER_FILE = 5_000_000
 
 
 def _dated(rows: DataFrame, batch_id: int, tasks_per_day: int) -> DataFrame:
-    """Rows laid out for a partitioned write: a day is the work of a few tasks, never of all
-    (many tiny files) and never of one (a hot day)."""
+    """Rows laid out for a partitioned write: neither one tiny file per day and task, nor all of
+    a hot day in one task.
+
+    With adaptive execution Spark splits and merges the days by size.  Streams may run without
+    it; then a day is spread over ``tasks_per_day`` tasks.
+    """
     dated = rows.withColumn("event_date", F.to_date("timestamp")).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    slot = F.pmod(F.xxhash64("project_hash", "file_path", "line_num"), F.lit(tasks_per_day))
-    return dated.repartition("event_date", slot).sortWithinPartitions("event_date", "project_hash", "timestamp")
+    if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        laid = dated.hint("rebalance", F.col("event_date"))
+    else:
+        laid = dated.repartition("event_date", F.pmod(F.xxhash64("project_hash", "file_path", "line_num"), F.lit(tasks_per_day)))
+    return laid.sortWithinPartitions("event_date", "project_hash", "timestamp")
 
 
-def append_history(batch: DataFrame, location: str, batch_id: int, tasks_per_day: int = 16) -> None:
+def append_history(batch: DataFrame, location: str, batch_id: int, tasks_per_day: int = 64) -> None:
     """Writes one batch, its own duplicates merged."""
     (
         _dated(latest_per_key(batch.select(HISTORY_COLUMNS)), batch_id, tasks_per_day)

@@ -144,10 +144,28 @@ def _entity() -> F.Column:
 # A and B: files
 
 
-@query("scan_tree")
+_TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+]
+
+
+@query(
+    "scan_tree",
+    "SELECT name || '.parquet' AS file_name, 'PAR1' AS head, 'PAR1' AS tail, 'binary' AS gate FROM (VALUES "
+    + ", ".join(f"('{t}')" for t in _TABLES)
+    + ") v(name)",
+)
 def _(spark, sf_dir):
-    found = scan_tree(spark, sf_dir, "*.parquet")
-    return found.select(P.base_name(F.col("path")).alias("file_name"), "length")
+    """The table files themselves, read as bytes and put through the gates."""
+    found = scan_tree(spark, sf_dir, "*.parquet").withColumn("language", F.lit("python"))
+    content = F.col("content")
+    ends = found.select(
+        "path", "language", "length", "content",
+        F.substring(content, 1, 4).cast("string").alias("head"), F.substring(content, -4, 4).cast("string").alias("tail"),
+    )
+    small = ends.withColumn("length", F.least("length", F.lit(corpus.MAX_FILE_BYTES)))
+    return corpus.with_gate(small).select(P.base_name(F.col("path")).alias("file_name"), "head", "tail", "gate")
 
 
 @query(

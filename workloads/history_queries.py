@@ -74,7 +74,7 @@ def _(spark, sf_dir):
     day = F.dayofmonth("timestamp")
     parts = [rows.filter(day <= 10), rows.filter((day > 10) & (day <= 20)), rows.filter(day > 20)]
     for batch_id, part in enumerate([*parts, parts[1]]):
-        history_store.append_history(history.latest_per_key(part, "seq"), place, batch_id if batch_id < 3 else 1, 1)
+        history_store.append_history(history.latest_per_key(part, "seq"), place, batch_id if batch_id < 3 else 1)
     return history_store.read_history(spark, place)
 
 
@@ -84,7 +84,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     place = _work_folder(spark, "history")
-    history_store.append_history(history.latest_per_key(_history(spark, sf_dir), "seq"), place, 0, 1)
+    history_store.append_history(history.latest_per_key(_history(spark, sf_dir), "seq"), place, 0)
     return history_store.read_history(spark, place, AS_OF - timedelta(days=7))
 
 
