@@ -15,8 +15,6 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
-    # Source files are small: pack a few thousand of them into one task, not 32.
-    "spark.sql.files.openCostInBytes": str(64 * 1024),
 }
 
 

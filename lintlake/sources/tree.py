@@ -12,7 +12,8 @@ def scan_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFr
     """(path, length, modification_time, content), one row per file below ``root``.
 
     The glob prunes the listing, a filter on ``length`` reaches the scan, and ``content`` is
-    not read unless it is used.  Files that vanish during the scan are skipped; compare with
+    not read unless it is used.  For trees of many small files, lower the session's
+    spark.sql.files.openCostInBytes (64 KiB, say), so that one task takes thousands of them.  Files that vanish during the scan are skipped; compare with
     a manifest (``gate_access``) to report them.  The ``file:`` scheme is cut off local paths.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")

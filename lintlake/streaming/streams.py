@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lintlake.functions.times import utc_wall_clock, with_event_time
 from lintlake.operators.history import to_history
 from lintlake.plans.scan import scan_all
 from lintlake.sources.history_store import append_history
@@ -20,20 +21,21 @@ def stream_scan(files_stream: DataFrame, *keep: str) -> DataFrame:
 
 def dedup_events(stream: DataFrame, delay: str, *key: str, time: str = "ts") -> DataFrame:
     """Each event once, however often it is delivered within ``delay``."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
+    timed = with_event_time(stream, time, "event_time").withWatermark("event_time", delay)
+    return timed.dropDuplicatesWithinWatermark(list(key)).drop("event_time")
 
 
 def trailing_counts(stream: DataFrame, delay: str = "1 day", days: int = 7, time: str = "timestamp") -> DataFrame:
-    """Findings per project and type in sliding windows of ``days``, one window per day.
+    """Findings per project and type in sliding windows of ``days``, one window per UTC day.
 
     Rows later than the watermark are dropped.  State is one counter per window, project and
     type, and tasks add up before the shuffle.
     """
-    window = F.window(time, f"{days} days", "1 day")
-    counts = stream.withWatermark(time, delay).groupBy(window, "project_hash", "violation_type")
+    timed = with_event_time(stream, time, "event_time").withWatermark("event_time", delay)
+    counts = timed.groupBy(F.window("event_time", f"{days} days", "1 day"), "project_hash", "violation_type")
     return counts.agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("window.start").alias("window_start"),
-        F.col("window.end").alias("window_end"),
+        utc_wall_clock("window.start").alias("window_start"),
+        utc_wall_clock("window.end").alias("window_end"),
         "project_hash",
         "violation_type",
         "n",

@@ -90,15 +90,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are costly to work on.
+def spread(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` over all cores if ``like``, the table it reads, has fewer splits than that.
 
-    A small table in a single row group would keep one core busy; it is spread out.  A table
-    with a split for every core, as any large one has, is read as it lies.
+    A small table in a single row group would keep one core busy.  A table with a split for
+    every core, as any large one has, is read as it lies.
     """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if like.rdd.getNumPartitions() < cores else df
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on."""
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spread(df, like=df)
 
 
 def code_files(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:

@@ -509,8 +509,9 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    documents = fx.table(spark, sf_dir, "documents")
+    stream = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    return fx.spread(stream, like=documents)
 
 
 def _drain(stream: DataFrame, place: str) -> DataFrame:
@@ -542,7 +543,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Every event twice, kept once."""
     twice = _event_stream(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    kept = streams.dedup_events(twice.withColumn("ts", F.col("ts").cast("timestamp")), "40 days", "event_id")
+    kept = streams.dedup_events(twice, "40 days", "event_id")
     return _drain(kept.select("event_id", "event_type"), _work_folder(spark, "dedup"))
 
 
@@ -554,8 +555,4 @@ def _(spark, sf_dir):
     "WHERE window_start + INTERVAL 7 DAY <= (SELECT max(timestamp) - INTERVAL 1 DAY FROM h) GROUP BY ALL",
 )
 def _(spark, sf_dir):
-    rows = fx.history_of(_event_stream(spark, sf_dir)).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    counts = _drain(streams.trailing_counts(rows), _work_folder(spark, "windows"))
-    return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
-        "window_end", F.col("window_end").cast("timestamp_ntz")
-    )
+    return _drain(streams.trailing_counts(fx.history_of(_event_stream(spark, sf_dir))), _work_folder(spark, "windows"))
