@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,3 +21,8 @@ def with_event_time(df: DataFrame, time: str, event_time: str) -> DataFrame:
 
 def utc_wall_clock(instant: str) -> Column:
     return F.expr(f"timestampadd(MICROSECOND, unix_micros({instant}), {_EPOCH})")
+
+
+def wall_clock(moment: datetime) -> Column:
+    """A literal that no session time zone can move."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import paths as P
 from lintlake.functions.findings import NO_FINDINGS_SQL, SYNTAX, explode_findings, finding_sql
+from lintlake.functions.joins import salted_join
 from lintlake.functions.text import quoted
 from lintlake.operators.facts import fact_struct
 from lintlake.operators.rulebook import (
@@ -320,7 +321,8 @@ def apply_fact_rules(facts: DataFrame, *rules: FactRule) -> DataFrame:
 def rule_banned_import(facts: DataFrame, banned_names: DataFrame | None = None) -> DataFrame:
     """Banned imports; with a table of names given, a join on the dotted prefixes.
 
-    Spark broadcasts the table only below its size threshold, and only imports are joined.
+    Spark broadcasts the table only below its size threshold.  Only imports are joined, and
+    salted, because a popular name may be everywhere.
     """
     if banned_names is None:
         return apply_fact_rules(facts, banned_import)
@@ -334,7 +336,7 @@ def rule_banned_import(facts: DataFrame, banned_names: DataFrame | None = None)
         F.col("name").alias("prefix"), "rank", "suggestion"
     )
     first = (
-        candidates.join(table, "prefix")
+        salted_join(candidates, table, ["prefix"])
         .groupBy("path", "test_loose", "fact")
         .agg(F.min(F.struct("rank", "prefix", "suggestion")).alias("first"))
     )

@@ -9,16 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lintlake.functions import paths as P
+from lintlake.functions.times import wall_clock
 from lintlake.schemas import HISTORY_COLUMNS, HISTORY_KEY
 
 
 def _days_before(as_of: datetime, days: int) -> Column:
-    return F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
+    return wall_clock(as_of) - F.make_dt_interval(F.lit(days))
 
 
 def to_history(violations: DataFrame, as_of: datetime | Column) -> DataFrame:
     """History rows of a scan; ``violations`` carries project_hash."""
-    stamp = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    stamp = as_of if isinstance(as_of, Column) else wall_clock(as_of)
     return violations.select(
         "project_hash",
         stamp.cast("timestamp_ntz").alias("timestamp"),
@@ -139,7 +140,7 @@ def learning_summary(
     top = listed(issues, {"type": "violation_type", "count": "count", "fix": "fix_suggestion"}, "top_issues")
     worst = listed(files, {"file": "file_name", "violations": "violation_count"}, "problem_files")
     return top.join(worst, "project_hash", "full").select(
-        "project_hash", F.lit(as_of).cast("timestamp_ntz").alias("generated_at"), "top_issues", "problem_files"
+        "project_hash", wall_clock(as_of).alias("generated_at"), "top_issues", "problem_files"
     )
 
 

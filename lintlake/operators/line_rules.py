@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lintlake.functions import paths as P
 from lintlake.functions import text as X
 from lintlake.functions.findings import LINES, NO_FINDINGS_SQL, explode_findings, finding_sql
+from lintlake.functions.joins import salted_join
 from lintlake.functions.text import quoted
 from lintlake.operators.rulebook import LINE_RULES, LineRule, rules_for
 
@@ -103,25 +104,32 @@ def apply_line_rules(lines: DataFrame, rules: list[LineRule] | None = None, *kee
     return explode_findings(with_naming_flag(lines.filter(wanted)), F.expr(f"CASE language {hits} END"), *keep)
 
 
-def _with_names(lines: DataFrame, rule: LineRule, banned_names: DataFrame | None) -> DataFrame:
-    """A name rule, with the built-in table or with one given as a DataFrame.
+NAME_RULES = [rule for rule in LINE_RULES if rule.names is not None]
 
-    Only imported names reach the join, and Spark broadcasts the table only below its size
-    threshold; a larger one is shuffled on the name.
+
+def banned_name_lookup(lines: DataFrame, banned_names: DataFrame, rules: list[LineRule] | None = None) -> DataFrame:
+    """The name rules against a table (language, name, suggestion), all languages in one pass.
+
+    Only imported names reach the join.  Spark broadcasts the table only below its size
+    threshold; a larger one meets salted candidates, because a popular name may be everywhere.
     """
+    chosen = NAME_RULES if rules is None else rules
+    candidates = apply_line_rules(lines, [replace(rule, names=None) for rule in chosen])
+    keys = sorted({rule.context_key for rule in chosen})
+    name = F.coalesce(*[F.try_element_at("language_context", F.lit(key)) for key in keys])
+    table = banned_names.select("language", "name", F.col("suggestion").alias("advice"))
+    matched = salted_join(candidates.withColumn("name", name), table, ["language", "name"])
+    return matched.withColumn("fix_suggestion", F.col("advice")).select(candidates.columns)
+
+
+def _with_names(lines: DataFrame, kind: str, banned_names: DataFrame | None) -> DataFrame:
     if banned_names is None:
-        return apply_line_rules(lines, [rule])
-    candidates = apply_line_rules(lines, [replace(rule, names=None)])
-    table = banned_names.filter(F.col("language") == rule.language).select(
-        F.col("name").alias("_name"), F.col("suggestion").alias("_advice")
-    )
-    key = F.element_at("language_context", rule.context_key)
-    matched = candidates.join(table, key == F.col("_name"))
-    return matched.withColumn("fix_suggestion", F.col("_advice")).select(candidates.columns)
+        return apply_line_rules(lines, rules_for(kind))
+    return banned_name_lookup(lines, banned_names, rules_for(kind))
 
 
 def rule_banned_package_import(lines: DataFrame, banned_names: DataFrame | None = None) -> DataFrame:
-    return _with_names(lines, rules_for("banned_package_import")[0], banned_names)
+    return _with_names(lines, "banned_package_import", banned_names)
 
 
 def rule_console_usage(lines: DataFrame) -> DataFrame:
@@ -129,11 +137,11 @@ def rule_console_usage(lines: DataFrame) -> DataFrame:
 
 
 def rule_banned_crate_usage(lines: DataFrame, banned_names: DataFrame | None = None) -> DataFrame:
-    return _with_names(lines, rules_for("banned_crate_usage")[0], banned_names)
+    return _with_names(lines, "banned_crate_usage", banned_names)
 
 
 def rule_banned_package_usage(lines: DataFrame, banned_names: DataFrame | None = None) -> DataFrame:
-    return _with_names(lines, rules_for("banned_package_usage")[0], banned_names)
+    return _with_names(lines, "banned_package_usage", banned_names)
 
 
 def rule_panic_abuse(lines: DataFrame) -> DataFrame:

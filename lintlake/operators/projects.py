@@ -88,7 +88,8 @@ def attribute_project(files: DataFrame, markers: DataFrame) -> DataFrame:
     """Adds root, project_hash, markers, is_development_project, context_message, project_type.
 
     Every ancestor directory is tested; the best marker class wins, then the deepest
-    directory.  The work is done per distinct directory, not per file.
+    directory.  The work is done per distinct directory, not per file.  The rows of ``files``
+    are shuffled as they come, so give paths or findings, not texts.
     """
     salted = _salted_dirs(files)
     ancestors = _with_ancestors(salted.select("_dir", "_salt").distinct())

@@ -16,6 +16,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.functions.times import wall_clock
 from lintlake.operators.history import expire, latest_per_key
 from lintlake.schemas import HISTORY, HISTORY_COLUMNS
 
@@ -58,7 +59,7 @@ def read_history(spark: SparkSession, location: str, newer_than: datetime | None
     log = spark.read.schema(_stored_schema()).parquet(location)
     if newer_than is not None:
         log = log.filter(
-            (F.col("event_date") >= F.lit(newer_than.date())) & (F.col("timestamp") > F.lit(newer_than).cast("timestamp_ntz"))
+            (F.col("event_date") >= F.lit(newer_than.date())) & (F.col("timestamp") > wall_clock(newer_than))
         )
     return latest_per_key(log.select(*HISTORY_COLUMNS, "batch_id"), "batch_id").drop("batch_id")
 

@@ -361,15 +361,8 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     names = rulebook.banned_names(spark)
-    lines = _lines(spark, sf_dir)
     found = fact_rules.rule_banned_import(_facts(spark, sf_dir), names)
-    for rule in (
-        line_rules.rule_banned_package_import,
-        line_rules.rule_banned_crate_usage,
-        line_rules.rule_banned_package_usage,
-    ):
-        found = found.unionByName(rule(lines, names))
-    return found.select(*FOUND)
+    return found.unionByName(line_rules.banned_name_lookup(_lines(spark, sf_dir), names)).select(*FOUND)
 
 
 # A generic pack on any text: licence lines, contact lines, questions.
