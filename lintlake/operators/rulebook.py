@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lintlake.functions.text import quoted
+
 # Name tables per language, in table order (the first match wins).
 # The advice texts are ours.
 BANNED_NAMES: dict[str, dict[str, str]] = {
@@ -199,6 +201,12 @@ def rules_for(*violation_types: str) -> list[LineRule]:
     return [rule for rule in LINE_RULES if rule.violation_type in violation_types]
 
 
+def _literal_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """A table of constants whose size Spark knows, so joins with it are planned on that size."""
+    values = ", ".join("(" + ", ".join(quoted(v) if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 def banned_names(spark: SparkSession) -> DataFrame:
     """(language, name, suggestion, rank); rank is the table order."""
     rows = [
@@ -206,7 +214,7 @@ def banned_names(spark: SparkSession) -> DataFrame:
         for language, names in BANNED_NAMES.items()
         for rank, (name, advice) in enumerate(names.items())
     ]
-    return spark.createDataFrame(rows, "language string, name string, suggestion string, rank int")
+    return _literal_table(spark, "language, name, suggestion, rank", rows)
 
 
 def rule_catalog(spark: SparkSession) -> DataFrame:
@@ -218,4 +226,4 @@ def rule_catalog(spark: SparkSession) -> DataFrame:
     ]
     rows += [("line_rule", rule.language, rule.violation_type, rule.pattern) for rule in LINE_RULES]
     rows += [("required_pattern", "python", name, regex) for name, regex in REQUIRED_PATTERNS.items()]
-    return spark.createDataFrame(rows, "catalog string, language string, name string, detail string")
+    return _literal_table(spark, "catalog, language, name, detail", rows)
