@@ -519,7 +519,7 @@ _register_mock_rule("rule_mock_constructor", "constructor", "Mock")
 @query(
     "rule_compile_call",
     "SELECT '/w/p' || (doc_id % 5) || '/src/f' || doc_id || '.py' AS path, "
-    "2 + length(text) - length(replace(text, chr(10), '')) AS line_num, 'security_violation' AS violation_type, "
+    "(2 + length(text) - length(replace(text, chr(10), '')))::INT AS line_num, 'security_violation' AS violation_type, "
     "'warning' AS severity FROM documents WHERE doc_id % 3 > 0",
 )
 def _(spark, sf_dir):
