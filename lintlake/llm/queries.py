@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import language_id, line_dedup, near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,3 +25,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op3_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, threshold=80)
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.held_out(4, 2)
+    found = language_id.identify(docs, docs.filter(~out))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
