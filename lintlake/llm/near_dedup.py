@@ -7,11 +7,12 @@ Jaccard estimate from the registers, corrected for chance collisions, and are co
 the full sets.
 
 * Documents with equal sets become one class before any join, so copies are never paired.
-* Members of one band are linked to the smallest of them, not to each other.  Where that
-  leaves a band with several components, all its pairs across components are checked, from
-  the side of the smaller ones: no link between different components is lost, and members
-  that are already connected are not paired.
-* A band shared by very many classes is a plain equi-join, which adaptive execution splits.
+* Members of one band are compared with its smallest, not with each other, and where that
+  leaves several components, with one more.
+* What is then still apart is compared across components if it shares one of the rarest
+  members of its set: a linked pair must, so no link is lost, and sets that share only what
+  very many share are never paired.
+* A band or member of very many classes is a plain equi-join, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import buffers as B
 from .components import components
+from .decontamination import small
 from .frames import text_hash, written
 
 _U = np.uint64
@@ -158,28 +160,80 @@ def _confirm(threshold: int):
     return run
 
 
-def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Confirms pairs (a, b) of class names on the full shingle sets."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(rep, members, sketch) of the classes named in ``wanted``, from one text of each."""
     chosen = reps.join(wanted, "rep").select("rep", "_id", "_h")
     # One row a class: identical rows would only repeat it.
-    texts = docs.join(chosen, ["_id", "_h"]).select("rep", "text").dropDuplicates(["rep"])
-    sets = written(texts.mapInArrow(_sketch_batches(width, True), "rep long, members binary, sketch binary"), "sets")
+    texts = docs.join(small(chosen, F.lit(32)), ["_id", "_h"]).select("rep", "text")
+    sets = texts.mapInArrow(_sketch_batches(width, True), "rep long, members binary, sketch binary")
+    return written(sets.dropDuplicates(["rep"]), "sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of class names that hold on the full shingle sets."""
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("members").alias(f"members_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
     return written(joined.mapInArrow(_confirm(threshold), "a long, b long"), "confirmed")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
+COUNTERS = 1 << 20
 
-    A document's set holds its distinct shingles of ``width`` words, ASCII letters in lower
-    case; with fewer words, the whole sequence; null and blank texts have an empty set and no
-    link.  Two documents are linked if 100 * intersection >= threshold * union.  component_id
-    is the smallest doc_id reachable; a null doc_id links like any other but names no
-    component unless its whole component is null.  kept: doc_id equals component_id.
-    Repeated rows appear as often as they are given.  Other columns are ignored.
+
+def _count_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for members in batch.column("members"):
+            slots = (np.frombuffer(members.as_buffer(), "u8") % _U(COUNTERS)).astype(np.int64)
+            total += np.bincount(slots, minlength=COUNTERS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+
+def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """(rep, n, member): of each set its rarest members, as many as a linked set must share one of.
+
+    Sets with a Jaccard similarity of t share a member among the first n - ceil(t * n) + 1 in
+    any order common to all; rare ones first leaves few sets a member.  Rarity comes from
+    COUNTERS counters over all these sets; it only orders, so sharing a counter does no harm.
     """
+    counts = sets.select("members").mapInArrow(_count_members, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    rarity = np.zeros(COUNTERS, np.int64)
+    for row in counts.toLocalIterator():  # at most COUNTERS rows
+        rarity[row["slot"]] = row["n"]
+    shared = sets.sparkSession.sparkContext.broadcast(rarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, sizes, out = [], [], []
+            for rep, members in zip(batch.column("rep").to_pylist(), batch.column("members"), strict=True):
+                own = np.frombuffer(members.as_buffer(), "u8")
+                order = np.lexsort((own, shared.value[(own % _U(COUNTERS)).astype(np.int64)]))
+                first = own[order[: len(own) - -(-threshold * len(own) // 100) + 1]]
+                out.append(first.view(np.int64))
+                reps.append(np.full(len(first), rep, np.int64))
+                sizes.append(np.full(len(first), len(own), np.int64))
+            if reps:
+                columns = [pa.array(np.concatenate(x)) for x in (reps, sizes, out)]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "member"])
+
+    return sets.select("rep", "members").mapInArrow(run, "rep long, n long, member long")
+
+
+def _split(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, rep, component, main): members of bands with several components; main is the largest of them."""
+    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = written(placed.select("band", "rep", "component"), "placed")
+    counted = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = counted.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
+    return written(placed.join(main.filter("parts > 1").drop("parts"), "band"), "split")
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """(doc_id, _id, _h, n_shingles, component, component_id) per row of ``docs``; component is null for an empty set."""
     docs = docs.select("doc_id", "text").withColumns({"_id": F.coalesce("doc_id", F.lit(-(2**63))), "_h": text_hash()})
     schema = "doc_id long, _h long, n_shingles long, f1 long, f2 long, bands array<long>"
     sketched = docs.select(F.col("doc_id").cast("long"), "_h", "text").mapInArrow(_sketch_batches(width, False), schema)
@@ -195,39 +249,74 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
         "classes",
     )
 
-    keys = reps.select("rep", "n_shingles", F.explode("bands").alias("band")).distinct()
+    keys = reps.select("rep", F.explode("bands").alias("band")).distinct()
     shared = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1")
-    members = written(keys.join(shared, "band").select("band", "rep", "n_shingles", "leader"), "members")
-    pairs = written(members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = _links(docs, reps, pairs, width, threshold)
+    members = written(keys.join(shared, "band").select("band", "rep", "leader"), "members")
+    pairs = written(members.filter("rep <> leader").select(*_pair("leader", "rep")).distinct(), "pairs")
+    named = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    sets = _sets(docs, reps, named, width)
+    links = _links(pairs, sets, threshold)
     found = components(links)
 
-    # Bands whose members are not yet one component: all pairs across components.
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = written(placed.select("band", "rep", "n_shingles", "component"), "placed")
-    split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-    counted = placed.join(split, "band", "left_semi").groupBy("band", "component").agg(F.count("*").alias("n"))
-    largest = counted.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    small = placed.join(largest, "band").filter("component <> main").select(
-        "band", F.col("rep").alias("x"), F.col("n_shingles").alias("nx"), F.col("component").alias("cx")
-    )
-    across = (
-        placed.join(small, "band")
-        .filter((F.col("component") != F.col("cx")) & (100 * F.least("nx", "n_shingles") >= threshold * F.greatest("nx", "n_shingles")))
-        .select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
-        .distinct()
-        .join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    across = written(across, "across")
-    if not across.isEmpty():
-        found = components(links.unionByName(_links(docs, reps, across, width, threshold)))
+    split = _split(members.drop("leader"), found)
+    if not split.isEmpty():
+        # Another leader in each band, a different one from band to band.
+        first = split.groupBy("band").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("band", "rep")).alias("l"))
+        more = split.join(first, "band").filter("component <> l.component").select(*_pair("rep", "l.rep")).distinct()
+        more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        rest = split.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti")
+        sets = sets.unionByName(_sets(docs, reps, rest, width))
+        links = links.unionByName(_links(more, sets, threshold))
+        found = components(links)
+        pairs = pairs.unionByName(more)
+        split = _split(members.drop("leader"), found)
+    if not split.isEmpty():
+        # What is still apart: every pair across components that shares a rare member.
+        inside = split.select("rep", "component").distinct()
+        apart = split.filter("component <> main").select("rep").distinct().withColumn("apart", F.lit(True))
+        prefixes = _prefixes(sets.join(inside, "rep", "left_semi"), threshold).join(inside, "rep").join(apart, "rep", "left")
+        prefixes = written(prefixes, "prefixes")
+        x = prefixes.filter("apart").select("member", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+        near = 100 * F.least("nx", "n") >= threshold * F.greatest("nx", "n")
+        across = prefixes.join(x, "member").filter((F.col("component") != F.col("cx")) & near).select(*_pair("rep", "x")).distinct()
+        across = written(across.join(pairs, ["a", "b"], "left_anti"), "across")
+        found = components(links.unionByName(_links(across, sets, threshold)))
 
     named = reps.select("rep", "f1", "f2", "n_shingles", "least").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = named.join(smallest, "component").select("f1", "f2", "n_shingles", "component_id")
-    out = rows.select("doc_id", "n_shingles", "f1", "f2").join(answer, ["f1", "f2", "n_shingles"], "left")
+    answer = named.join(smallest, "component").select("f1", "f2", "n_shingles", "component", "component_id")
+    out = rows.select("doc_id", "_id", "_h", "n_shingles", "f1", "f2").join(answer, ["f1", "f2", "n_shingles"], "left")
+    return out.drop("f1", "f2")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text).
+
+    A document's set holds its distinct shingles of ``width`` words, ASCII letters in lower
+    case; with fewer words, the whole sequence; null and blank texts have an empty set and no
+    link.  Two documents are linked if 100 * intersection >= threshold * union.  component_id
+    is the smallest doc_id reachable; a null doc_id links like any other but names no
+    component unless its whole component is null.  kept: doc_id equals component_id.
+    Repeated rows appear as often as they are given.  Other columns are ignored.
+    """
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    )
+    found = groups(docs, width, threshold).select("doc_id", "n_shingles", component.alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) without all but one of each group of near-duplicates.
+
+    Texts without words stay.  The smallest doc_id of a group stays; of rows equal in doc_id and text, one, and of a
+    group of null doc_id only, the one with the smallest hash of its text.
+    """
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), text_hash().alias("_h"))
+    found = written(groups(keyed.select("doc_id", "text"), width, threshold).filter("component IS NOT NULL"), "groups")
+    of_group = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "_id", "_h")).alias("k"))
+    gone = found.join(of_group, "component").filter((F.col("_id") != F.col("k._id")) | (F.col("_h") != F.col("k._h")))
+    gone = gone.select("_id", "_h").distinct()
+    twice = found.groupBy("_id", "_h").agg(F.count("*").alias("n")).filter("n > 1").select("_id", "_h", F.lit(True).alias("twice"))
+    kept = keyed.join(small(gone, F.lit(16)), ["_id", "_h"], "left_anti").join(small(twice, F.lit(24)), ["_id", "_h"], "left")
+    once = kept.filter("twice IS NULL").select("row.*")
+    return once.unionByName(kept.filter("twice").dropDuplicates(["_id", "_h"]).select("row.*"))
