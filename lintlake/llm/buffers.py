@@ -114,3 +114,17 @@ def span_hashes(content: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
         # Bytes between spans get a power as well; the difference of sums leaves them out.
         np.cumsum(table[content] * powers(longest)[np.minimum(place, longest - 1)], out=total[1:])
         return splitmix((total[ends] - total[starts]) ^ (lengths.astype(_U) * _U(0x9E3779B97F4A7C15)))
+
+
+_STEP = _U(0xD1342543DE82EF95)
+_STEP_BACK = _U(pow(0xD1342543DE82EF95, -1, 1 << 64))
+
+
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run ``values[start:end]``; runs may overlap."""
+    with np.errstate(over="ignore"):
+        n = len(values)
+        ahead = np.concatenate([np.ones(1, _U), np.cumprod(np.full(n, _STEP, _U))])
+        back = np.concatenate([np.ones(1, _U), np.cumprod(np.full(n, _STEP_BACK, _U))])
+        total = np.concatenate([np.zeros(1, _U), np.cumsum(values * ahead[:n])])
+        return splitmix((total[ends] - total[starts]) * back[starts] ^ ((ends - starts).astype(_U) * _U(0x9E3779B97F4A7C15)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, line_dedup, mixing, near_dedup
+from . import decontamination, language_id, line_dedup, mixing, near_dedup, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +49,14 @@ def op6_decontamination(spark, sf_dir):
 def op1_mixing(spark, sf_dir):
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_warc(spark, sf_dir):
+    records = warc.round_trip(_table(spark, sf_dir, "pages"), min_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
