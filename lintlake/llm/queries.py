@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, mixing, near_dedup, substring_dedup, warc
+from . import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, substring_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +61,18 @@ def op8_substring_dedup(spark, sf_dir):
 def op9_warc(spark, sf_dir):
     records = warc.round_trip(_table(spark, sf_dir, "pages"), min_bytes=0)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    docs, out = _table(spark, sf_dir, "documents").select("doc_id", "text"), language_id.held_out(3, 1)
+    model = toxicity.fit(toxicity.labelled(docs.filter(~out), _table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op5_lm_scoring(spark, sf_dir):
+    docs, out = _table(spark, sf_dir, "documents").select("doc_id", "text"), language_id.held_out(5, 1)
+    found = lm_scoring.score(docs, docs.filter(~out))
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
