@@ -3,17 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lintlake.llm import near_dedup
+from lintlake.llm import decontamination, language_id, line_dedup, mixing, near_dedup
 from lintlake.llm.frames import written
 
 
-def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language; those without a letter go."""
+    return language_id.keep_identified(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated runs of lines; a document of which nothing is left goes, n_chars follows the text."""
+    found = line_dedup.dedup_lines(docs)
+    left = found.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
     return near_dedup.keep_one(docs)
 
 
-STAGES = [("minhash_near_dedup", minhash_near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark passages."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix, with how many of their words it takes and in which shards."""
+    return mixing.mix_rows(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("minhash_near_dedup", dedup_near_copies),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+]
 
 # Stages with learned or random decisions have no SQL; tests/llm checks them against brute force.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, substring_dedup, toxicity, warc
+from . import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, neighbours, substring_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,3 +76,8 @@ def op5_lm_scoring(spark, sf_dir):
     docs, out = _table(spark, sf_dir, "documents").select("doc_id", "text"), language_id.held_out(5, 1)
     found = lm_scoring.score(docs, docs.filter(~out))
     return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op7_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
