@@ -9,9 +9,9 @@ the full sets.
 * Documents with equal sets become one class before any join, so copies are never paired.
 * Members of one band are compared with its smallest, not with each other, and where that
   leaves several components, with one more.
-* What is then still apart is compared across components if it shares one of the rarest
-  members of its set: a linked pair must, so no link is lost, and sets that share only what
-  very many share are never paired.
+* What is then still apart is compared across components if it shares a rare difference from
+  the band's leader: a linked pair must (see _differences), so no link is lost, and sets that
+  are alike only in what very many share are never paired.
 * A band or member of very many classes is a plain equi-join, which adaptive execution splits.
 """
 
@@ -189,34 +189,49 @@ def _count_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
 
 
-def _prefixes(sets: DataFrame, threshold: int) -> DataFrame:
-    """(rep, n, member): of each set its rarest members, as many as a linked set must share one of.
+def _differences(sets: DataFrame, led: DataFrame, threshold: int) -> DataFrame:
+    """(ref, rep, n, d, at, member): the rarest members in which each set differs from its leader's.
 
-    Sets with a Jaccard similarity of t share a member among the first n - ceil(t * n) + 1 in
-    any order common to all; rare ones first leaves few sets a member.  Rarity comes from
-    COUNTERS counters over all these sets; it only orders, so sharing a counter does no harm.
+    ``led`` has (ref, rep).  Linked sets x and y differ in at most T = (1 - t) / (1 + t) *
+    (n_x + n_y) members.  If one of them is not linked to their leader, and they differ from
+    it in d_x and d_y members, more of these are common than (d_x + d_y - T) / 2 > 0, so x and
+    y share one among the first (d_x - d_y + T) / 2 + 1 of x and (d_y - d_x + T) / 2 + 1 of y, in
+    any order common to all.  What all have in common with the leader is no difference, and
+    what all lack of it comes last, so a large group of similar sets meets in few places.
+    Rarity comes from COUNTERS counters over all differences; it only orders.
     """
-    counts = sets.select("members").mapInArrow(_count_members, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, out = [], []
+            for theirs, own in zip(batch.column("leader"), batch.column("members"), strict=True):
+                own, theirs = np.frombuffer(own.as_buffer(), "u8"), np.frombuffer(theirs.as_buffer(), "u8")
+                sizes.append(len(own))
+                out.append(np.setxor1d(own, theirs, assume_unique=True).tobytes())
+            columns = [batch.column("ref"), batch.column("rep"), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["ref", "rep", "n", "members"])
+
+    own = sets.select("rep", "members")
+    both = led.join(own, "rep").join(own.select(F.col("rep").alias("ref"), F.col("members").alias("leader")), "ref")
+    whole = written(both.select("ref", "rep", "leader", "members").mapInArrow(differ, "ref long, rep long, n long, members binary"), "whole-differences")
+    counts = whole.select("members").mapInArrow(_count_members, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     rarity = np.zeros(COUNTERS, np.int64)
     for row in counts.toLocalIterator():  # at most COUNTERS rows
         rarity[row["slot"]] = row["n"]
     shared = sets.sparkSession.sparkContext.broadcast(rarity)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, sizes, out = [], [], []
-            for rep, members in zip(batch.column("rep").to_pylist(), batch.column("members"), strict=True):
-                own = np.frombuffer(members.as_buffer(), "u8")
-                order = np.lexsort((own, shared.value[(own % _U(COUNTERS)).astype(np.int64)]))
-                first = own[order[: len(own) - -(-threshold * len(own) // 100) + 1]]
-                out.append(first.view(np.int64))
-                reps.append(np.full(len(first), rep, np.int64))
-                sizes.append(np.full(len(first), len(own), np.int64))
-            if reps:
-                columns = [pa.array(np.concatenate(x)) for x in (reps, sizes, out)]
-                yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "member"])
+            columns = [batch.column(c).to_pylist() for c in ("ref", "rep", "n")]
+            for ref, rep, n, members in zip(*columns, batch.column("members"), strict=True):
+                other = np.frombuffer(members.as_buffer(), "u8")
+                order = np.lexsort((other, shared.value[(other % _U(COUNTERS)).astype(np.int64)]))
+                chosen = other[order[: (100 - threshold) * n // threshold + 2]]
+                k = len(chosen)
+                out = [*(np.full(k, x, np.int64) for x in (ref, rep, n, len(other))), np.arange(1, k + 1), chosen.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["ref", "rep", "n", "d", "at", "member"])
 
-    return sets.select("rep", "members").mapInArrow(run, "rep long, n long, member long")
+    return whole.mapInArrow(first, "ref long, rep long, n long, d long, at long, member long")
 
 
 def _split(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -255,7 +270,7 @@ def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     pairs = written(members.filter("rep <> leader").select(*_pair("leader", "rep")).distinct(), "pairs")
     named = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     sets = _sets(docs, reps, named, width)
-    links = _links(pairs, sets, threshold)
+    first_pairs, links = pairs, _links(pairs, sets, threshold)
     found = components(links)
 
     split = _split(members.drop("leader"), found)
@@ -271,14 +286,21 @@ def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
         pairs = pairs.unionByName(more)
         split = _split(members.drop("leader"), found)
     if not split.isEmpty():
-        # What is still apart: every pair across components that shares a rare member.
+        # What is still apart: every pair of one band across components that shares a rare difference from its leader.
         inside = split.select("rep", "component").distinct()
         apart = split.filter("component <> main").select("rep").distinct().withColumn("apart", F.lit(True))
-        prefixes = _prefixes(sets.join(inside, "rep", "left_semi"), threshold).join(inside, "rep").join(apart, "rep", "left")
-        prefixes = written(prefixes, "prefixes")
-        x = prefixes.filter("apart").select("member", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        near = 100 * F.least("nx", "n") >= threshold * F.greatest("nx", "n")
-        across = prefixes.join(x, "member").filter((F.col("component") != F.col("cx")) & near).select(*_pair("rep", "x")).distinct()
+        led = first_pairs.select(F.col("a").alias("ref"), F.col("b").alias("rep")).join(inside.select("rep"), "rep", "left_semi")
+        different = _differences(sets, led, threshold).join(inside, "rep").join(apart, "rep", "left")
+        different = written(different, "differences")
+        x = different.filter("apart").select("ref", "member", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "d", "at", "component")])
+        most = (100 - threshold) / (100 + threshold) * (F.col("n") + F.col("x_n"))
+        within = lambda at, d, e: 2 * (at - 1) <= d - e + most + 1e-6
+        across = different.join(x, ["ref", "member"]).filter(
+            (F.col("component") != F.col("x_component"))
+            & within(F.col("at"), F.col("d"), F.col("x_d"))
+            & within(F.col("x_at"), F.col("x_d"), F.col("d"))
+        )
+        across = across.select(*_pair("rep", "x_rep")).distinct()
         across = written(across.join(pairs, ["a", "b"], "left_anti"), "across")
         found = components(links.unionByName(_links(across, sets, threshold)))
 

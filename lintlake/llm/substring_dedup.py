@@ -56,30 +56,27 @@ def sentences(content: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, hashes, first, at, np.searchsorted(at, first)
 
 
-def _runs(at: np.ndarray, n_words: int, first: np.ndarray, min_words: int, min_sentences: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end (in sentences) of the shortest runs with enough words and sentences; none crosses a row."""
-    n = len(at)
+def _runs(at: np.ndarray, n_words: int, first: np.ndarray, min_words: int, min_sentences: int, forward: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (in sentences) of the shortest run with enough words and sentences from, or to, each sentence; none crosses a row."""
     total = np.append(at, n_words)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    i = np.arange(n)
-    ends = np.maximum(np.searchsorted(total, total[:-1] + min_words, side="left"), i + min_sentences)
-    forward = ends <= first[row + 1]
+    i = np.arange(len(at))
+    if forward:
+        ends = np.maximum(np.searchsorted(total, total[:-1] + min_words, side="left"), i + min_sentences)
+        whole = ends <= first[row + 1]
+        return i[whole], ends[whole]
     starts = np.minimum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, i + 1 - min_sentences)
-    backward = starts >= first[row]
-    pairs = np.concatenate([np.stack([i[forward], ends[forward]], 1), np.stack([starts[backward], i[backward] + 1], 1)])
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    new = np.ones(len(pairs), bool)
-    new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
-    return pairs[new, 0], pairs[new, 1]
+    whole = starts >= first[row]
+    return starts[whole], i[whole] + 1
 
 
-def _hash(min_words: int, min_sentences: int):
+def _hash(min_words: int, min_sentences: int, forward: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in B.pieces(batch, "text"):
                 content, bounds = B.flat(piece.column("text"))
                 starts, hashes, first_word, at, first = sentences(content, bounds)
-                begin, end = _runs(at, len(starts), first, min_words, min_sentences)
+                begin, end = _runs(at, len(starts), first, min_words, min_sentences, forward)
                 upto = np.append(at, len(starts))
                 spans = B.sequence_hashes(hashes, upto[begin], upto[end]).view(np.int64)
                 row = np.searchsorted(first, begin, side="right") - 1
@@ -89,39 +86,48 @@ def _hash(min_words: int, min_sentences: int):
                     [
                         piece.column("_id"),
                         piece.column("_h"),
-                        pa.array(np.diff(first)),
                         as_list(pa.array(spans)),
                         as_list(pa.array((begin - first[row]).astype(np.int32))),
                         as_list(pa.array((end - begin).astype(np.int32))),
                     ],
-                    names=["_id", "_h", "n_sentences", "spans", "run_at", "run_length"],
+                    names=["_id", "_h", "spans", "run_at", "run_length"],
                 )
 
     return run
 
 
-def repeated_sentences(docs: DataFrame, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:
-    """(_id, _h, repeated, gone): sentence indexes inside any repeated run, and inside one that begins earlier as well.
-
-    ``docs`` has _id, _h and text; equal (_id, _h) count once.  Only documents with a repeated run have a row.
-    """
-    schema = "_id long, _h long, n_sentences long, spans array<long>, run_at array<int>, run_length array<int>"
-    hashed = docs.filter("text IS NOT NULL").select("_id", "_h", "text").mapInArrow(_hash(min_words, min_sentences), schema)
-    own = written(hashed, "sentences")
-    # Documents in order; a position is the document's number and the sentence in it.
-    numbers = own.select("_id", "_h").distinct().withColumn("one", F.lit(1))
-    numbers = running(numbers, ["_id", "_h"], "one", "number", "numbers").select("_id", "_h", "number")
-    runs = own.join(numbers, ["_id", "_h"]).select("number", F.explode(F.arrays_zip("spans", "run_at", "run_length")).alias("r"))
+def _repeats(docs: DataFrame, numbers: DataFrame, hashed) -> DataFrame:
+    """(number, at, length, later): runs that stand in more than one place, and whether one stands before."""
+    own = docs.mapInArrow(hashed, "_id long, _h long, spans array<long>, run_at array<int>, run_length array<int>")
+    own = own.join(small(numbers, F.lit(32)), ["_id", "_h"]).select("number", "spans", "run_at", "run_length")
+    runs = written(own, "runs").select("number", F.explode(F.arrays_zip("spans", "run_at", "run_length")).alias("r"))
     pos = F.shiftleft("number", POSITION_BITS).bitwiseOR(F.col("r.run_at"))
-    runs = written(runs.select(F.col("r.spans").alias("span"), pos.alias("pos"), F.col("r.run_length").alias("length")), "runs")
+    runs = runs.select(F.col("r.spans").alias("span"), pos.alias("pos"), F.col("r.run_length").alias("length"))
     # Equal rows of documents have equal positions: those are one occurrence.
     first = runs.groupBy("span").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).filter("first < last")
-    found = runs.join(first.drop("last"), "span").select(
+    first = written(first.drop("last"), "repeated-runs")
+    found = runs.join(small(first, F.lit(32)), "span").select(
         F.shiftright("pos", POSITION_BITS).alias("number"),
         F.col("pos").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int").alias("at"),
         "length",
         (F.col("pos") > F.col("first")).alias("later"),
     )
+    return written(found, "repeats")
+
+
+def repeated_sentences(docs: DataFrame, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:
+    """(_id, _h, repeated, gone): sentence indexes inside any repeated run, and inside one that begins earlier as well.
+
+    ``docs`` has _id, _h and text; equal (_id, _h) count once.  Only documents with a repeated run have a row.
+    """
+    docs = docs.filter("text IS NOT NULL").select("_id", "_h", "text")
+    # Documents in order; a position is the document's number and the sentence in it.
+    numbers = running(docs.select("_id", "_h").distinct().withColumn("one", F.lit(1)), ["_id", "_h"], "one", "number", "numbers")
+    numbers = numbers.select("_id", "_h", "number")
+    # Every repeated run has a repeated run forward in it; only its documents are asked for runs backward.
+    found = _repeats(docs, numbers, _hash(min_words, min_sentences, True))
+    some = found.select("number").distinct().join(numbers, "number").select("_id", "_h")
+    found = found.unionByName(_repeats(docs.join(small(some, F.lit(16)), ["_id", "_h"], "left_semi"), numbers, _hash(min_words, min_sentences, False)))
     inside = F.sequence("at", F.col("at") + F.col("length") - 1)
     cover = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     marked = found.groupBy("number").agg(cover(inside).alias("repeated"), cover(F.when(F.col("later"), inside)).alias("gone"))
