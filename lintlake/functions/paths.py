@@ -20,7 +20,7 @@ def suffix(path: Column) -> Column:
 
 
 def file_extension(path: Column) -> Column:
-    return F.lower(F.substring(suffix(path), 2, 1 << 20))
+    return F.lower(F.regexp_replace(suffix(path), r"^\.", ""))
 
 
 def dir_at_depth(directory: Column, depth: Column) -> Column:

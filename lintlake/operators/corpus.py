@@ -27,10 +27,8 @@ LANGUAGE_BY_SUFFIX = {
     ".go": "go",
 }
 
-# Fixed value: the largest Python file that is analysed.
+# Fixed value: a customary limit for the size of a Python file.
 MAX_FILE_BYTES = 10 * 1024 * 1024
-# Fixed value: how far the binary check looks for a NUL byte.
-BINARY_PREFIX_BYTES = 1024
 
 
 def language_of(path: Column, extensions: dict[str, str] | None = None, strict_case: bool = True) -> Column:
@@ -52,41 +50,40 @@ def route_language(
     return routed.filter(F.col("language").isNotNull())
 
 
-def with_gate(files: DataFrame, python_only: bool = True) -> DataFrame:
+def with_gate(files: DataFrame, python_only: bool = True, max_bytes: int | None = None) -> DataFrame:
     """Adds ``gate``: ok, too_large, binary, encoding, blank or undecodable; and ``text``.
 
-    ``text`` is null unless the gate is ok, so no later step can look at a refused file.
+    ``text`` is null unless the gate is ok or too_large, so no later step can look at a refused
+    file.  A file above ``max_bytes`` is reported and analysed all the same.
     Files come either with ``content`` (bytes) or with ``text``.
     """
     if "content" in files.columns:
         size = F.col("length") if "length" in files.columns else F.octet_length("content")
         decoded = F.col("content").cast("string")
-        binary = F.locate("\0", F.substring(F.col("content"), 1, BINARY_PREFIX_BYTES).cast("string")) > 0
         valid = F.is_valid_utf8(decoded)
     else:
         size = F.octet_length("text")
         decoded = F.col("text")
-        binary = F.locate("\0", F.substring(F.col("text"), 1, BINARY_PREFIX_BYTES)) > 0
         valid = F.is_valid_utf8("text")
     gated = (F.col("language") == "python") if python_only else F.lit(True)
     gate = (
-        F.when(gated & (size > MAX_FILE_BYTES), "too_large")
-        .when(gated & binary, "binary")
+        F.when(gated & (F.locate("\0", decoded) > 0), "binary")
         .when(~valid, F.when(gated, "encoding").otherwise("undecodable"))
         .when(gated & X.is_blank(decoded), "blank")
+        .when(gated & (size > max_bytes) if max_bytes is not None else F.lit(False), "too_large")
         .otherwise("ok")
     )
     marked = files.withColumn("gate", gate).withColumn("gate_bytes", size.cast("long"))
-    return marked.withColumn("text", F.when(F.col("gate") == "ok", X.normalize_newlines(decoded)))
+    return marked.withColumn("text", F.when(F.col("gate").isin("ok", "too_large"), X.normalize_newlines(decoded)))
 
 
-def gate_findings(path: Column, gate: Column, n_bytes: Column) -> Column:
-    """The single finding of a refused Python file."""
+def gate_findings(path: Column, gate: Column, n_bytes: Column, max_bytes: int | None = None) -> Column:
+    """The finding of a Python file that is refused or too large."""
 
     def row(kind: str, message: Column, fix: str) -> Column:
         return F.array(finding(0, kind, "error", message, fix, order=order_key(GATES, F.lit(0))))
 
-    limit = f"{MAX_FILE_BYTES:,}"
+    limit = f"{max_bytes or 0:,}"
     return (
         F.when(
             gate == "too_large",
@@ -108,11 +105,11 @@ def gate_findings(path: Column, gate: Column, n_bytes: Column) -> Column:
     )
 
 
-def gate(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files that may be analysed, findings of those refused)."""
-    marked = with_gate(files)
-    refused = explode_findings(marked, gate_findings(F.col("path"), F.col("gate"), F.col("gate_bytes")))
-    return marked.filter(F.col("gate") == "ok").drop("gate", "gate_bytes"), refused
+def gate(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files that may be analysed, findings of those that are refused or too large)."""
+    marked = with_gate(files, max_bytes=max_bytes)
+    refused = explode_findings(marked, gate_findings(F.col("path"), F.col("gate"), F.col("gate_bytes"), max_bytes))
+    return marked.filter(F.col("gate").isin("ok", "too_large")).drop("gate", "gate_bytes"), refused
 
 
 def gate_access(manifest: DataFrame, scanned: DataFrame) -> DataFrame:

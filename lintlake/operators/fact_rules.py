@@ -187,7 +187,7 @@ identity_comparison_gotcha = FactRule(
     quoted("Compare values with ==; keep 'is' for None, True and False"),
     {
         "pattern": f"concat({_LITERAL}, '_identity_comparison')",
-        "value": f"CASE WHEN {_BIG_INT} THEN fact.const_value ELSE substring(fact.const_value, 1, 50) END",
+        "value": f"CASE WHEN {_BIG_INT} THEN fact.const_value ELSE fact.const_value END",
     },
 )
 compile_call = FactRule(

@@ -42,7 +42,8 @@ def latest_per_key(history: DataFrame, *tie_break: str) -> DataFrame:
     per map task.
     """
     rest = [c for c in history.columns if c not in HISTORY_KEY]
-    newest = F.max_by(F.struct(*rest), F.struct("timestamp", *tie_break))
+    # Rows that tie in all of these are told apart by what they hold, not by chance.
+    newest = F.max_by(F.struct(*rest), F.struct("timestamp", *tie_break, F.struct(*[c for c in rest if c not in tie_break])))
     return history.groupBy(*HISTORY_KEY).agg(newest.alias("_row")).select(*HISTORY_KEY, "_row.*").select(history.columns)
 
 

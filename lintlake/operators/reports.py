@@ -94,8 +94,8 @@ def reminders(df: DataFrame) -> DataFrame:
     return df.select("run_id", "reminder").distinct()
 
 
-def project_digest(summary: DataFrame) -> DataFrame:
-    """(project_hash, digest): the summary of a project as text, in a fixed format."""
+def project_digest(summary: DataFrame, days: int = 7) -> DataFrame:
+    """(project_hash, digest): the summary of a project over ``days`` as text, in a fixed format."""
     issues = F.transform(
         "top_issues",
         lambda i: F.concat(
@@ -111,7 +111,7 @@ def project_digest(summary: DataFrame) -> DataFrame:
     parts = F.array_compact(
         F.array(
             F.lit("# MEMORY:\n"),
-            F.when(has_issues, F.concat(F.lit("## Recent Violation Patterns (Last 7 Days)\n\n"), F.array_join(issues, "\n"), F.lit("\n"))),
+            F.when(has_issues, F.concat(F.lit(f"## Recent Violation Patterns (Last {days} Days)\n\n"), F.array_join(issues, "\n"), F.lit("\n"))),
             F.when(has_files, F.concat(F.lit("## Files Needing Attention\n\n"), F.array_join(files, "\n"), F.lit("\n"))),
             F.when(~has_issues & ~has_files, F.lit("No violations logged yet.\n")),
         )

@@ -118,7 +118,7 @@ LINE_RULES: list[LineRule] = [
     LineRule(
         "banned_package_import",
         "typescript",
-        r"^\s*import\s+.*\s+from\s+['\"]([^'\"]+)['\"]",
+        r"^\s*+import\s.*\sfrom\s++['\"]([^'\"]++)['\"]",
         "error",
         "Banned package '{name}'",
         needle="import",

@@ -29,5 +29,5 @@ class PackRegistry:
         if pack is not None:
             self.packs[language] = pack
 
-    def scan(self, files: DataFrame, *keep: str) -> DataFrame:
-        return scan_all(files, rules=self.rules, packs=self.packs, extensions=self.extensions, keep=keep)
+    def scan(self, files: DataFrame, *keep: str, max_bytes: int | None = None) -> DataFrame:
+        return scan_all(files, rules=self.rules, packs=self.packs, extensions=self.extensions, keep=keep, max_bytes=max_bytes)

@@ -20,9 +20,11 @@ from lintlake.operators.rulebook import LineRule
 Pack = Callable[[Column, Column, Column], Column]
 
 
-def prepare(files: DataFrame, extensions: dict[str, str] | None = None, strict_case: bool = True) -> DataFrame:
+def prepare(
+    files: DataFrame, extensions: dict[str, str] | None = None, strict_case: bool = True, max_bytes: int | None = None
+) -> DataFrame:
     """Routed and gated files with the columns the rules read."""
-    return with_gate(route_language(files, extensions, strict_case))
+    return with_gate(route_language(files, extensions, strict_case), max_bytes=max_bytes)
 
 
 def with_findings(
@@ -30,6 +32,7 @@ def with_findings(
     rules: list[LineRule] | None = None,
     packs: dict[str, Pack] | None = None,
     extensions: dict[str, str] | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """One row per routed file with ``findings``, the array of everything found in it.
 
@@ -38,9 +41,9 @@ def with_findings(
     small ones, and the same plan runs on a stream.
     """
     path, language, text = F.col("path"), F.col("language"), F.col("text")
-    prepared = with_naming_flag(with_test_flags(with_facts(prepare(files, extensions))))
+    prepared = with_naming_flag(with_test_flags(with_facts(prepare(files, extensions, max_bytes=max_bytes))))
     parts = [
-        gate_findings(path, F.col("gate"), F.col("gate_bytes")),
+        gate_findings(path, F.col("gate"), F.col("gate_bytes"), max_bytes),
         fact_findings(),
         line_findings(rules),
         file_findings(),
@@ -62,12 +65,13 @@ def scan_all(
     packs: dict[str, Pack] | None = None,
     extensions: dict[str, str] | None = None,
     keep: tuple[str, ...] = (),
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """All findings of all rules; equal findings on one line stay separate rows.
 
     ``config`` (project_hash, allowed_patterns) needs ``project_hash`` among ``keep``.
     """
-    found = with_findings(files, rules, packs, extensions)
+    found = with_findings(files, rules, packs, extensions, max_bytes)
     rows = explode_findings(found, F.col("findings"), *keep)
     if config is None:
         return rows
@@ -76,10 +80,10 @@ def scan_all(
     return apply_allow_list(rows, config)
 
 
-def scan_decisions(files: DataFrame, rules: list[LineRule] | None = None) -> DataFrame:
+def scan_decisions(files: DataFrame, rules: list[LineRule] | None = None, max_bytes: int | None = None) -> DataFrame:
     """Block or approve per file, straight from the scan: the flagship, without a shuffle."""
     from lintlake.operators.reports import decision_columns
 
-    found = with_findings(files, rules)
+    found = with_findings(files, rules, max_bytes=max_bytes)
     errors = F.filter("findings", lambda f: f["severity"] == "error")
     return found.select("path", "language", *decision_columns(P.base_name(F.col("path")), errors))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Safe on any cluster size: AQE picks the partition count and splits skewed joins.
@@ -30,11 +28,9 @@ def build_session(master: str | None = None, app_name: str = "lintlake", **conf:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    Only a local master may fall back to a folder of this machine.
+    Where none is named, a folder below the warehouse, which is shared as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="lintlake-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lintlake"

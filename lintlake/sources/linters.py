@@ -195,7 +195,7 @@ def import_legacy_log(df_lines: DataFrame) -> DataFrame:
     """'|'-separated log lines: path, line, type and advice are fields 1, 2, 3 and 5.
 
     Lines with fewer than six fields are dropped.  The separator is not escaped in this
-    format, so an escaped one still splits a field.
+    format, so an escaped one still splits a field.  The format has no language; it is python.
     """
     parts = F.split(py_strip(F.col("line")), r"\|", -1)
     split = df_lines.select(parts.alias("f")).filter(F.size("f") >= 6)
@@ -208,4 +208,4 @@ def import_legacy_log(df_lines: DataFrame) -> DataFrame:
         _or(number, 0), plain(3), "error", plain(3), F.replace(plain(5), F.lit("\\n"), F.lit("\n"))
     )
     named = split.withColumn("path", plain(1))
-    return explode_findings(named.withColumn("language", F.coalesce(language_of(F.col("path")), F.lit("python"))), F.array(row))
+    return explode_findings(named.withColumn("language", F.lit("python")), F.array(row))

@@ -49,10 +49,14 @@ def stream_upsert(
     to_rows: Callable[[DataFrame], DataFrame] | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Appends each micro-batch to the history log under its batch id; a replay is harmless."""
+    """Appends each micro-batch to the history log under the stream's and its own id; a replay is harmless.
+
+    A stream keeps its id as long as it keeps its checkpoint.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_history(to_rows(batch) if to_rows else batch, location, batch_id)
+        writer = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_history(to_rows(batch) if to_rows else batch, location, batch_id, writer)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

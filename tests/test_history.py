@@ -4,6 +4,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from lintlake.operators import convergence, history
 from lintlake.schemas import HISTORY, HISTORY_KEY
 from lintlake.sources import history_store
@@ -61,7 +63,7 @@ def test_store_replay_and_look_back(spark, tmp_path):
     place = str(tmp_path / "log")
     first, second = table(spark, row(0, fix="old"), row(0, line=2)), table(spark, row(5, fix="new"))
     for batch_id, batch in [(0, first), (1, second), (1, second), (0, first)]:
-        history_store.append_history(batch, place, batch_id)
+        history_store.append_history(batch, place, batch_id, "w")
     rows = history_store.read_history(spark, place)
     assert sorted((r.line_num, r.fix_suggestion) for r in rows.collect()) == [(1, "new"), (2, "f")]
     recent = history_store.read_history(spark, place, T0 + timedelta(days=1))
@@ -70,15 +72,15 @@ def test_store_replay_and_look_back(spark, tmp_path):
 
 def test_store_look_back_prunes_partitions(spark, tmp_path, plan):
     place = str(tmp_path / "log")
-    history_store.append_history(table(spark, row(0), row(5, line=2)), place, 0)
+    history_store.append_history(table(spark, row(0), row(5, line=2)), place, 0, "w")
     text = plan(history_store.read_history(spark, place, T0 + timedelta(days=1)))
     assert "PartitionFilters: [isnotnull(event_date" in text
 
 
 def test_compact(spark, tmp_path):
     place, target = str(tmp_path / "log"), str(tmp_path / "merged")
-    history_store.append_history(table(spark, row(0, fix="old"), row(0, line=2)), place, 0)
-    history_store.append_history(table(spark, row(100, fix="new")), place, 1)
+    history_store.append_history(table(spark, row(0, fix="old"), row(0, line=2)), place, 0, "w")
+    history_store.append_history(table(spark, row(100, fix="new")), place, 1, "w")
     history_store.compact(spark, place, target, T0 + timedelta(days=101), 90)
     assert [r.fix_suggestion for r in history_store.read_history(spark, target).collect()] == ["new"]
 
@@ -115,3 +117,16 @@ def test_convergence(spark):
 def test_final_round_keeps_every_row(spark):
     found = spark.range(9000).select(F.lit("/hot.py").alias("path"), "id", (F.col("id") % 3).cast("int").alias("round"))
     assert convergence.final_round(found).count() == 3000
+
+
+def test_two_writers_keep_their_rows(spark, tmp_path):
+    place = str(tmp_path / "log")
+    history_store.append_history(table(spark, row(0)), place, 0, "one")
+    history_store.append_history(table(spark, row(0, line=2)), place, 0, "two")
+    assert sorted(r.line_num for r in history_store.read_history(spark, place).collect()) == [1, 2]
+
+
+def test_compact_refuses_its_own_location(spark, tmp_path):
+    place = str(tmp_path / "log")
+    with pytest.raises(ValueError, match="another folder"):
+        history_store.compact(spark, place, place + "/")

@@ -25,11 +25,11 @@ def test_tree_and_gates(spark, tmp_path):
     assert names == set(contents) - {"empty.py", "notes.txt", "UP.PY"}
     found = {(r.path.rsplit("/", 1)[1], r.violation_type, r.line_num) for r in scan_all(tree).collect()}
     assert found == {
-        ("nul.py", "binary_file_error", 0), ("latin.py", "encoding_error", 0), ("big.py", "file_too_large", 0),
+        ("nul.py", "binary_file_error", 0), ("latin.py", "encoding_error", 0), ("big.py", "missing_module_docstring", 1),
         ("win.py", "antipattern", 2), ("win.py", "gil_confusion", 2),
     }
-    ok, refused = corpus.gate(corpus.route_language(tree))
-    assert {r.path.rsplit("/", 1)[1] for r in ok.collect()} == {"ok.py", "win.py", "cut.py"} and refused.count() == 3
+    ok, refused = corpus.gate(corpus.route_language(tree), corpus.MAX_FILE_BYTES)
+    assert {r.path.rsplit("/", 1)[1] for r in ok.collect()} == {"ok.py", "win.py", "cut.py", "big.py"} and refused.count() == 3
     others = spark.createDataFrame([("/gone.py", 5), ("/gone.go", 5), ("/empty.py", 0)], "path string, length long")
     manifest = tree.select("path", "length").unionByName(others)
     lost = corpus.gate_access(manifest, tree).collect()

@@ -164,8 +164,7 @@ def _(spark, sf_dir):
         "path", "language", "length", "content",
         F.substring(content, 1, 4).cast("string").alias("head"), F.substring(content, -4, 4).cast("string").alias("tail"),
     )
-    small = ends.withColumn("length", F.least("length", F.lit(corpus.MAX_FILE_BYTES)))
-    return corpus.with_gate(small).select(P.base_name(F.col("path")).alias("file_name"), "head", "tail", "gate")
+    return corpus.with_gate(ends).select(P.base_name(F.col("path")).alias("file_name"), "head", "tail", "gate")
 
 
 @query(
@@ -200,7 +199,7 @@ _TOO_LARGE = "(s = 3 AND n_chars * 100000 > 10485760)"
 
 
 def _gate(spark, sf_dir, kind):
-    found = corpus.gate(corpus.route_language(fx.raw_files(spark, sf_dir)))[1]
+    found = corpus.gate(corpus.route_language(fx.raw_files(spark, sf_dir)), corpus.MAX_FILE_BYTES)[1]
     return found.filter(F.col("violation_type") == kind).select(*FOUND)
 
 
@@ -223,9 +222,10 @@ def _(spark, sf_dir):
     return _gate(spark, sf_dir, "encoding_error")
 
 
-@query("gate_passed", f"{_RAW} SELECT path FROM raw WHERE (is_py AND s >= 3 AND NOT {_TOO_LARGE}) OR (NOT is_py AND s <> 1)")
+@query("gate_passed", f"{_RAW} SELECT path FROM raw WHERE (is_py AND s >= 3) OR (NOT is_py AND s <> 1)")
 def _(spark, sf_dir):
-    return corpus.gate(corpus.route_language(fx.raw_files(spark, sf_dir)))[0].select("path")
+    """A file above the limit is reported and still analysed."""
+    return corpus.gate(corpus.route_language(fx.raw_files(spark, sf_dir)), corpus.MAX_FILE_BYTES)[0].select("path")
 
 
 @query("gate_empty", f"{_RAW} SELECT path FROM raw WHERE is_py AND s = 2")
@@ -368,7 +368,7 @@ def _(spark, sf_dir):
 # A generic pack on any text: licence lines, contact lines, questions.
 TEXT_PACK = [
     LineRule("license_line", "text", r"(?i)licen[sc]e", "warning", "Licence text"),
-    LineRule("contact_line", "text", r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]{2,}", "error", "Contact address"),
+    LineRule("contact_line", "text", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++@[A-Za-z0-9.-]+\.[a-z]{2,}", "error", "Contact address"),
     LineRule("question_line", "text", r"\?", "warning", "A question"),
 ]
 _PACK_SQL = {
@@ -588,7 +588,7 @@ def _(spark, sf_dir):
 
 def _suppressed(spark, sf_dir, enabled):
     files = fx.code_files(spark, sf_dir).withColumn(
-        "text", F.replace("text", F.lit("x = Mock()"), F.lit("x = Mock()  # guard: allow-mock"))
+        "text", F.replace("text", F.lit("x = Mock()"), F.lit("x = Mock()  # allow-mock"))
     )
     routed = corpus.route_language(files)
     mocks = scan.scan_all(files).filter(F.col("violation_type") == "mock_violation")

@@ -74,7 +74,7 @@ def _(spark, sf_dir):
     day = F.dayofmonth("timestamp")
     parts = [rows.filter(day <= 10), rows.filter((day > 10) & (day <= 20)), rows.filter(day > 20)]
     for batch_id, part in enumerate([*parts, parts[1]]):
-        history_store.append_history(history.latest_per_key(part, "seq"), place, batch_id if batch_id < 3 else 1)
+        history_store.append_history(history.latest_per_key(part, "seq"), place, batch_id if batch_id < 3 else 1, "loader")
     return history_store.read_history(spark, place)
 
 
@@ -84,10 +84,52 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     place = _work_folder(spark, "history")
-    history_store.append_history(history.latest_per_key(_history(spark, sf_dir), "seq"), place, 0)
+    history_store.append_history(history.latest_per_key(_history(spark, sf_dir), "seq"), place, 0, "loader")
     return history_store.read_history(spark, place, AS_OF - timedelta(days=7))
 
 
+_LATEST = f"{H} SELECT {COLUMNS} FROM h QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY timestamp DESC, seq DESC) = 1"
+
+
+@query("history_two_writers", _LATEST)
+def _(spark, sf_dir):
+    """Two writers, each with a batch 0 of the same days: neither replaces the other's."""
+    place = _work_folder(spark, "history")
+    rows = _history(spark, sf_dir)
+    for writer, part in (("even", rows.filter(F.col("seq") % 2 == 0)), ("odd", rows.filter(F.col("seq") % 2 == 1))):
+        history_store.append_history(part, place, 0, writer, ("seq",))
+    return history_store.read_history(spark, place)
+
+
+@query(
+    "history_equal_times",
+    f"{H} SELECT * REPLACE (TIMESTAMP '2024-01-30 00:00:00' AS timestamp) FROM (SELECT {COLUMNS} FROM h "
+    f"QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY seq DESC) = 1)",
+)
+def _(spark, sf_dir):
+    """All findings of one scan have one time; the last one found stays."""
+    place = _work_folder(spark, "history")
+    rows = _history(spark, sf_dir).withColumn("timestamp", F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))
+    history_store.append_history(rows, place, 0, "scan", ("seq",))
+    return history_store.read_history(spark, place)
+
+
+@query(
+    "compact_history",
+    f"{H} SELECT {COLUMNS} FROM h WHERE NOT timestamp < TIMESTAMP '2024-01-17 00:00:00' "
+    f"QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY timestamp DESC, seq DESC) = 1",
+)
+def _(spark, sf_dir):
+    """Compacted without expired rows; a later batch goes to the compacted log."""
+    place, target = _work_folder(spark, "history"), _work_folder(spark, "compacted")
+    rows = _history(spark, sf_dir)
+    late = F.dayofmonth("timestamp") > 25
+    history_store.append_history(rows.filter(~late), place, 0, "loader", ("seq",))
+    history_store.compact(spark, place, target, AS_OF, 14)
+    history_store.append_history(rows.filter(late), target, 1, "loader", ("seq",))
+    return history_store.read_history(spark, target)
+
+
 # G1 to G8, I1 to I4: questions
 
 
@@ -264,7 +306,7 @@ _TSC_LINES = (
 def _(spark, sf_dir):
     lines = fx.text_report_lines(spark, sf_dir)
     found = linters.import_tsc(lines, fx.project_markers(spark, sf_dir))
-    message = F.concat(F.lit("TypeScript: "), F.trim(F.substring("message", 13, 1 << 20)))
+    message = F.concat(F.lit("TypeScript: "), F.trim(F.substr("message", F.lit(13))))
     return found.select(
         "path", "line_num", "violation_type", message.alias("message"), "severity",
         F.element_at("language_context", "column").alias("col"),
@@ -539,6 +581,17 @@ def _(spark, sf_dir):
     return history_store.read_history(spark, f"{place}/history")
 
 
+@query("stream_two_checkpoints", _LATEST)
+def _(spark, sf_dir):
+    """Two streams with checkpoints of their own write to one log."""
+    place = _work_folder(spark, "upsert")
+    rows = fx.history_of(_event_stream(spark, sf_dir))
+    for name, remainder in (("even", 0), ("odd", 1)):
+        part = rows.filter(F.col("seq") % 2 == remainder).drop("seq")
+        streams.stream_upsert(part, f"{place}/history", f"{place}/{name}").awaitTermination()
+    return history_store.read_history(spark, f"{place}/history")
+
+
 @query("dedup_events", "SELECT event_id, event_type FROM events")
 def _(spark, sf_dir):
     """Every event twice, kept once."""
