@@ -58,7 +58,6 @@ def targets(sizes: DataFrame, share: float = 1.0) -> DataFrame:
     everything = Window.partitionBy(F.lit(1))
     rate = (F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("room").over(before), F.lit(0))) / F.sum("weight").over(after)
     filled = ranked.withColumn("rate", rate).withColumn("full", F.col("room") <= F.col("rate") * F.col("weight"))
-    level = F.min(F.when(~F.col("full"), F.col("rate"))).over(by_room.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     # The first source that is not full stands where all full ones have been taken off.
     level = F.min_by(F.when(~F.col("full"), F.col("rate")), F.when(~F.col("full"), F.struct(F.col("room") / F.col("weight"), "sid"))).over(everything)
     target = F.when(F.col("full"), F.col("room").cast("double")).otherwise(level * F.col("weight"))
@@ -111,6 +110,8 @@ def shard_quotas(quotas: DataFrame, depth: int) -> DataFrame:
     nodes = named.agg(F.array_sort(F.collect_list("x")).alias("q"))  # one entry a source
     nodes = written(nodes.select(F.lit(0).cast("long").alias("node"), "q"), "nodes")
     n_sources = nodes.select(F.size("q")).first()[0]
+    if not n_sources:
+        return quotas.select(F.lit(0).cast("long").alias("shard"), "sid", F.col("quota").cast("long").alias("quota"))
     for level in range(depth):
         upto = F.transform(F.concat(F.array(F.lit(0).cast("int")), F.sequence(F.lit(1), F.size("q"))), lambda i: F.aggregate(F.slice("q", 1, i), F.lit(0).cast("long"), lambda s, x: s + x["quota"]))
         groups = nodes.withColumn("upto", upto).withColumn("draws", F.floor(F.element_at("upto", -1) / 2).cast("long"))
