@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, neighbours, substring_dedup, toxicity, warc
+from . import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, neighbours, oracles, substring_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_minhash_near_dedup": oracles.NEAR_DEDUP,
+    "op6_decontamination": oracles.DECONTAMINATION,
+    "op9_warc": oracles.WARC,
+    "op10_line_dedup": oracles.LINE_DEDUP,
+}
 
 
 def query(fn: Query) -> Query:

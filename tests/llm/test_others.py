@@ -17,8 +17,9 @@ def test_nearest_on_edges(spark):
     nan, inf = float("nan"), float("inf")
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)]
-    rows += [(200 + i, [1.0, 0, 0, 0, 0, 0]) for i in range(40)] + [(150, [2.0, 0, 0, 0, 0, 0]), (50, rows[50][1])]
-    bad = [(1000, None), (1050, [0.0] * 6), (1100, [nan] * 6), (1150, [inf, 0, 0, 0, 0, 0]), (1200, []), (1250, [None, 1.0]), (None, [1.0] * 6)]
+    rows = [r for r in rows if r[0] != 150]
+    rows += [(200 + i, [1.0] + [0.0] * 5) for i in range(40)] + [(150, [2.0] + [0.0] * 5), (50, rows[50][1])]
+    bad = [(1000, None), (1050, [0.0] * 6), (1100, [nan] * 6), (1150, [inf] + [0.0] * 5), (1200, []), (1250, [None, 1.0]), (None, [1.0] * 6)]
     other = [(1300, [1.0, 2.0]), (1301, [2.0, 1.0])]
     df = spark.createDataFrame(rows + bad + other, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash"))
     found = {}
