@@ -10,7 +10,7 @@ the full sets.
 * Members of one band are compared with its smallest, not with each other, and where that
   leaves several components, with one more.
 * What is then still apart is compared across components if it shares a rare difference from
-  the band's leader: a linked pair must (see _differences), so no link is lost, and sets that
+  the band's reference: a linked pair must (see _differences), so no link is lost, and sets that
   are alike only in what very many share are never paired.
 * A band or member of very many classes is a plain equi-join, which adaptive execution splits.
 """
@@ -190,13 +190,13 @@ def _count_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _differences(sets: DataFrame, led: DataFrame, threshold: int) -> DataFrame:
-    """(ref, rep, n, d, at, member): the rarest members in which each set differs from its leader's.
+    """(ref, rep, n, d, at, member): the rarest members in which each set differs from its reference.
 
     ``led`` has (ref, rep).  Linked sets x and y differ in at most T = (1 - t) / (1 + t) *
-    (n_x + n_y) members.  If one of them is not linked to their leader, and they differ from
+    (n_x + n_y) members.  If one of them is not linked to their reference, and they differ from
     it in d_x and d_y members, more of these are common than (d_x + d_y - T) / 2 > 0, so x and
     y share one among the first (d_x - d_y + T) / 2 + 1 of x and (d_y - d_x + T) / 2 + 1 of y, in
-    any order common to all.  What all have in common with the leader is no difference, and
+    any order common to all.  What all have in common with the reference is no difference, and
     what all lack of it comes last, so a large group of similar sets meets in few places.
     Rarity comes from COUNTERS counters over all differences; it only orders.
     """
@@ -270,7 +270,7 @@ def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     pairs = written(members.filter("rep <> leader").select(*_pair("leader", "rep")).distinct(), "pairs")
     named = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     sets = _sets(docs, reps, named, width)
-    first_pairs, links = pairs, _links(pairs, sets, threshold)
+    links = _links(pairs, sets, threshold)
     found = components(links)
 
     split = _split(members.drop("leader"), found)
@@ -286,10 +286,11 @@ def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
         pairs = pairs.unionByName(more)
         split = _split(members.drop("leader"), found)
     if not split.isEmpty():
-        # What is still apart: every pair of one band across components that shares a rare difference from its leader.
+        # What is still apart: every set with its band's reference, the smallest of the largest component, and every
+        # pair of one band across components that shares a rare difference from it.
         inside = split.select("rep", "component").distinct()
         apart = split.filter("component <> main").select("rep").distinct().withColumn("apart", F.lit(True))
-        led = first_pairs.select(F.col("a").alias("ref"), F.col("b").alias("rep")).join(inside.select("rep"), "rep", "left_semi")
+        led = written(split.select(F.col("main").alias("ref"), "rep").distinct().filter("ref <> rep"), "references")
         different = _differences(sets, led, threshold).join(inside, "rep").join(apart, "rep", "left")
         different = written(different, "differences")
         x = different.filter("apart").select("ref", "member", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "d", "at", "component")])
@@ -300,7 +301,7 @@ def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
             & within(F.col("at"), F.col("d"), F.col("x_d"))
             & within(F.col("x_at"), F.col("x_d"), F.col("d"))
         )
-        across = across.select(*_pair("rep", "x_rep")).distinct()
+        across = across.select(*_pair("rep", "x_rep")).union(led.join(apart, "rep", "left_semi").select(*_pair("ref", "rep"))).distinct()
         across = written(across.join(pairs, ["a", "b"], "left_anti"), "across")
         found = components(links.unionByName(_links(across, sets, threshold)))
 
