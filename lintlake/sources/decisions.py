@@ -14,9 +14,3 @@ def write_decisions(decisions: DataFrame, location: str) -> None:
 def decision_json(decisions: DataFrame) -> DataFrame:
     """(path, json): the decision document of each file."""
     return decisions.select("path", F.to_json(F.struct("decision", "reason")).alias("json"))
-
-
-def write_decisions(decisions: DataFrame, location: str) -> None:
-    decision_json(decisions).select(
-        F.to_json(F.struct("path", "json")).alias("value")
-    ).write.mode("overwrite").text(location)

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -19,6 +20,7 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.python.sql.dataFrameDebugging.enabled": "false",
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="lintlake-tests-"),
             "spark.ui.showConsoleProgress": "false",
         },
     )

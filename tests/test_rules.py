@@ -254,3 +254,19 @@ def test_filter_on_decisions_does_not_copy_the_rules(files, plan):
 
     tree = plan(scan_decisions(files(("/a.py", "import os\n"))).filter("decision = 'block'")).split("\n\n\n")[0]
     assert tree.count("ArrowEvalPython") == 1
+
+
+def test_patterns_stay_linear_on_long_lines(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lintlake.operators.rulebook import LINE_RULES
+    from workloads.corpus_queries import TEXT_PACK
+
+    n = 1_000_000
+    lines = [" " * n, "a" * n, "'" * n, "(" * n, "import " + " " * n + "x", "import" + " from" * (n // 5), "def f(" * (n // 6), "a@" * (n // 2)]
+    table = spark.createDataFrame([(x,) for x in lines], "line string")
+    start = time.monotonic()
+    table.select(*[F.col("line").rlike(rule.pattern).alias(f"r{i}") for i, rule in enumerate([*LINE_RULES, *TEXT_PACK])]).collect()
+    assert time.monotonic() - start < 60

@@ -155,7 +155,7 @@ def test_decisions(spark, files, tmp_path):
     assert scan_decisions(source).filter("path = '/w/a.rs'").first().reason == decided["/w/a.rs"].reason
     decisions.write_decisions(scan_decisions(source), str(tmp_path / "out"))
     written = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
-    assert {json.loads(w["json"])["decision"] for w in written} == {"block", "approve"}
+    assert {w["decision"] for w in written} == {"block", "approve"}
 
 
 def test_reports(spark, files):
@@ -181,3 +181,13 @@ def test_package_is_not_needed_on_executors():
     run = "import pickle, sys; print(pickle.loads(sys.stdin.buffer.read())('import os')[1]['name'], 'lintlake' in sys.modules)"
     done = subprocess.run([sys.executable, "-c", run], input=cloudpickle.dumps(facts.facts_of_text), capture_output=True, cwd="/tmp", timeout=60)
     assert done.stdout.split() == [b"os", b"False"], done.stderr
+
+
+def test_decision_documents_round_trip(spark, tmp_path):
+    from lintlake.sources.decisions import write_decisions
+
+    rows = [("/a.py", "block", "line one\nline \"two\""), ("/b.py", "approve", None)]
+    place = str(tmp_path / "decisions")
+    write_decisions(spark.createDataFrame(rows, "path string, decision string, reason string"), place)
+    back = spark.read.schema("path string, decision string, reason string").json(place)
+    assert sorted(map(tuple, back.collect())) == rows
