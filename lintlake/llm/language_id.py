@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import buffers as B
 
@@ -197,6 +198,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (text, lang and any others) whose text has a language; learns from all rows with a lang."""
     langs, matrix = profiles(docs)
     rows = docs.select(F.struct("*").alias("row"), F.col("text"))
-    schema = f"row {docs.schema.simpleString()}, lang_pred string, score double"
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     found = rows.mapInArrow(_predict(langs, matrix), schema)
     return found.filter(F.col("lang_pred") != UNDETERMINED).select("row.*")
