@@ -6,6 +6,10 @@ bits) and the 26 bits after the first one.  Bands of registers are joined; candi
 Jaccard estimate from the registers, corrected for chance collisions, and are confirmed on
 the full sets.
 
+Few shingles leave most registers empty, and the bands then fail together.  Sets of at most
+``SPARSE`` shingles therefore meet by their rarest members instead (see _rare_members): no link between two of
+them is lost.  A set keeps its bands if it may be linked to a larger one.
+
 * Documents with equal sets become one class before any join, so copies are never paired.
 * Members of one band are compared with its smallest, not with each other, and where that
   leaves several components, with one more.
@@ -35,6 +39,8 @@ BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 26
 ROWS = 8  # registers a band
 BANDS = BUCKETS // ROWS
+SPARSE = 256  # members of a set that is joined by its rarest ones
+HOT = 1 << 18  # members that make up 1 / HOT of all in sparse sets are looked up in tasks
 SURE = 6  # standard errors by which an estimate must miss the threshold to drop a candidate
 
 _FACTORS = B.random_words(64, 3) | _U(1)
@@ -105,7 +111,9 @@ def estimated_jaccard(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return j, max((j * (1 - j) / n) ** 0.5, 1 / n)
 
 
-def _sketch_batches(width: int, with_sets: bool):
+def _sketch_batches(width: int, threshold: int | None = None):
+    """Sets and registers of classes, or, with a threshold, what classes and candidates are made of."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in B.pieces(batch, "text"):
@@ -113,7 +121,7 @@ def _sketch_batches(width: int, with_sets: bool):
                 sets = list(shingle_sets(B.lower(content), bounds, width))
                 with np.errstate(over="ignore"):
                     sizes = np.array([len(s) for s in sets], np.int64)
-                    if with_sets:
+                    if threshold is None:
                         columns = [
                             pa.array([s.tobytes() for s in sets], pa.binary()),
                             pa.array([registers(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
@@ -122,11 +130,15 @@ def _sketch_batches(width: int, with_sets: bool):
                         continue
                     one = np.array([B.splitmix(s).sum(dtype=_U) for s in sets], _U)
                     two = np.array([B.splitmix(s ^ _FACTORS[9]).sum(dtype=_U) for s in sets], _U)
-                    some = sizes > 0
+                    # Linked sets have at least threshold / 100 of each other's size: below this, only sparse ones.
+                    some = 100 * sizes > threshold * SPARSE
                     keys = np.zeros((len(sets), BANDS), _U)
                     if some.any():
-                        keys[some] = band_keys(np.stack([registers(s) for s in sets if len(s)]))
+                        keys[some] = band_keys(np.stack([registers(s) for s, banded in zip(sets, some, strict=True) if banded]))
+                    sparse = [s if len(s) <= SPARSE else s[:0] for s in sets]
                 where = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))])
+                upto = np.concatenate([[0], np.cumsum([len(s) for s in sparse])])
+                members = np.concatenate([np.zeros(0, _U), *sparse]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("doc_id"),
@@ -135,8 +147,9 @@ def _sketch_batches(width: int, with_sets: bool):
                         pa.array(one.view(np.int64)),
                         pa.array(two.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(keys[some].reshape(-1).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(members)),
                     ],
-                    names=["doc_id", "_h", "n_shingles", "f1", "f2", "bands"],
+                    names=["doc_id", "_h", "n_shingles", "f1", "f2", "bands", "sparse"],
                 )
 
     return run
@@ -149,10 +162,11 @@ def _confirm(threshold: int):
             columns = [batch.column(c) for c in ("sketch_a", "sketch_b", "members_a", "members_b")]
             for i in range(batch.num_rows):
                 sa, sb, ma, mb = (np.frombuffer(c[i].as_buffer(), t) for c, t in zip(columns, ("u4", "u4", "u8", "u8"), strict=True))
-                j, error = estimated_jaccard(sa, sb)
-                if 100 * (j + SURE * error) < threshold:
-                    keep.append(False)
-                    continue
+                if max(len(ma), len(mb)) > SPARSE:
+                    j, error = estimated_jaccard(sa, sb)
+                    if 100 * (j + SURE * error) < threshold:
+                        keep.append(False)
+                        continue
                 both = len(np.intersect1d(ma, mb, assume_unique=True))
                 keep.append(100 * both >= threshold * (len(ma) + len(mb) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -165,7 +179,7 @@ def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> Da
     chosen = reps.join(wanted, "rep").select("rep", "_id", "_h")
     # One row a class: identical rows would only repeat it.
     texts = docs.join(small(chosen, F.lit(32)), ["_id", "_h"]).select("rep", "text")
-    sets = texts.mapInArrow(_sketch_batches(width, True), "rep long, members binary, sketch binary")
+    sets = texts.mapInArrow(_sketch_batches(width), "rep long, members binary, sketch binary")
     return written(sets.dropDuplicates(["rep"]), "sets")
 
 
@@ -176,6 +190,26 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return written(joined.mapInArrow(_confirm(threshold), "a long, b long"), "confirmed")
 
 
+def _rare_members(reps: DataFrame, threshold: int) -> DataFrame:
+    """(rep, band): the rarest members of each sparse set that other sparse sets have as well.
+
+    Linked sets share at least o = ceil(t * n) of the n members of either, so both have one
+    among their first n - o + 1, in any order common to all.  Here the order is how many sets have a member, then
+    the member; those of one set only come first and are never joined.
+    """
+    each = reps.select("rep", "n_shingles", F.explode("sparse").alias("member"))
+    counts = written(each.groupBy("member").agg(F.count("*").alias("n")).filter("n > 1"), "shared-members")
+    # No hot key in the join of the rest; at most HOT members are above the bound.
+    hot = F.col("n") * HOT >= (counts.agg(F.sum("n")).first()[0] or 0)
+    marked = each.join(F.broadcast(counts.filter(hot)), "member", "left")
+    rest = marked.filter("n IS NULL").drop("n").join(small(counts.filter(~hot), F.lit(24)), "member")
+    shared = marked.filter("n IS NOT NULL").unionByName(rest)
+    ordered = shared.groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "member"))).alias("own"))
+    first = F.expr(f"n_shingles - (n_shingles * {threshold} + 99) div 100 + 1")
+    taken = F.greatest(first - (F.col("n_shingles") - F.size("own")), F.lit(0)).cast("int")
+    return ordered.select("rep", F.explode(F.slice("own", F.lit(1), taken)).alias("m")).select("rep", F.col("m.member").alias("band"))
+
+
 COUNTERS = 1 << 20
 
 
@@ -250,21 +284,22 @@ def _pair(a: str, b: str) -> list:
 def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """(doc_id, _id, _h, n_shingles, component, component_id) per row of ``docs``; component is null for an empty set."""
     docs = docs.select("doc_id", "text").withColumns({"_id": F.coalesce("doc_id", F.lit(-(2**63))), "_h": text_hash()})
-    schema = "doc_id long, _h long, n_shingles long, f1 long, f2 long, bands array<long>"
-    sketched = docs.select(F.col("doc_id").cast("long"), "_h", "text").mapInArrow(_sketch_batches(width, False), schema)
+    schema = "doc_id long, _h long, n_shingles long, f1 long, f2 long, bands array<long>, sparse array<long>"
+    sketched = docs.select(F.col("doc_id").cast("long"), "_h", "text").mapInArrow(_sketch_batches(width, threshold), schema)
     rows = written(sketched.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))), "sketches")
 
     # Classes of equal sets, named by the smallest (doc_id, text) of theirs.
     full = rows.filter("n_shingles > 0")
     classes = full.groupBy("f1", "f2", "n_shingles").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("_id", "_h")).alias("of"), F.min_by("bands", F.struct("_id", "_h")).alias("bands")
+        F.min("doc_id").alias("least"), F.min_by(F.struct("_id", "_h", "bands", "sparse"), F.struct("_id", "_h")).alias("of")
     )
     reps = written(
-        classes.select("f1", "f2", "n_shingles", "least", "of._id", "of._h", "bands").withColumn("rep", F.monotonically_increasing_id()),
+        classes.select("f1", "f2", "n_shingles", "least", "of._id", "of._h", "of.bands", "of.sparse").withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
 
-    keys = reps.select("rep", F.explode("bands").alias("band")).distinct()
+    keys = reps.select("rep", F.explode("bands").alias("band")).unionByName(_rare_members(reps, threshold)).distinct()
+    keys = written(keys, "keys")
     shared = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1")
     members = written(keys.join(shared, "band").select("band", "rep", "leader"), "members")
     pairs = written(members.filter("rep <> leader").select(*_pair("leader", "rep")).distinct(), "pairs")

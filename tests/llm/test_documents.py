@@ -152,6 +152,20 @@ def test_near_duplicates_in_a_group_of_edited_copies(spark):
     same([tuple(r) for r in found], components_by_force(rows, 4, 80))
 
 
+@pytest.mark.parametrize("width", [1, 5])
+def test_short_near_duplicates_at_the_threshold(spark, width):
+    """Pairs of short texts at exactly 0.8, and just below: too few registers are full for the bands to find them all."""
+    rows = []
+    for i in range(240):
+        union = 5 * (1 + i % 11)  # texts of 4 to 59 words
+        own = [f"t{i}w{k}" for k in range(union + width - 1)]
+        cut = union // 5 + (i % 4 == 3)
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[: len(own) - cut]))]
+    rows += [(1000 + i, "all of these texts share a line " + " ".join(f"s{i}w{k}" for k in range(i % 4))) for i in range(60)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, 80).collect()
+    same(found, components_by_force(rows, width, 80))
+
+
 def test_keep_one(edge_docs, edge_rows):
     kept = near_dedup.keep_one(edge_docs, 4)
     assert kept.columns == edge_docs.columns
