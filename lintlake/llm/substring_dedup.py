@@ -2,7 +2,11 @@
 
 A sentence ends after a word with a full stop, question or exclamation mark, and at a line
 feed.  One of more than ``LONG`` words is also cut after each word whose hash is a multiple of
-``CUT``, so that text without marks is cut at the same words wherever it stands.  Every run
+``CUT``, so that text without marks is cut at the same words wherever it stands.  Where such
+words are far apart, what lies between two cuts is cut once more, before the word with the smallest hash
+(of the word and its neighbours) in every ``NEAR`` words.  Cuts are then at most NEAR + 1 words
+apart, and those of two copies agree from NEAR words inside, so any shared passage of over 50
+words without marks holds a run, and so does any sentence of over ``LONG`` words.  Every run
 of at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words is hashed from the words alone;
 the shortest such runs from each sentence forward and to each sentence backward cover all
 longer ones, so only those are joined.
@@ -25,13 +29,33 @@ MIN_SENTENCES = 2
 MIN_WORDS = 16
 LONG = 16
 CUT = 6
+NEAR = 8
 POSITION_BITS = 28  # sentences of one document; the other 35 number the documents
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
+_FACTORS = B.random_words(3, 13) | np.uint64(1)
 _CLOSING = np.zeros(256, bool)
 _CLOSING[[ord(c) for c in "\"')]}"]] = True
 
 
+def _near_cuts(hashes: np.ndarray, begins: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Words with the smallest hash in NEAR consecutive ones strictly inside what lies between two cuts of a long sentence."""
+    part = np.cumsum(begins)
+    at = np.arange(1, len(hashes) - NEAR)
+    at = at[long[at] & (part[at - 1] == part[at + NEAR])]
+    if not len(at):
+        return at
+    with np.errstate(over="ignore"):
+        around = np.zeros_like(hashes)
+        around[1:-1] = B.splitmix(hashes[:-2] * _FACTORS[0] + hashes[1:-1] * _FACTORS[1] + hashes[2:] * _FACTORS[2])
+    found, least = at.copy(), around[at]
+    for i in range(1, NEAR):
+        value = around[at + i]
+        lower = value < least
+        found[lower], least[lower] = at[lower] + i, value[lower]
+    return np.unique(found)
+
+
 def sentences(content: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word starts and hashes, each row's first word, sentences' first words, and each row's first sentence."""
     starts, ends, first = B.words(content, bounds)
@@ -52,6 +76,7 @@ def sentences(content: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     long = np.repeat(np.diff(np.append(at, n)) > LONG, np.diff(np.append(at, n)))
     cut = long & (hashes % np.uint64(CUT) == 0)
     begins[1:] |= cut[:-1]
+    begins[_near_cuts(hashes, begins, long)] = True
     at = np.flatnonzero(begins)
     return starts, hashes, first, at, np.searchsorted(at, first)
 

@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,6 +242,26 @@ def test_passages_by_force(spark):
     assert {r.doc_id: r.n_removed for r in found} == expected
 
 
+def test_unmarked_passages_share_a_run():
+    """Texts that share 51 words without marks, between other words, and whole texts of few words: each pair has a run in common."""
+    draw = random.Random(5)
+    common = lambda n: [f"w{int(1000 ** draw.random())}" for _ in range(n)]
+    pairs = []
+    for i in range(3000):
+        passage = common(51)
+        pairs.append([" ".join(common(draw.randrange(40)) + passage + common(draw.randrange(40))) for _ in range(2)])
+    for i in range(200):
+        few = [f"f{i}x{k}" for k in range(1 + i % 5)]
+        pairs.append([" ".join(draw.choices(few, k=17 + i % 40))] * 2)
+        sentence = " ".join(common(17)) + ". "
+        pairs.append([f"Before it. {sentence}One end", f"Other words. {sentence}Another here"])
+    texts = [text for pair in pairs for text in pair]
+    batch = pa.RecordBatch.from_pydict({"_id": list(range(len(texts))), "_h": [0] * len(texts), "text": texts})
+    spans = [set(x) for out in substring_dedup._hash(16, 2, True)([batch]) for x in out.column("spans").to_pylist()]
+    missed = [i for i in range(len(pairs)) if not spans[2 * i] & spans[2 * i + 1]]
+    assert not missed, (len(missed), [pairs[i] for i in missed[:2]])
+
+
 # Decontamination
 
 
