@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, neighbours, oracles, substring_dedup, toxicity, warc
+from . import (
+    decontamination,
+    divergence,
+    language_id,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    neighbours,
+    oracles,
+    periodic_runs,
+    simhash,
+    substring_dedup,
+    toxicity,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,6 +31,8 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": oracles.DECONTAMINATION,
     "op9_warc": oracles.WARC,
     "op10_line_dedup": oracles.LINE_DEDUP,
+    "op11_periodic_runs": oracles.PERIODIC_RUNS,
+    "op12_source_divergence": oracles.DIVERGENCE,
 }
 
 
@@ -86,3 +103,19 @@ def op5_lm_scoring(spark, sf_dir):
 @query
 def op7_nearest_neighbours(spark, sf_dir):
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.planted(_table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs, min_length=6, min_exponent=4))
+
+
+@query
+def op12_source_divergence(spark, sf_dir):
+    return divergence.divergence(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+@query
+def op13_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, bits=3)
