@@ -16,7 +16,7 @@ from lintlake.functions import paths as P
 from lintlake.functions.findings import NO_FINDINGS_SQL, SYNTAX, explode_findings, finding_sql
 from lintlake.functions.joins import salted_join
 from lintlake.functions.text import quoted
-from lintlake.operators.facts import fact_struct
+from lintlake.operators.facts import Needed, fact_struct
 from lintlake.operators.rulebook import (
     ALLOWED_IN_TESTS,
     BANNED_NAMES,
@@ -32,6 +32,8 @@ class FactRule:
     """Fires on facts of ``kinds`` when ``when`` holds; all texts but the first are SQL.
 
     With ``each``, an array, the rule gives one finding per element, called ``item``.
+    ``roots`` are the first names of the calls, attributes, decorators or with-items it asks
+    about ("os" for os.path.join); a rule that names none is shown all of them.
     """
 
     violation_type: str
@@ -43,6 +45,7 @@ class FactRule:
     context: dict[str, str] = field(default_factory=dict)
     line: str = "fact.lineno"
     each: str = ""
+    roots: tuple[str, ...] = ()
 
 
 def _in(name: str, values: list[str]) -> str:
@@ -198,6 +201,7 @@ compile_call = FactRule(
     quoted("compile() turns text into code"),
     quoted("Parse with ast.parse, or check the text first"),
     {"pattern": "'compile_usage'", "function": "'compile'"},
+    roots=("compile",),
 )
 path_traversal = FactRule(
     "security_violation",
@@ -207,6 +211,7 @@ path_traversal = FactRule(
     quoted("File path built from a variable may leave its directory"),
     quoted("Resolve the path and check it against the allowed directories"),
     {"pattern": "'path_traversal_risk'", "method": "fact.name"},
+    roots=("os",),
 )
 path_handling = FactRule(
     "path_handling",
@@ -216,6 +221,7 @@ path_handling = FactRule(
     quoted("os.path in place of pathlib"),
     quoted("Import Path from pathlib"),
     {"pattern": "'os_path_usage'", "method": "substring_index(fact.name, '.', -1)"},
+    roots=("os",),
 )
 environment_variable_handling = FactRule(
     "environment_variable_handling",
@@ -225,6 +231,7 @@ environment_variable_handling = FactRule(
     quoted("os.environ used directly"),
     quoted("Call os.getenv with a default"),
     {"pattern": "'os_environ_direct_access'"},
+    roots=("os",),
 )
 debug_pattern = FactRule(
     "debug_pattern",
@@ -234,6 +241,7 @@ debug_pattern = FactRule(
     quoted("print() left in the code"),
     quoted("Use a logger, or rich.print"),
     {"pattern": "'print_usage'", "function": "'print'"},
+    roots=("print",),
 )
 # Patches with a literal target and mock objects, in test files.
 mock_violation = FactRule(
@@ -249,6 +257,7 @@ mock_violation = FactRule(
         "ELSE 'constructor' END",
         "mock_target": _MOCK_TARGET,
     },
+    roots=tuple(sorted({name.split(".")[0] for name in [*MOCK_CALLS, *MOCK_CONSTRUCTORS]})),
 )
 # A file whose syntax tree could not be built for another reason than its syntax.
 analysis_error = FactRule(
@@ -276,6 +285,23 @@ FACT_RULES: list[FactRule] = [
     analysis_error,
 ]
 
+
+# Kinds of facts that carry the name of something called or read.
+_NAMED = ("call", "attribute", "decorator", "with_item")
+
+
+def needed_facts(rules: list[FactRule] | None = None) -> Needed:
+    """What the rules look at: the kinds and, for calls and the like, the first names."""
+    needed: Needed = {}
+    for rule in FACT_RULES if rules is None else rules:
+        for kind in rule.kinds:
+            if kind not in _NAMED or not rule.roots or needed.get(kind, frozenset()) is None:
+                needed[kind] = None
+            else:
+                needed[kind] = needed.get(kind, frozenset()) | frozenset(rule.roots)
+    return needed
+
+
 def _findings_sql(rule: FactRule, rank: int) -> str:
     order = f"{SYNTAX} * 10000000000 + fact.node_id * 100 + {rank}"
     row = finding_sql(
@@ -296,7 +322,7 @@ def findings_of_fact_sql(rules: list[FactRule]) -> str:
         f"WHEN {quoted(kind)} THEN " + (f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0])
         for kind, parts in by_kind.items()
     )
-    return f"CASE fact.kind {branches} ELSE {NO_FINDINGS_SQL} END"
+    return f"CASE fact.kind {branches} ELSE {NO_FINDINGS_SQL} END" if branches else NO_FINDINGS_SQL
 
 
 def with_test_flags(df: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Syntax facts of Python files: the only step that leaves the JVM.
 
-``py_facts`` is an Arrow UDF from text to ARRAY<fact>.  It parses with the standard library
+``py_facts`` makes an Arrow UDF from text to ARRAY<fact>.  It parses with the standard library
 and writes down what is there; it decides nothing.  Every rule is a column expression over
 the facts (see ``fact_rules``).  One source file gives one array, so rules that look at a
 whole class or a whole if/elif chain need no shuffle, and the step also runs on a stream.
+
+A scan hands in what its rules need (see ``fact_rules.needed_facts``), so facts that no rule
+looks at never leave the parser; without that, all facts are written down.
 """
 
 from __future__ import annotations
@@ -21,22 +24,20 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lintlake.schemas import FACTS
 
-# Calls and attributes are only kept when they start with one of these names, the ones the
-# rules ask about; the rest of a file's calls would be carried along for nothing.
-ROOTS_OF_INTEREST = frozenset(
-    {"os", "compile", "print", "patch", "mock_patch", "mock", "unittest"}
-    | {"Mock", "MagicMock", "AsyncMock", "PropertyMock"}
-)
+# Which facts are wanted: per kind all (None) or those whose name starts with one of some first
+# names ("os" for os.path.join).  Kinds that are not listed are left out; no table wants all.
+Needed = dict[str, frozenset[str] | None]
 
 
 def _dotted(node: ast.AST) -> str | None:
+    """The dotted name of a call or attribute; on anything but a name, it starts with a dot."""
     names = []
     while isinstance(node, ast.Attribute):
         names.append(node.attr)
         node = node.value
-    if not isinstance(node, ast.Name):
-        return None
-    return ".".join([node.id, *reversed(names)])
+    if isinstance(node, ast.Name):
+        return ".".join([node.id, *reversed(names)])
+    return ".".join(["", *reversed(names)]) if names else None
 
 
 def _clean(text: str) -> str:
@@ -98,10 +99,6 @@ def _call(node: ast.Call) -> dict:
     }
 
 
-def _of_interest(name: str | None) -> bool:
-    return name is not None and name.split(".", 1)[0] in ROOTS_OF_INTEREST
-
-
 # One function per kind of syntax node; the node types without one carry no facts.
 
 
@@ -111,7 +108,7 @@ def _module(node: ast.Module, seen: set[int]) -> list[dict]:
 
 def _function(node: ast.FunctionDef | ast.AsyncFunctionDef, seen: set[int]) -> list[dict]:
     calls = [deco for deco in node.decorator_list if isinstance(deco, ast.Call)]
-    facts = [{"kind": "decorator", "lineno": c.lineno, **_call(c)} for c in calls if _of_interest(_dotted(c.func))]
+    facts = [{"kind": "decorator", "lineno": c.lineno, **_call(c)} for c in calls]
     return facts + [{"kind": "function", "lineno": node.lineno, "name": node.name, "doc_len": _doc_len(node)}]
 
 
@@ -131,7 +128,7 @@ def _import_from(node: ast.ImportFrom, seen: set[int]) -> list[dict]:
 
 def _with(node: ast.With, seen: set[int]) -> list[dict]:
     calls = [item.context_expr for item in node.items if isinstance(item.context_expr, ast.Call)]
-    return [{"kind": "with_item", "lineno": node.lineno, **_call(c)} for c in calls if _of_interest(_dotted(c.func))]
+    return [{"kind": "with_item", "lineno": node.lineno, **_call(c)} for c in calls]
 
 
 def _if(node: ast.If, seen: set[int]) -> list[dict]:
@@ -156,12 +153,11 @@ def _compare(node: ast.Compare, seen: set[int]) -> list[dict]:
 
 
 def _named_call(node: ast.Call, seen: set[int]) -> list[dict]:
-    return [{"kind": "call", "lineno": node.lineno, **_call(node)}] if _of_interest(_dotted(node.func)) else []
+    return [{"kind": "call", "lineno": node.lineno, **_call(node)}]
 
 
 def _attribute(node: ast.Attribute, seen: set[int]) -> list[dict]:
-    name = _dotted(node)
-    return [{"kind": "attribute", "lineno": node.lineno, "name": name}] if _of_interest(name) else []
+    return [{"kind": "attribute", "lineno": node.lineno, "name": _dotted(node)}]
 
 
 FACTS_BY_NODE = {
@@ -194,11 +190,49 @@ def _children(node: ast.AST) -> list[ast.AST]:
     return children
 
 
-def facts_of_text(text: str | None) -> list[dict] | None:
+# The kinds of facts each function writes down, and how to tell before building a fact that
+# nobody asked for its name.
+_KINDS = {
+    _module: ("module",),
+    _function: ("decorator", "function"),
+    _class: ("class",),
+    _import: ("import",),
+    _import_from: ("import_from",),
+    _with: ("with_item",),
+    _if: ("if_chain",),
+    _compare: ("identity_test",),
+    _named_call: ("call",),
+    _attribute: ("attribute",),
+}
+
+
+def _root(node: ast.AST) -> str:
+    while isinstance(node, ast.Attribute):
+        node = node.value
+    return node.id if isinstance(node, ast.Name) else ""
+
+
+def _wanted(fact: dict, needed: Needed) -> bool:
+    if fact["kind"] not in needed:
+        return False
+    roots = needed[fact["kind"]]
+    return roots is None or (fact.get("name") or "").split(".", 1)[0] in roots
+
+
+def _functions(needed: Needed | None) -> dict:
+    """The functions to call per node type, only for kinds that are wanted."""
+    if needed is None:
+        return FACTS_BY_NODE
+    return {node: found for node, found in FACTS_BY_NODE.items() if any(kind in needed for kind in _KINDS[found])}
+
+
+def facts_of_text(text: str | None, needed: Needed | None = None) -> list[dict] | None:
     """Facts in source order; none for a syntax error; one ``failure`` fact for a crash."""
     if text is None:
         return None
     facts: list[dict] = []
+    functions = _functions(needed)
+    call_roots, attribute_roots = ((needed or {}).get(kind) for kind in ("call", "attribute"))
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -206,9 +240,14 @@ def facts_of_text(text: str | None) -> list[dict] | None:
         seen: set[int] = set()
         while stack:
             node = stack.pop()
-            found = FACTS_BY_NODE.get(type(node))
+            found = functions.get(type(node))
+            # Most nodes of a file are calls and attributes: look at the name before building the fact.
+            if found is _named_call and call_roots is not None and _root(node.func) not in call_roots:
+                found = None
+            elif found is _attribute and attribute_roots is not None and _root(node) not in attribute_roots:
+                found = None
             if found is not None:
-                facts += found(node, seen)
+                facts += found(node, seen) if needed is None else [f for f in found(node, seen) if _wanted(f, needed)]
             stack += reversed(_children(node))
     except SyntaxError:
         return []
@@ -225,26 +264,31 @@ _ARROW_FACTS = to_arrow_type(FACTS)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.arrow_udf(FACTS)
-def py_facts(text: pa.Array) -> pa.Array:
-    # Trees hold no cycles, so reference counting frees each one before the next is built, and
-    # the cycle collector, which would walk every new node, can rest.
-    gc.disable()
-    try:
-        return pa.array((facts_of_text(value.as_py()) for value in text), type=_ARROW_FACTS)
-    finally:
-        gc.enable()
+def py_facts(needed: Needed | None = None):
+    """The Arrow UDF that writes down the wanted facts of a text."""
+
+    @F.arrow_udf(FACTS)
+    def run(text: pa.Array) -> pa.Array:
+        # Trees hold no cycles, so reference counting frees each one before the next is built, and
+        # the cycle collector, which would walk every new node, can rest.
+        gc.disable()
+        try:
+            return pa.array((facts_of_text(value.as_py(), needed) for value in text), type=_ARROW_FACTS)
+        finally:
+            gc.enable()
+
+    return run
 
 
-def with_facts(files: DataFrame) -> DataFrame:
+def with_facts(files: DataFrame, needed: Needed | None = None) -> DataFrame:
     """Adds ``facts``; null for other languages, whose text never crosses to Python."""
-    return files.withColumn("facts", py_facts(F.when(F.col("language") == "python", F.col("text"))))
+    return files.withColumn("facts", py_facts(needed)(F.when(F.col("language") == "python", F.col("text"))))
 
 
-def extract_py_facts(files: DataFrame) -> DataFrame:
-    """Flat table: one row per fact of each Python file."""
+def extract_py_facts(files: DataFrame, needed: Needed | None = None) -> DataFrame:
+    """Flat table: one row per fact of each Python file, all of them unless ``needed`` says which."""
     python = files.filter(F.col("language") == "python")
-    return with_facts(python).select("path", F.inline_outer("facts")).filter(F.col("kind").isNotNull())
+    return with_facts(python, needed).select("path", F.inline_outer("facts")).filter(F.col("kind").isNotNull())
 
 
 def fact_struct() -> Column:

@@ -28,9 +28,10 @@ LINEAR_REQUIRED = {
 
 @dataclass(frozen=True)
 class FileRule:
-    """A warning on line 1 when ``when``, SQL over ``text``, holds.
+    """A finding on line 1 when ``when``, SQL over ``text``, holds.
 
     ``bind`` is a (name, SQL) pair computed once, after ``guard`` has let the file through.
+    ``context`` holds SQL; ``language`` names the files the rule looks at.
     """
 
     violation_type: str
@@ -40,6 +41,8 @@ class FileRule:
     context: dict[str, str]
     guard: str = "true"
     bind: tuple[str, str] | None = None
+    severity: str = "warning"
+    language: str = "python"
 
 
 # Something other than blanks must follow "class", because the trimmed line is looked at.
@@ -86,29 +89,42 @@ composition_violation = FileRule(
 FILE_RULES = [missing_pathlib, old_formatting, error_handling, composition_violation]
 
 
-def _findings_sql(rule: FileRule) -> str:
+def _findings_sql(rule: FileRule, rank: int) -> str:
     row = finding_sql(
         "1",
         quoted(rule.violation_type),
-        "'warning'",
+        quoted(rule.severity),
         quoted(rule.message),
         quoted(rule.fix),
         rule.context,
-        f"{WHOLE_FILE} * 10000000000 + {FILE_RULES.index(rule)}",
+        f"{WHOLE_FILE} * 10000000000 + {rank}",
     )
     judged = f"CASE WHEN {rule.when} THEN array({row}) ELSE {NO_FINDINGS_SQL} END"
     judged = X.let_sql(rule.bind[1], rule.bind[0], judged) if rule.bind else judged
     return f"CASE WHEN {rule.guard} THEN {judged} ELSE {NO_FINDINGS_SQL} END"
 
 
-def file_findings(*rules: FileRule) -> Column:
-    """ARRAY of findings of the whole-file rules on a Python file; null elsewhere."""
-    found = ", ".join(map(_findings_sql, rules or FILE_RULES))
-    return F.expr(f"CASE WHEN language = 'python' AND text IS NOT NULL THEN concat({found}) END")
+def file_findings(rules: list[FileRule] | None = None) -> Column:
+    """ARRAY of findings of the whole-file rules on one file with language and text."""
+    by_language: dict[str, list[str]] = {}
+    for position, rule in enumerate(FILE_RULES if rules is None else rules):
+        rank = FILE_RULES.index(rule) if rule in FILE_RULES else len(FILE_RULES) + position
+        by_language.setdefault(rule.language, []).append(_findings_sql(rule, rank))
+    branches = " ".join(
+        f"WHEN language = {quoted(name)} THEN concat({', '.join(found)})" for name, found in by_language.items()
+    )
+    return F.expr(f"CASE WHEN text IS NULL THEN NULL {branches} END" if branches else NO_FINDINGS_SQL)
+
+
+def apply_file_rules(files: DataFrame, *rules: FileRule) -> DataFrame:
+    """Findings of the given rules (default: all) over (path, language, text)."""
+    chosen = list(rules) or FILE_RULES
+    languages = sorted({rule.language for rule in chosen})
+    return explode_findings(files.filter(F.col("language").isin(languages)), file_findings(chosen))
 
 
 def _python(files: DataFrame, rule: FileRule) -> DataFrame:
-    return explode_findings(files.filter(F.col("language") == "python"), file_findings(rule))
+    return apply_file_rules(files, rule)
 
 
 def rule_missing_pathlib(files: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lintlake.functions import paths as P
@@ -62,21 +63,72 @@ def _decision(n_errors: Column, details: Column, fixes: Column | None = None) ->
 
 
 def decision_columns(name: Column, found: Column) -> list[Column]:
-    """Decision of one file from the array of its errors."""
-    details = F.transform(
-        found, lambda f: error_line(name, f["line_num"], f["message"], f["fix_suggestion"])
+    """Decision of one file from the array of its errors; the reason lists them in rule order."""
+    entries = F.transform(
+        found,
+        lambda f: F.struct(
+            f["rule_order"].alias("rule_order"),
+            f["line_num"].alias("line_num"),
+            error_line(name, f["line_num"], f["message"], f["fix_suggestion"]).alias("text"),
+        ),
+    )
+    return _decision(F.size(found), F.transform(F.array_sort(entries), lambda e: e["text"]))
+
+
+def _error_entries(violations: DataFrame) -> DataFrame:
+    line = error_line(P.base_name(F.col("path")), F.col("line_num"), F.col("message"), F.col("fix_suggestion"))
+    return errors(violations).select("path", "rule_order", "line_num", line.alias("text"))
+
+
+# Orders of one file that are numbered by one task; see numbered_errors.
+_STRETCH = 100_000
+
+
+def numbered_errors(violations: DataFrame) -> DataFrame:
+    """(path, position, text): the errors of each file as lines of its reason, numbered from 0 in rule order.
+
+    The orders of a file are cut into stretches.  Errors are counted per stretch, combined before
+    the shuffle, and numbered within theirs, so no task holds a file with very many errors.
+    """
+    entries = _error_entries(violations).withColumn("_stretch", F.expr(f"rule_order div {_STRETCH}"))
+    counts = entries.groupBy("path", "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("path").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("path", "_stretch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = F.row_number().over(W.partitionBy("path", "_stretch").orderBy("rule_order", "line_num", "text"))
+    numbered = entries.withColumn("_local", local).join(before, ["path", "_stretch"])
+    return numbered.select("path", (F.col("_before") + F.col("_local") - 1).alias("position"), "text")
+
+
+def decide_pages(violations: DataFrame, files: DataFrame, page_errors: int = 1000) -> DataFrame:
+    """The rows of :func:`decide` with the reason in pages of at most ``page_errors`` errors.
+
+    (path, decision, exit_code, n_errors, page, reason): pages count from 0, and a file's pages
+    joined by newlines are its whole reason.  No row and no task grows with the errors of one file.
+    """
+    numbered = numbered_errors(violations).withColumn("page", F.expr(f"position div {page_errors}"))
+    pages = numbered.groupBy("path", "page").agg(F.sort_array(F.collect_list(F.struct("position", "text"))).alias("lines"))
+    totals = errors(violations).groupBy("path").agg(F.count(F.lit(1)).alias("total"))
+    kept = files.select("path", *(["fixes"] if "fixes" in files.columns else []))
+    joined = kept.join(totals, "path", "left").join(pages, "path", "left")
+    fixes = F.coalesce(F.col("fixes"), F.array().cast("array<string>")) if "fixes" in files.columns else None
+    text = F.transform("lines", lambda e: e["text"])
+    rows = joined.select(
+        "path",
+        *_decision(F.coalesce("total", F.lit(0)), text, fixes),
+        F.coalesce("page", F.lit(0)).alias("page"),
+        F.array_join(text, "\n").alias("_more"),
     )
-    return _decision(F.size(found), details)
+    return rows.withColumn("reason", F.when(F.col("page") == 0, F.col("reason")).otherwise(F.col("_more"))).drop("_more")
 
 
 def decide(violations: DataFrame, files: DataFrame) -> DataFrame:
     """One row per file: block iff it has an error; the reason lists its errors in rule order.
 
     ``files`` may carry ``fixes`` (ARRAY<STRING>), the fixes applied to each file.  Only
-    errors are shuffled, and the reason of a file is bounded by that file's own errors.
+    errors are shuffled, and the reason of a file is bounded by that file's own errors; where
+    those have no bound, :func:`decide_pages` gives the reason in pages.
     """
-    line = error_line(P.base_name(F.col("path")), F.col("line_num"), F.col("message"), F.col("fix_suggestion"))
-    blocking = errors(violations).select("path", F.struct("rule_order", "line_num", line.alias("text")).alias("entry"))
+    blocking = _error_entries(violations).select("path", F.struct("rule_order", "line_num", "text").alias("entry"))
     per_file = blocking.groupBy("path").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     has_fixes = "fixes" in files.columns
     joined = files.select("path", *(["fixes"] if has_fixes else [])).join(per_file, "path", "left")

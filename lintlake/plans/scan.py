@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from lintlake.functions import paths as P
 from lintlake.functions.findings import explode_findings, no_findings
 from lintlake.operators.corpus import gate_findings, route_language, with_gate
-from lintlake.operators.fact_rules import fact_findings, with_test_flags
+from lintlake.operators.fact_rules import FactRule, fact_findings, needed_facts, with_test_flags
 from lintlake.operators.facts import with_facts
-from lintlake.operators.file_rules import file_findings
+from lintlake.operators.file_rules import FileRule, file_findings
 from lintlake.operators.line_rules import line_findings, with_naming_flag
 from lintlake.operators.rulebook import LineRule
 
@@ -33,20 +33,24 @@ def with_findings(
     packs: dict[str, Pack] | None = None,
     extensions: dict[str, str] | None = None,
     max_bytes: int | None = None,
+    fact_rules: list[FactRule] | None = None,
+    file_rules: list[FileRule] | None = None,
 ) -> DataFrame:
     """One row per routed file with ``findings``, the array of everything found in it.
 
-    The files are read once.  Only the text of Python files crosses to the Python workers,
+    ``rules``, ``fact_rules`` and ``file_rules`` replace the built-in ones; the parser only
+    writes down the facts that the rules look at.  The files are read once.  Only the text of Python files crosses to the Python workers,
     once.  There is no shuffle, so one huge source or directory is no different from many
     small ones, and the same plan runs on a stream.
     """
     path, language, text = F.col("path"), F.col("language"), F.col("text")
-    prepared = with_naming_flag(with_test_flags(with_facts(prepare(files, extensions, max_bytes=max_bytes))))
+    routed = prepare(files, extensions, max_bytes=max_bytes)
+    prepared = with_naming_flag(with_test_flags(with_facts(routed, needed_facts(fact_rules))))
     parts = [
         gate_findings(path, F.col("gate"), F.col("gate_bytes"), max_bytes),
-        fact_findings(),
+        fact_findings(fact_rules),
         line_findings(rules),
-        file_findings(),
+        file_findings(file_rules),
     ]
     for name, pack in (packs or {}).items():
         parts.append(F.when(language == name, pack(path, language, text)))
@@ -66,12 +70,14 @@ def scan_all(
     extensions: dict[str, str] | None = None,
     keep: tuple[str, ...] = (),
     max_bytes: int | None = None,
+    fact_rules: list[FactRule] | None = None,
+    file_rules: list[FileRule] | None = None,
 ) -> DataFrame:
     """All findings of all rules; equal findings on one line stay separate rows.
 
     ``config`` (project_hash, allowed_patterns) needs ``project_hash`` among ``keep``.
     """
-    found = with_findings(files, rules, packs, extensions, max_bytes)
+    found = with_findings(files, rules, packs, extensions, max_bytes, fact_rules, file_rules)
     rows = explode_findings(found, F.col("findings"), *keep)
     if config is None:
         return rows
