@@ -344,28 +344,29 @@ def apply_fact_rules(facts: DataFrame, *rules: FactRule) -> DataFrame:
     return explode_findings(with_test_flags(shown), F.expr(findings_of_fact_sql(chosen)))
 
 
-def rule_banned_import(facts: DataFrame, banned_names: DataFrame | None = None) -> DataFrame:
-    """Banned imports; with a table of names given, a join on the dotted prefixes.
+def _first_banned(named: DataFrame, table: DataFrame) -> DataFrame:
+    """(path, test_loose, fact, first): the first table entry that is a dotted beginning of each fact's name.
 
-    Spark broadcasts the table only below its size threshold.  Only imports are joined, and
-    salted, because a popular name may be everywhere.
+    An equi-join on all beginnings of a name, so a table of thousands of names is never searched.
+    Spark broadcasts the table only below its size threshold, and the names are
+    salted, because a popular one may be everywhere.
     """
+    fact = F.struct("node_id", "lineno", "name").alias("fact")
+    candidates = named.select("path", "test_loose", fact).withColumn("prefix", F.explode(F.expr(_PREFIXES)))
+    entries = table.select(F.col("name").alias("prefix"), "rank", "suggestion")
+    matched = salted_join(candidates, entries, ["prefix"])
+    return matched.groupBy("path", "test_loose", "fact").agg(F.min(F.struct("rank", "prefix", "suggestion")).alias("first"))
+
+
+def rule_banned_import(facts: DataFrame, banned_names: DataFrame | None = None) -> DataFrame:
+    """Banned imports; with a table (language, name, suggestion, rank) given, a join on the dotted prefixes."""
     if banned_names is None:
         return apply_fact_rules(facts, banned_import)
     imports = with_test_flags(facts.filter(F.col("kind").isin("import", "import_from")))
     imports = imports.filter(
         ~F.col("name").isin(NEVER_BANNED) & ~(F.col("test_loose") & F.col("name").isin(ALLOWED_IN_TESTS))
     )
-    fact = F.struct("node_id", "lineno", "name").alias("fact")
-    candidates = imports.select("path", "test_loose", fact).withColumn("prefix", F.explode(F.expr(_PREFIXES)))
-    table = banned_names.filter(F.col("language") == "python").select(
-        F.col("name").alias("prefix"), "rank", "suggestion"
-    )
-    first = (
-        salted_join(candidates, table, ["prefix"])
-        .groupBy("path", "test_loose", "fact")
-        .agg(F.min(F.struct("rank", "prefix", "suggestion")).alias("first"))
-    )
+    first = _first_banned(imports, banned_names.filter(F.col("language") == "python"))
     row = finding_sql(
         "fact.lineno",
         quoted(banned_import.violation_type),
@@ -378,6 +379,24 @@ def rule_banned_import(facts: DataFrame, banned_names: DataFrame | None = None)
     return explode_findings(first.withColumn("language", F.lit("python")), F.expr(f"array({row})"))
 
 
+def rule_banned_call(facts: DataFrame, banned_names: DataFrame, severity: str = "error") -> DataFrame:
+    """Calls of names in a table (name, suggestion, rank): the name itself or anything below it.
+
+    ``pickle`` in the table bans ``pickle.loads(x)``.  Of several entries the one of lowest rank counts.
+    """
+    calls = with_test_flags(facts.filter((F.col("kind") == "call") & F.col("name").isNotNull()))
+    row = finding_sql(
+        "fact.lineno",
+        "'banned_call'",
+        quoted(severity),
+        "concat('Banned call ', fact.name)",
+        "coalesce(first.suggestion, '')",
+        {"call": "fact.name", "banned_name": "first.prefix"},
+        f"{SYNTAX} * 10000000000 + fact.node_id * 100 + {len(FACT_RULES)}",
+    )
+    return explode_findings(_first_banned(calls, banned_names).withColumn("language", F.lit("python")), F.expr(f"array({row})"))
+
+
 def chain_lengths(facts: DataFrame) -> DataFrame:
     """(path, lineno, n_following): for every branch of a chain, how many elifs follow it."""
     chains = facts.filter(F.col("kind") == "if_chain").select(

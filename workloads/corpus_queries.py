@@ -203,27 +203,28 @@ def _facts(spark: SparkSession, sf_dir: str, *rules: fact_rules.FactRule) -> Dat
 # A and B: files
 
 
-_TABLES = [
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
-    "benchmark", "labels", "conversations",
-]
+_TREE = (
+    "WITH raw AS (SELECT doc_id, doc_id % 7 AS s, CASE WHEN doc_id % 3 = 0 THEN 'go' ELSE 'py' END AS ext, "
+    "CASE doc_id % 7 WHEN 0 THEN 'a' || chr(0) || text WHEN 2 THEN ' ' || chr(10) || chr(9) || chr(10) ELSE text END || chr(10) AS c FROM documents), "
+    "bytes AS (SELECT doc_id, s, ext, c, encode(c) AS b FROM raw) "
+)
 
 
 @query(
     "scan_tree",
-    "SELECT name || '.parquet' AS file_name, 'PAR1' AS head, 'PAR1' AS tail, 'binary' AS gate FROM (VALUES "
-    + ", ".join(f"('{t}')" for t in _TABLES)
-    + ") v(name)",
+    _TREE + "SELECT 'f' || doc_id || '.' || ext AS file_name, octet_length(b) AS length, sha256(c) AS digest, CASE ext WHEN 'py' THEN 'python' ELSE 'go' END AS language, "
+    "CASE WHEN ext = 'go' THEN 'ok' WHEN s = 0 THEN 'binary' WHEN trim(c, ' ' || chr(9) || chr(10)) = '' THEN 'blank' ELSE 'ok' END AS gate FROM bytes",
 )
 def _(spark, sf_dir):
-    """The table files themselves, read as bytes and put through the gates."""
-    found = scan_tree(spark, sf_dir, "*.parquet").withColumn("language", F.lit("python"))
-    content = F.col("content")
-    ends = found.select(
-        "path", "language", "length", "content",
-        F.substring(content, 1, 4).cast("string").alias("head"), F.substring(content, -4, 4).cast("string").alias("tail"),
-    )
-    return corpus.with_gate(ends).select(P.base_name(F.col("path")).alias("file_name"), "head", "tail", "gate")
+    """Documents as one file each below the shared folder, listed, read, digested and gated."""
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    n = F.col("doc_id")
+    text = F.when(n % 7 == 0, F.concat(F.lit("a\0"), "text")).when(n % 7 == 2, F.lit(" \n\t\n")).otherwise(F.col("text"))
+    name = F.concat(F.lit("f"), n.cast("string"), F.when(n % 3 == 0, ".go").otherwise(".py"))
+    fx.text_table(spark, sf_dir, "documents").select(text.alias("value"), name.alias("name")).write.partitionBy("name").text(root)
+    found = scan_tree(spark, root, "*.txt").withColumn("path", F.regexp_extract("path", "/name=([^/]+)/", 1))
+    gated = corpus.with_gate(corpus.route_language(found).withColumn("digest", F.sha2("content", 256)))
+    return gated.select(F.col("path").alias("file_name"), "length", "digest", "language", "gate")
 
 
 @query(
@@ -432,17 +433,28 @@ TEXT_PACK = [
     LineRule("contact_line", "text", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++@[A-Za-z0-9.-]+\.[a-z]{2,}", "error", "Contact address"),
     LineRule("question_line", "text", r"\?", "warning", "A question"),
 ]
+# Conversations hold none of these, but capitals and long words.
+CHAT_PACK = [
+    *TEXT_PACK,
+    LineRule("opening_capital", "text", r"^[A-Z]", "warning", "A line that opens with a capital"),
+    LineRule("long_word", "text", r"[a-z]{10,}", "error", "A long word"),
+]
 _PACK_SQL = {
-    "license_line": ("warning", "(?i)licen[sc]e"),
-    "contact_line": ("error", r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]{2,}"),
-    "question_line": ("warning", r"\?"),
+    "license_line": ("warning", "(?i)licen[sc]e", "Licence text"),
+    "contact_line": ("error", r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]{2,}", "Contact address"),
+    "question_line": ("warning", r"\?", "A question"),
+}
+_CHAT_SQL = _PACK_SQL | {
+    "opening_capital": ("warning", "^[A-Z]", "A line that opens with a capital"),
+    "long_word": ("error", "[a-z]{10,}", "A long word"),
 }
 
 
-def _pack_sql(key: str, text: str, table: str) -> str:
+def _pack_sql(key: str, text: str, table: str, rules: dict[str, tuple[str, str, str]] = _PACK_SQL) -> str:
     parts = " UNION ALL ".join(
-        f"SELECT path, line_num, '{name}' AS violation_type, '{severity}' AS severity FROM l WHERE regexp_matches(line, '{regex}')"
-        for name, (severity, regex) in _PACK_SQL.items()
+        f"SELECT path, 'text' AS language, line_num, '{name}' AS violation_type, '{message}' AS message, '' AS fix_suggestion, "
+        f"'{severity}' AS severity, NULL::VARCHAR AS function_name, 'line_content=' || {_STRIP} AS context FROM l WHERE regexp_matches(line, '{regex}')"
+        for name, (severity, regex, message) in rules.items()
     )
     split = f"regexp_split_to_array(regexp_replace({text}, '{BR}$', ''), '{BR}')"
     return (
@@ -451,9 +463,9 @@ def _pack_sql(key: str, text: str, table: str) -> str:
     )
 
 
-def _text_pack(df: DataFrame, key: F.Column, text: str) -> DataFrame:
+def _text_pack(df: DataFrame, key: F.Column, text: str, rules: list[LineRule] = TEXT_PACK) -> DataFrame:
     files = df.select(key.cast("string").alias("path"), F.lit("text").alias("language"), F.col(text).alias("text"))
-    return line_rules.apply_line_rules(corpus.split_lines(files, "language"), TEXT_PACK).select(*PLACE)
+    return whole(line_rules.apply_line_rules(corpus.split_lines(files, "language"), rules))
 
 
 @query("text_pack_documents", _pack_sql("doc_id::VARCHAR", "text", "documents"))
@@ -461,10 +473,10 @@ def _(spark, sf_dir):
     return _text_pack(fx.text_table(spark, sf_dir, "documents"), F.col("doc_id"), "text")
 
 
-@query("text_pack_conversations", _pack_sql("conv_id || '/' || turn", "text", "conversations"))
+@query("text_pack_conversations", _pack_sql("conv_id || '/' || turn", "text", "conversations", _CHAT_SQL))
 def _(spark, sf_dir):
     turns = fx.text_table(spark, sf_dir, "conversations")
-    return _text_pack(turns, F.concat_ws("/", "conv_id", "turn"), "text")
+    return _text_pack(turns, F.concat_ws("/", "conv_id", "turn"), "text", CHAT_PACK)
 
 
 @query("text_pack_pages", _pack_sql("page_id::VARCHAR", "html", "pages"))
@@ -472,46 +484,68 @@ def _(spark, sf_dir):
     return _text_pack(fx.text_table(spark, sf_dir, "pages"), F.col("page_id"), "html")
 
 
+_STYLES = {
+    "f_strings": r"""f["''].*\{.*\}.*["'']""",
+    "pathlib_usage": r"from pathlib import Path|Path\(",
+    "type_hints": r"def \w+\([^)]*\) -> ",
+    "context_managers": r"with open\(",
+}
+
+
 @query(
     "required_pattern_coverage",
     f"WITH {ROUTED} SELECT project, count(*) AS n_files, "
-    r"sum(regexp_matches(text, 'f[\"''].*\{.*\}.*[\"'']')::INT)::BIGINT AS f_strings_files, "
-    r"sum(regexp_matches(text, 'from pathlib import Path|Path\(')::INT)::BIGINT AS pathlib_usage_files, "
-    r"sum(regexp_matches(text, 'def \w+\([^)]*\) -> ')::INT)::BIGINT AS type_hints_files, "
-    r"sum(regexp_matches(text, 'with open\(')::INT)::BIGINT AS context_managers_files "
-    "FROM routed WHERE language = 'python' GROUP BY project".replace('\\"', '"'),
+    + ", ".join(
+        f"sum(regexp_matches(text, '{regex}')::INT)::BIGINT AS {name}_files, sum(regexp_matches(text, '{regex}')::INT) / count(*) AS {name}_share"
+        for name, regex in _STYLES.items()
+    )
+    + " FROM routed WHERE language = 'python' GROUP BY project",
 )
 def _(spark, sf_dir):
-    found = file_rules.required_pattern_coverage(_files(spark, sf_dir), "project")
-    return found.drop(*[c for c in found.columns if c.endswith("_share")])
+    return file_rules.required_pattern_coverage(_files(spark, sf_dir), "project")
 
 
-_NAMES_SQL = ", ".join(
-    f"('{language}', '{name}')" for language, names in rulebook.BANNED_NAMES.items() for name in names
+_CATALOG_SQL = ", ".join(
+    f"({', '.join(map(_quote, row))})"
+    for row in [
+        *[("banned_name", language, name, advice) for language, names in rulebook.BANNED_NAMES.items() for name, advice in names.items()],
+        *[("line_rule", rule.language, rule.violation_type, rule.pattern) for rule in rulebook.LINE_RULES],
+        *[("required_pattern", "python", name, regex) for name, regex in rulebook.REQUIRED_PATTERNS.items()],
+    ]
 )
 
 
 @query(
     "rule_catalog",
-    f"WITH {LINES}, names(language, name) AS (VALUES {_NAMES_SQL}), "
-    r"used AS (SELECT language, CASE language WHEN 'typescript' THEN split_part(regexp_extract(line, '^\s*import\s+.*\s+from\s+[''\"]([^''\"]+)[''\"]', 1), '/', 1) "
-    r"WHEN 'rust' THEN regexp_extract(line, '^\s*use\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1) "
-    r"WHEN 'go' THEN regexp_extract(line, 'import\s+\"([^\"]+)\"', 1) END AS name FROM lines "
-    "UNION ALL SELECT 'python', m FROM (VALUES (1, 'requests'), (1, 'urllib'), (1, 'os.path'), (3, 'unittest')) v(t, m) "
-    "JOIN files ON files.t = v.t) "
-    "SELECT names.language, names.name, count(used.name) AS n_findings FROM names LEFT JOIN used "
-    "ON names.language = used.language AND names.name = used.name GROUP BY ALL".replace('\\"', '"'),
+    f"{ALL_FOUND}, listed(catalog, language, name, detail) AS (VALUES {_CATALOG_SQL}), "
+    "used AS (SELECT 'banned_name' AS catalog, language, regexp_extract(context, '(banned_module|package|crate)=([^;]*)', 2) AS name, count(*) AS n "
+    "FROM found WHERE starts_with(violation_type, 'banned_') GROUP BY ALL "
+    "UNION ALL SELECT 'line_rule', language, violation_type, count(*) FROM found GROUP BY ALL "
+    + " ".join(
+        f"UNION ALL SELECT 'required_pattern', 'python', '{name}', count(*) FROM routed WHERE language = 'python' AND regexp_matches(text, '{regex}')"
+        for name, regex in _STYLES.items()
+    )
+    + ") SELECT catalog, language, name, detail, coalesce(n, 0) AS n_uses FROM listed LEFT JOIN used USING (catalog, language, name)",
 )
 def _(spark, sf_dir):
-    """Every banned name with the number of findings it caused in the corpus."""
+    """All three catalogues: findings per banned name and line rule, files per style pattern."""
     context = F.col("language_context")
     name = F.coalesce(*[F.try_element_at(context, F.lit(k)) for k in ("banned_module", "package", "crate")])
-    hits = scan.scan_all(fx.code_files(spark, sf_dir)).filter(F.col("violation_type").startswith("banned_"))
-    counts = hits.groupBy("language", name.alias("name")).agg(F.count(F.lit(1)).alias("n_findings"))
-    listed = rulebook.rule_catalog(spark).filter(F.col("catalog") == "banned_name").select("language", "name")
-    return listed.join(counts, ["language", "name"], "left").select(
-        "language", "name", F.coalesce("n_findings", F.lit(0)).alias("n_findings")
+    files = fx.code_files(spark, sf_dir)
+    counts = scan.scan_all(files).groupBy("language", "violation_type", name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    # One pass: a finding counts for its rule and, if it has one, for its banned name.
+    entries = F.array_compact(
+        F.array(
+            F.struct(F.lit("line_rule").alias("catalog"), F.col("violation_type").alias("name")),
+            F.when(F.col("violation_type").startswith("banned_"), F.struct(F.lit("banned_name").alias("catalog"), F.col("name"))),
+        )
     )
+    per_rule = counts.select("language", "n", F.inline(entries)).groupBy("catalog", "language", "name").agg(F.sum("n").alias("n_uses"))
+    coverage = file_rules.required_pattern_coverage(corpus.route_language(files))
+    styles = F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"{k}_files").alias("n_uses")) for k in rulebook.REQUIRED_PATTERNS])
+    used = coverage.select(F.lit("required_pattern").alias("catalog"), F.lit("python").alias("language"), F.inline(styles))
+    listed = rulebook.rule_catalog(spark).join(per_rule.unionByName(used), ["catalog", "language", "name"], "left")
+    return listed.withColumn("n_uses", F.coalesce("n_uses", F.lit(0)))
 
 
 # E: syntax facts and rules
@@ -596,6 +630,95 @@ def _(spark, sf_dir):
     return found.select(*PLACE)
 
 
+_CALLS = ["x = pickle.loads(d)", "eval(y)", "json.loads(z)", "safe.eval(q)", "yaml.load(a).b.c(d)"]
+_CALLED = (
+    "SELECT '/w/p' || (doc_id % 5) || '/src/f' || doc_id || '.py' AS path, 'python' AS language, "
+    "(2 + length(text) - length(replace(text, chr(10), '')))::INT AS line_num, doc_id % 5 AS k, text FROM documents"
+)
+
+
+def _calling_files(spark, sf_dir):
+    """Documents as comments, then one of a few calls."""
+    call = F.element_at(F.array(*[F.lit(c) for c in _CALLS]), (F.col("doc_id") % len(_CALLS) + 1).cast("int"))
+    return fx.text_table(spark, sf_dir, "documents").select(
+        fx._path(".py").alias("path"),
+        F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")), F.lit("\n"), call, F.lit("\n")).alias("text"),
+    )
+
+
+UNSAFE_LOAD = fact_rules.FactRule(
+    "unsafe_load",
+    "error",
+    ("call",),
+    "fact.name IN ('pickle.loads', 'eval')",
+    "concat('Unsafe call of ', fact.name)",
+    "'Parse the data'",
+    {"function": "fact.name", "arguments": "fact.n_args"},
+    roots=("pickle", "eval"),
+)
+
+
+@query(
+    "user_fact_rule",
+    f"WITH c AS ({_CALLED}), u AS (SELECT *, CASE k WHEN 0 THEN 'pickle.loads' WHEN 1 THEN 'eval' END AS f FROM c WHERE k IN (0, 1)) "
+    "SELECT path, language, line_num, 'unsafe_load' AS violation_type, 'Unsafe call of ' || f AS message, 'Parse the data' AS fix_suggestion, "
+    "'error' AS severity, NULL::VARCHAR AS function_name, 'arguments=1;function=' || f AS context FROM u",
+)
+def _(spark, sf_dir):
+    """A syntax rule of the caller, on calls that no built-in rule asks about, in the whole scan."""
+    registry = PackRegistry()
+    registry.register("python", fact_rules=[UNSAFE_LOAD])
+    found = registry.scan(_calling_files(spark, sf_dir))
+    return whole(found.filter(F.col("violation_type") == "unsafe_load"))
+
+
+@query(
+    "extract_calls",
+    f"WITH c AS ({_CALLED}), n(k, kind, name, n_args) AS (VALUES (0, 'call', 'pickle.loads', 1), (0, 'attribute', 'pickle.loads', NULL), "
+    "(1, 'call', 'eval', 1), (2, 'call', 'json.loads', 1), (2, 'attribute', 'json.loads', NULL), (3, 'call', 'safe.eval', 1), (3, 'attribute', 'safe.eval', NULL), "
+    "(4, 'call', '.b.c', 1), (4, 'attribute', '.b.c', NULL), (4, 'attribute', '.b', NULL), (4, 'call', 'yaml.load', 1), (4, 'attribute', 'yaml.load', NULL)) "
+    "SELECT path, kind, line_num AS lineno, name, n_args FROM c JOIN n USING (k)",
+)
+def _(spark, sf_dir):
+    """Calls and attributes by name, whoever they belong to."""
+    routed = corpus.route_language(_calling_files(spark, sf_dir))
+    found = facts.extract_py_facts(routed, {"call": None, "attribute": None})
+    return found.select("path", "kind", "lineno", "name", "n_args")
+
+
+@query(
+    "banned_call_lookup",
+    f"WITH c AS ({_CALLED}), u AS (SELECT *, CASE k WHEN 0 THEN 'pickle.loads' WHEN 1 THEN 'eval' WHEN 4 THEN 'yaml.load' END AS f, "
+    "CASE k WHEN 0 THEN 'pickle' WHEN 1 THEN 'eval' WHEN 4 THEN 'yaml.load' END AS b FROM c WHERE k IN (0, 1, 4)) "
+    "SELECT path, language, line_num, 'banned_call' AS violation_type, 'Banned call ' || f AS message, 'Do without ' || b AS fix_suggestion, "
+    "'error' AS severity, NULL::VARCHAR AS function_name, 'banned_name=' || b || ';call=' || f AS context FROM u",
+)
+def _(spark, sf_dir):
+    """Calls against a table of 20,003 names, three of which are called."""
+    more = spark.range(20000).select(F.concat(F.lit("lib"), "id", F.lit(".call")).alias("name"), F.col("id").alias("rank"))
+    own = spark.createDataFrame([("pickle", -3), ("eval", -2), ("yaml.load", -1)], "name string, rank long")
+    names = own.union(more).withColumn("suggestion", F.concat(F.lit("Do without "), "name"))
+    calls = facts.extract_py_facts(corpus.route_language(_calling_files(spark, sf_dir)), {"call": None})
+    return whole(fact_rules.rule_banned_call(calls, names))
+
+
+@query(
+    "user_file_rule",
+    f"WITH {ROUTED} SELECT path, language, 1 AS line_num, 'long_file' AS violation_type, 'A long file' AS message, 'Split the file' AS fix_suggestion, "
+    "'error' AS severity, NULL::VARCHAR AS function_name, 'characters=' || length(text) AS context FROM routed "
+    "WHERE language = 'go' AND length(text) > 1000",
+)
+def _(spark, sf_dir):
+    """A whole-file rule of the caller on another language than Python."""
+    registry = PackRegistry()
+    rule = file_rules.FileRule(
+        "long_file", "length(text) > 1000", "A long file", "Split the file", {"characters": "length(text)"}, severity="error", language="go"
+    )
+    registry.register("go", file_rules=[rule])
+    found = registry.scan(fx.code_files(spark, sf_dir)).filter(F.col("violation_type") == "long_file")
+    return whole(found)
+
+
 @query(
     "analysis_error",
     "SELECT '/w/p' || (doc_id % 5) || '/src/f' || doc_id || '.py' AS path, 0 AS line_num, "
