@@ -56,14 +56,17 @@ def fix_convergence(rounds: DataFrame, config: DataFrame | None = None) -> DataF
     )
 
 
-def final_round(violations: DataFrame) -> DataFrame:
+def final_round(violations: DataFrame, rounds: DataFrame | None = None) -> DataFrame:
     """Only the findings of each file's last round; with project_hash, of each path in its project.
 
+    ``rounds`` (path[, project_hash], round) tells which rounds took place: a last round without a finding leaves
+    none of its file.  Without it, the last round with a finding counts.
+
     The last rounds, one row a file, come from an aggregation that combines before the shuffle
     and reads three columns.  The join back is a plain one: adaptive execution splits the
     partition of a file with very many findings, so they are not collected anywhere.
     """
     by = _file_key(violations)
-    last = violations.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.max("round").alias("_round"))
+    last = (violations if rounds is None else rounds).groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.max("round").alias("_round"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
     return violations.join(last, [*same, F.col("round") == F.col("_round")], "left_semi")

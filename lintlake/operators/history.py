@@ -17,8 +17,8 @@ def _days_before(as_of: datetime, days: int) -> Column:
     return wall_clock(as_of) - F.make_dt_interval(F.lit(days))
 
 
-def to_history(violations: DataFrame, as_of: datetime | Column) -> DataFrame:
-    """History rows of a scan; ``violations`` carries project_hash."""
+def to_history(violations: DataFrame, as_of: datetime | Column, *keep: str) -> DataFrame:
+    """History rows of a scan; ``violations`` carries project_hash and the columns in ``keep``."""
     stamp = as_of if isinstance(as_of, Column) else wall_clock(as_of)
     return violations.select(
         "project_hash",
@@ -32,6 +32,7 @@ def to_history(violations: DataFrame, as_of: datetime | Column) -> DataFrame:
         "severity",
         "function_name",
         "language",
+        *keep,
     )
 
 

@@ -15,7 +15,7 @@ from lintlake.session import shared_folder
 from lintlake.sources import config, events, history_store, linters
 from lintlake.streaming import streams
 from workloads import fixtures as fx
-from workloads.corpus_queries import ALL_FOUND, FILES, LINES, ROUTED, SYNTAX, TEXT_RULES  # noqa: F401
+from workloads.corpus_queries import ALL_FOUND, FILES, FOUND, WHOLE, decisions_sql, whole
 from workloads.registry import AS_OF, query
 
 H = f"WITH h AS ({fx.HISTORY_SQL})"
@@ -480,11 +480,19 @@ def _(spark, sf_dir):
     return projects.nearest_config(files, fx.project_markers(spark, sf_dir), "package.json")
 
 
+_DIGEST = (
+    "a AS (SELECT project_hash, string_agg('- **' || violation_type || '** (' || n || 'x): ' || fix, chr(10) ORDER BY n DESC, violation_type) AS issues FROM i GROUP BY 1), "
+    "b AS (SELECT project_hash, string_agg('- ' || file_name || ': ' || n || ' violations', chr(10) ORDER BY n DESC, file_name) AS files FROM w GROUP BY 1), "
+    "digests AS (SELECT project_hash, '# MEMORY:' || chr(10) || chr(10) || '## Recent Violation Patterns (Last 7 Days)' || chr(10) || chr(10) || issues || chr(10) || chr(10) || "
+    "'## Files Needing Attention' || chr(10) || chr(10) || files || chr(10) AS digest FROM a JOIN b USING (project_hash))"
+)
+
+
 @query(
     "inject_context",
-    f"{EVENTS}, h AS ({fx.HISTORY_SQL}), r AS (SELECT * FROM h WHERE timestamp > TIMESTAMP '2024-01-24 00:00:00'), "
-    "p AS (SELECT DISTINCT project_hash FROM r) SELECT e.event_id, p.project_hash, 'approve' AS decision FROM e JOIN events USING (event_id) "
-    "JOIN p ON p.project_hash = substr(md5('u' || (user_id % 10)), 1, 8) WHERE tool_name IN ('Write', 'Edit', 'MultiEdit', 'Task')",
+    f"{EVENTS}, h AS ({fx.HISTORY_SQL}), r AS (SELECT * FROM h WHERE timestamp > TIMESTAMP '2024-01-24 00:00:00'), {_ISSUES}, {_WORST}, {_DIGEST} "
+    "SELECT e.event_id, tool_name, path, project_hash, 'approve' AS decision, digest AS reason FROM e JOIN events USING (event_id) "
+    "JOIN digests ON project_hash = substr(md5('u' || (user_id % 10)), 1, 8) WHERE tool_name IN ('Write', 'Edit', 'MultiEdit', 'Task')",
 )
 def _(spark, sf_dir):
     rows = _history(spark, sf_dir)
@@ -492,7 +500,7 @@ def _(spark, sf_dir):
     parsed = events.edit_events(fx.edit_events_json(spark, sf_dir), "json", "event_id")
     owners = rows.select(F.col("seq").alias("event_id"), "project_hash")
     injected = reports.inject_context(parsed.join(owners, "event_id"), digests)
-    return injected.select("event_id", "project_hash", "decision")
+    return injected.select("event_id", "tool_name", "path", "project_hash", "decision", "reason")
 
 
 # H: rounds
@@ -503,13 +511,13 @@ _ROUNDS = (
 )
 
 
-def _convergence_sql(limit: str) -> str:
+def _convergence_sql(limit: str, by: str = "path") -> str:
     return (
         f", s AS (SELECT *, {limit} AS lim FROM r), o AS (SELECT *, CASE WHEN n_errors = 0 THEN 'clean' "
-        "WHEN n_errors >= lag(n_errors) OVER (PARTITION BY path ORDER BY round) THEN 'stalled' WHEN round >= lim THEN 'exhausted' END AS outcome "
-        "FROM s WHERE round <= lim), f AS (SELECT path, min(round) FILTER (outcome IS NOT NULL) AS first, max(round) AS last FROM o GROUP BY path) "
-        "SELECT o.path, round AS stop_round, n_errors AS errors_left, coalesce(outcome, 'open') AS outcome FROM o JOIN f ON o.path = f.path "
-        "AND o.round = coalesce(f.first, f.last)"
+        f"WHEN n_errors >= lag(n_errors) OVER (PARTITION BY {by} ORDER BY round) THEN 'stalled' WHEN round >= lim THEN 'exhausted' END AS outcome "
+        f"FROM s WHERE round <= lim), f AS (SELECT {by}, min(round) FILTER (outcome IS NOT NULL) AS first, max(round) AS last FROM o GROUP BY {by}) "
+        f"SELECT {by}, round AS stop_round, n_errors AS errors_left, coalesce(outcome, 'open') AS outcome FROM o JOIN f USING ({by}) "
+        "WHERE o.round = coalesce(f.first, f.last)"
     )
 
 
@@ -520,13 +528,41 @@ def _(spark, sf_dir):
 
 @query(
     "fix_convergence_config",
-    f"WITH {_ROUNDS}, {_CONFIG}" + _convergence_sql("coalesce((SELECT max_iterations FROM cfg WHERE cfg.project_hash = r.project_hash), 3)"),
+    f"WITH {_ROUNDS}, {_CONFIG}"
+    + _convergence_sql("coalesce((SELECT max_iterations FROM cfg WHERE cfg.project_hash = r.project_hash), 3)", "project_hash, path"),
 )
 def _(spark, sf_dir):
     limits = config.project_config(fx.raw_config(spark, sf_dir))
     return convergence.fix_convergence(fx.scan_rounds(spark, sf_dir), limits)
 
 
+def _shared_paths(df: DataFrame) -> DataFrame:
+    """Rounds of fifty paths that seven projects have in common."""
+    e = F.col("event_id")
+    return df.select(
+        F.concat(F.lit("/w/f"), (e % 50).cast("string"), F.lit(".py")).alias("path"),
+        F.concat(F.lit("u"), (e % 7).cast("string")).alias("project_hash"),
+        (e * 7 % 5 + e % 3 + 1).cast("int").alias("round"),
+        F.when(F.col("event_type").isin("error", "purchase"), 1).otherwise(0).cast("long").alias("n_errors"),
+        "event_id",
+    )
+
+
+_SHARED = (
+    "p AS (SELECT '/w/f' || (event_id % 50) || '.py' AS path, 'u' || (event_id % 7) AS project_hash, (event_id * 7 % 5 + event_id % 3 + 1)::INT AS round, "
+    "CASE WHEN event_type IN ('error', 'purchase') THEN 1 ELSE 0 END AS e, event_id FROM events)"
+)
+
+
+@query(
+    "fix_convergence_projects",
+    f"WITH {_SHARED}, r AS (SELECT path, project_hash, round, sum(e)::BIGINT AS n_errors FROM p GROUP BY ALL)"
+    + _convergence_sql("3", "project_hash, path"),
+)
+def _(spark, sf_dir):
+    return convergence.fix_convergence(_shared_paths(fx.table(spark, sf_dir, "events")))
+
+
 @query(
     "final_round",
     "WITH r AS (SELECT '/w/f' || (event_id % 700) || '.py' AS path, event_id, (event_id * 7 % 5 + 1)::INT AS round FROM events) "
@@ -542,6 +578,18 @@ def _(spark, sf_dir):
     return convergence.final_round(found)
 
 
+@query(
+    "final_round_projects",
+    f"WITH {_SHARED} SELECT path, project_hash, round, event_id FROM p WHERE e = 1 "
+    "AND round = (SELECT max(round) FROM p q WHERE q.path = p.path AND q.project_hash = p.project_hash)",
+)
+def _(spark, sf_dir):
+    """Findings of the last round that took place, which may be a clean one without any."""
+    rounds = _shared_paths(fx.table(spark, sf_dir, "events"))
+    found = rounds.filter(F.col("n_errors") > 0).select("path", "project_hash", "round", "event_id")
+    return convergence.final_round(found, rounds)
+
+
 # L: streams
 
 
@@ -563,11 +611,10 @@ def _drain(stream: DataFrame, place: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/out")
 
 
-@query("stream_scan", f"{ALL_FOUND} SELECT * FROM found")
+@query("stream_scan", f"{ALL_FOUND} SELECT {WHOLE} FROM found")
 def _(spark, sf_dir):
     files = fx.code_files_of(_document_stream(spark, sf_dir))
-    found = streams.stream_scan(files).select("path", "line_num", "violation_type", "severity")
-    return _drain(found, _work_folder(spark, "scan"))
+    return _drain(whole(streams.stream_scan(files), "rule_order"), _work_folder(spark, "scan"))
 
 
 @query(
@@ -592,6 +639,19 @@ def _(spark, sf_dir):
     return history_store.read_history(spark, f"{place}/history")
 
 
+@query(
+    "stream_equal_times",
+    f"{H} SELECT * REPLACE (TIMESTAMP '2024-01-30 00:00:00' AS timestamp) FROM (SELECT {COLUMNS} FROM h "
+    f"QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY seq DESC) = 1)",
+)
+def _(spark, sf_dir):
+    """All findings of a micro-batch have one time; the last one found stays."""
+    place = _work_folder(spark, "upsert")
+    rows = fx.history_of(_event_stream(spark, sf_dir)).withColumn("timestamp", F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))
+    streams.stream_upsert(rows, f"{place}/history", f"{place}/state", tie_break=("seq",)).awaitTermination()
+    return history_store.read_history(spark, f"{place}/history")
+
+
 @query("dedup_events", "SELECT event_id, event_type FROM events")
 def _(spark, sf_dir):
     """Every event twice, kept once."""
