@@ -66,6 +66,15 @@ def append_history(
     )
 
 
+def stored_log(spark: SparkSession, location: str) -> DataFrame:
+    """All rows ever written, with event_date, writer and batch_id; nothing if there is no log yet."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(location)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], _stored_schema())
+    return spark.read.schema(_stored_schema()).parquet(location)
+
+
 def read_history(spark: SparkSession, location: str, newer_than: datetime | None = None) -> DataFrame:
     """Current rows, optionally only those strictly newer than a point in time."""
     log = spark.read.schema(_stored_schema()).parquet(location)
