@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -89,8 +89,9 @@ def links(fps: DataFrame, bits: int) -> DataFrame:
     spark = fps.sparkSession
     masked = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in _masks(bits)])
     postings = fps.select("fp", F.posexplode(masked).alias("list", "bytes"))
-    lengths = written(postings.groupBy("list", "bytes").agg(F.count("*").alias("n")).filter("n > 1"), "posting-lengths")
-    shared = written(postings.join(lengths, ["list", "bytes"]), "postings")
+    # One shuffle and a sort: a list has at most 2 ** (8 * bits) distinct fingerprints, and they are only counted.
+    length = F.count("*").over(Window.partitionBy("list", "bytes"))
+    shared = written(postings.withColumn("n", length).filter("n > 1"), "postings")
 
     apart = F.col("a").bitwiseXOR(F.col("b"))
     near = F.bit_count(apart) <= bits
