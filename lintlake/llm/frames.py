@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -12,16 +14,58 @@ from pyspark.sql import types as T
 from lintlake.session import shared_folder
 
 
+_scopes: list[str] = []
+
+
 def fresh_path(spark, name: str) -> str:
-    """A new folder below the one that all executors share."""
-    return f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    """A new folder for one table, below the run's folder; all executors share it."""
+    return f"{_scopes[-1] if _scopes else run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def run_folder(spark) -> str:
+    """Where the intermediate tables of this application lie; :func:`clear` deletes it."""
+    return f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark) -> None:
+    """Deletes all intermediate tables of this application; results that were not written elsewhere go with them."""
+    _delete(spark, run_folder(spark))
+
+
+@contextmanager
+def scope(spark) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end; write what is to stay to a path taken before."""
+    _scopes.append(f"{run_folder(spark)}/scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, _scopes.pop())
+
+
+def release(spark) -> None:
+    """Lets the driver forget plans, broadcasts and shuffles that nothing refers to, once they fill half of its heap.
+
+    Spark frees broadcasts and shuffle files on all machines when the driver collects its
+    references to them, which a driver that only plans may otherwise put off for long.
+    """
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if 2 * (runtime.totalMemory() - runtime.freeMemory()) > runtime.maxMemory():
+        jvm.java.lang.System.gc()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = path or fresh_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_hash(text: str = "text") -> Column:

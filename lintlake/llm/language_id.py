@@ -195,8 +195,13 @@ def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (text, lang and any others) whose text has a language; learns from all rows with a lang."""
+    """The rows of ``docs`` (text, lang and any others) whose text has a language; learns from all rows with a lang.
+
+    A text without a letter has none.  If no row teaches a language, every text with a letter stays.
+    """
     langs, matrix = profiles(docs)
+    if not langs:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     rows = docs.select(F.struct("*").alias("row"), F.col("text"))
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     found = rows.mapInArrow(_predict(langs, matrix), schema)

@@ -64,13 +64,24 @@ def targets(sizes: DataFrame, share: float = 1.0) -> DataFrame:
     return filled.select("source", "source_size", "sid", "weight", target.alias("target"))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row.
+
+    A plain column would be copied into the lambdas of the next step and computed for each of
+    their elements; nothing is moved through a generator.
+    """
+    return rows.select(*rows.columns, F.explode_outer(F.array(value)).alias(name))
+
+
 def hypergeometric(rows: DataFrame, out: str) -> DataFrame:
     """Adds how many of ``draws`` from ``population`` are ``marked``: the inverse distribution at ``unit``.
 
     Weights run from 12 standard deviations below the mean to 12 above; what lies beyond is
     less than a double can tell from 0.
     """
-    n, k, m = (F.col(c).cast("double") for c in ("population", "marked", "draws"))
+    columns = rows.columns
+    rows = _once(rows, "_n", F.struct(*[F.col(c).cast("double").alias(c) for c in ("population", "marked", "draws")]))
+    n, k, m = (F.col(f"_n.{c}") for c in ("population", "marked", "draws"))
     mean = F.when(n > 0, m * k / n).otherwise(0.0)
     spread = F.sqrt(F.greatest(mean * F.when(n > 1, (1 - k / n) * (n - m) / (n - 1)).otherwise(0.0), F.lit(0.0)))
     low = F.greatest(F.lit(0.0), m - (n - k), F.floor(mean - 12 * spread - 12).cast("double")).cast("long")
@@ -84,19 +95,21 @@ def hypergeometric(rows: DataFrame, out: str) -> DataFrame:
 
     none = F.lit(float("-inf"))
     start = lambda out: F.struct(F.lit(0.0).alias("log"), out.alias("out"))
-    rows = rows.withColumn("_steps", F.sequence(low, F.greatest(low, high)))
+    rows = _once(rows, "_low", F.struct(low.alias("low"), high.alias("high")))
+    low, high = F.col("_low.low"), F.col("_low.high")
+    rows = _once(rows, "_steps", F.sequence(low, F.greatest(low, high)))
     top = F.aggregate("_steps", start(none), lambda s, x: F.struct(onward(s["log"], x).alias("log"), F.greatest(s["out"], s["log"]).alias("out")))
-    rows = rows.withColumn("_top", top["out"])
+    rows = _once(rows, "_top", top["out"])
     weight = lambda s: F.exp(s["log"] - F.col("_top"))
     whole = F.aggregate("_steps", start(F.lit(0.0)), lambda s, x: F.struct(onward(s["log"], x).alias("log"), (s["out"] + weight(s)).alias("out")))
-    rows = rows.withColumn("_goal", whole["out"] * F.col("unit"))
+    rows = _once(rows, "_goal", whole["out"] * F.col("unit"))
     first = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("out"), low.alias("at"))
     step = lambda s, x: F.struct(
         onward(s["log"], x).alias("log"),
         (s["out"] + weight(s)).alias("out"),
         F.when(s["out"] <= F.col("_goal"), x).otherwise(s["at"]).alias("at"),
     )
-    return rows.withColumn(out, F.aggregate("_steps", first, step)["at"]).drop("_steps", "_top", "_goal")
+    return _once(rows, out, F.aggregate("_steps", first, step)["at"]).select(*columns, out)
 
 
 def shard_quotas(quotas: DataFrame, depth: int) -> DataFrame:
@@ -114,7 +127,7 @@ def shard_quotas(quotas: DataFrame, depth: int) -> DataFrame:
         return quotas.select(F.lit(0).cast("long").alias("shard"), "sid", F.col("quota").cast("long").alias("quota"))
     for level in range(depth):
         upto = F.transform(F.concat(F.array(F.lit(0).cast("int")), F.sequence(F.lit(1), F.size("q"))), lambda i: F.aggregate(F.slice("q", 1, i), F.lit(0).cast("long"), lambda s, x: s + x["quota"]))
-        groups = nodes.withColumn("upto", upto).withColumn("draws", F.floor(F.element_at("upto", -1) / 2).cast("long"))
+        groups = _once(nodes, "upto", upto).withColumn("draws", F.floor(F.element_at("upto", -1) / 2).cast("long"))
         groups = groups.withColumns({"lo": F.lit(0), "hi": F.size("q")})
         for _ in range(max(n_sources - 1, 0).bit_length()):
             mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")

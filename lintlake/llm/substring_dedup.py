@@ -18,19 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import buffers as B
 from .decontamination import small
-from .frames import running, text_hash, written
+from .frames import text_hash, written
 
 MIN_SENTENCES = 2
 MIN_WORDS = 16
 LONG = 16
 CUT = 6
 NEAR = 8
-POSITION_BITS = 28  # sentences of one document; the other 35 number the documents
+LENGTH_BITS = 20  # sentences of one run; the others of a place number the sentences of a document
+PIECE_BYTES = 1 << 20  # texts worked on at once
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 _FACTORS = B.random_words(3, 13) | np.uint64(1)
@@ -95,68 +96,54 @@ def _runs(at: np.ndarray, n_words: int, first: np.ndarray, min_words: int, min_s
     return starts[whole], i[whole] + 1
 
 
-def _hash(min_words: int, min_sentences: int, forward: bool):
+def _hash(min_words: int, min_sentences: int):
+    """One row a run: its hash, and its document, first sentence and length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in B.pieces(batch, "text"):
+            for piece in B.pieces(batch, "text", PIECE_BYTES):
                 content, bounds = B.flat(piece.column("text"))
                 starts, hashes, first_word, at, first = sentences(content, bounds)
-                begin, end = _runs(at, len(starts), first, min_words, min_sentences, forward)
+                both = [_runs(at, len(starts), first, min_words, min_sentences, forward) for forward in (True, False)]
+                # Most runs are the shortest ones both ways: those are sent once.
+                begin, end = (np.concatenate(x) for x in zip(*both, strict=True))
+                spot = np.unique(begin * (len(at) + 1) + end)
+                begin, end = spot // (len(at) + 1), spot % (len(at) + 1)
                 upto = np.append(at, len(starts))
                 spans = B.sequence_hashes(hashes, upto[begin], upto[end]).view(np.int64)
                 row = np.searchsorted(first, begin, side="right") - 1
-                sizes = np.searchsorted(row, np.arange(piece.num_rows + 1)).astype(np.int32)
-                as_list = lambda values: pa.ListArray.from_arrays(pa.array(sizes), values)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("_id"),
-                        piece.column("_h"),
-                        as_list(pa.array(spans)),
-                        as_list(pa.array((begin - first[row]).astype(np.int32))),
-                        as_list(pa.array((end - begin).astype(np.int32))),
-                    ],
-                    names=["_id", "_h", "spans", "run_at", "run_length"],
-                )
+                place = ((begin - first[row]) << LENGTH_BITS) | (end - begin)
+                ids, texts = (piece.column(c).take(pa.array(row)) for c in ("_id", "_h"))
+                yield pa.RecordBatch.from_arrays([pa.array(spans), ids, texts, pa.array(place)], names=["span", "_id", "_h", "place"])
 
     return run
 
 
-def _repeats(docs: DataFrame, numbers: DataFrame, hashed) -> DataFrame:
-    """(number, at, length, later): runs that stand in more than one place, and whether one stands before."""
-    own = docs.mapInArrow(hashed, "_id long, _h long, spans array<long>, run_at array<int>, run_length array<int>")
-    own = own.join(small(numbers, F.lit(32)), ["_id", "_h"]).select("number", "spans", "run_at", "run_length")
-    runs = written(own, "runs").select("number", F.explode(F.arrays_zip("spans", "run_at", "run_length")).alias("r"))
-    pos = F.shiftleft("number", POSITION_BITS).bitwiseOR(F.col("r.run_at"))
-    runs = runs.select(F.col("r.spans").alias("span"), pos.alias("pos"), F.col("r.run_length").alias("length"))
-    # Equal rows of documents have equal positions: those are one occurrence.
-    first = runs.groupBy("span").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).filter("first < last")
-    first = written(first.drop("last"), "repeated-runs")
-    found = runs.join(small(first, F.lit(32)), "span").select(
-        F.shiftright("pos", POSITION_BITS).alias("number"),
-        F.col("pos").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int").alias("at"),
-        "length",
-        (F.col("pos") > F.col("first")).alias("later"),
-    )
-    return written(found, "repeats")
-
-
 def repeated_sentences(docs: DataFrame, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:
     """(_id, _h, repeated, gone): sentence indexes inside any repeated run, and inside one that begins earlier as well.
 
     ``docs`` has _id, _h and text; equal (_id, _h) count once.  Only documents with a repeated run have a row.
+
+    Runs are shuffled once, by their hash, and sorted there; all occurrences of a run stand together,
+    of which only the first and the last place are kept in mind, so a very common passage takes no more memory than a rare one.
     """
     docs = docs.filter("text IS NOT NULL").select("_id", "_h", "text")
-    # Documents in order; a position is the document's number and the sentence in it.
-    numbers = running(docs.select("_id", "_h").distinct().withColumn("one", F.lit(1)), ["_id", "_h"], "one", "number", "numbers")
-    numbers = numbers.select("_id", "_h", "number")
-    # Every repeated run has a repeated run forward in it; only its documents are asked for runs backward.
-    found = _repeats(docs, numbers, _hash(min_words, min_sentences, True))
-    some = found.select("number").distinct().join(numbers, "number").select("_id", "_h")
-    found = found.unionByName(_repeats(docs.join(small(some, F.lit(16)), ["_id", "_h"], "left_semi"), numbers, _hash(min_words, min_sentences, False)))
+    runs = docs.mapInArrow(_hash(min_words, min_sentences), "span long, _id long, _h long, place long")
+    own, alike = F.struct("_id", "_h", "place"), Window.partitionBy("span")
+    # Equal rows of documents have equal places: those are one occurrence.
+    placed = runs.withColumns({"first": F.min(own).over(alike), "last": F.max(own).over(alike)}).filter("first < last")
+    found = placed.select(
+        "_id",
+        "_h",
+        F.shiftright("place", LENGTH_BITS).cast("int").alias("at"),
+        F.col("place").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int").alias("length"),
+        (own > F.col("first")).alias("later"),
+    )
+    found = written(found.distinct(), "repeats")
     inside = F.sequence("at", F.col("at") + F.col("length") - 1)
     cover = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    marked = found.groupBy("number").agg(cover(inside).alias("repeated"), cover(F.when(F.col("later"), inside)).alias("gone"))
-    return written(marked.join(numbers, "number").select("_id", "_h", "repeated", "gone"), "marked")
+    marked = found.groupBy("_id", "_h").agg(cover(inside).alias("repeated"), cover(F.when(F.col("later"), inside)).alias("gone"))
+    return written(marked, "marked")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,6 +98,15 @@ def test_language_on_edges(edge_docs, edge_rows):
     assert {r.lang_pred for r in language_id.identify(edge_docs, edge_docs.filter("lang = 'xx'")).collect()} == {"und"}
 
 
+def test_keep_identified_without_labels(edge_docs, edge_rows):
+    """Nothing teaches a language: every text with a letter stays."""
+    unlabelled = edge_docs.withColumn("lang", F.lit(None).cast("string"))
+    found = language_id.keep_identified(unlabelled)
+    assert found.columns == unlabelled.columns
+    same([(r.doc_id, r.text) for r in found.collect()], [r[:2] for r in edge_rows if any(c.isalpha() for c in r[1] or "")])
+    same([(r.doc_id, r.text) for r in language_id.keep_identified(edge_docs).collect()], [r[:2] for r in edge_rows if any(c.isalpha() for c in r[1] or "")])
+
+
 def test_language_held_out(spark, sf_dir):
     docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), language_id.held_out(4, 2)
     found = language_id.identify(docs.filter(out), docs.filter(~out)).join(docs.select("doc_id", "lang"), "doc_id")
@@ -257,7 +266,10 @@ def test_unmarked_passages_share_a_run():
         pairs.append([f"Before it. {sentence}One end", f"Other words. {sentence}Another here"])
     texts = [text for pair in pairs for text in pair]
     batch = pa.RecordBatch.from_pydict({"_id": list(range(len(texts))), "_h": [0] * len(texts), "text": texts})
-    spans = [set(x) for out in substring_dedup._hash(16, 2, True)([batch]) for x in out.column("spans").to_pylist()]
+    spans = [set() for _ in texts]
+    for out in substring_dedup._hash(16, 2)([batch]):
+        for i, span in zip(out.column("_id").to_pylist(), out.column("span").to_pylist(), strict=True):
+            spans[i].add(span)
     missed = [i for i in range(len(pairs)) if not spans[2 * i] & spans[2 * i + 1]]
     assert not missed, (len(missed), [pairs[i] for i in missed[:2]])
 
