@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm import decontamination, language_id, line_dedup, mixing, near_dedup
-from lintlake.llm.frames import written
+from lintlake.llm.frames import fresh_path, scope, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = fresh_path(spark, name)
+        with scope(spark):  # a stage's own tables go when its result is written
+            docs = written(stage(spark, docs, sf_dir), name, path)
     return docs
