@@ -39,29 +39,35 @@ def outcome_of(rounds: dict[int, int], most: int, complete: bool) -> tuple[int,
 
 def _follow(idle_ms: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        def result(found: tuple[int, int, str] | None) -> pd.DataFrame:
-            rows = [(*key, *found)] if found else []
-            return pd.DataFrame(rows, columns=["project_hash", "path", "stop_round", "errors_left", "outcome"])
-
         text, closed, touched, most = state.get if state.exists else ("", False, 0, DEFAULT_MAX_ITERATIONS)
         rounds = {int(r): int(n) for r, n in (pair.split(":") for pair in text.split(",") if pair)}
+        results: list[tuple] = []
+
+        def judge(complete: bool) -> None:
+            nonlocal closed
+            found = None if closed else outcome_of(rounds, most, complete)
+            if found:
+                results.append((*key, *found))
+                closed = True
+
         if state.hasTimedOut:
+            judge(complete=True)
             state.remove()
-            yield result(None if closed else outcome_of(rounds, most, complete=True))
-            return
-        for frame in frames:
-            touched = max(touched, int(frame["at"].max()))
-            most = int(frame["most"].max())
-            if not closed:
-                for number, n_errors in zip(frame["round"], frame["n_errors"], strict=True):
-                    if number <= most:
-                        rounds.setdefault(int(number), int(n_errors))  # delivered twice, counted once
-        found = None if closed else outcome_of(rounds, most, complete=False)
-        closed = closed or found is not None
-        kept = "" if closed else ",".join(f"{r}:{n}" for r, n in sorted(rounds.items()))
-        state.update((kept, closed, touched, most))
-        state.setTimeoutTimestamp(max(touched + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield result(found)
+        else:
+            columns = ("at", "round", "n_errors", "most")
+            rows = sorted(row for frame in frames for row in zip(*(frame[c].tolist() for c in columns), strict=True))
+            for at, number, n_errors, limit in rows:
+                if touched and at > touched + idle_ms:  # a pause: the timer was only not heard yet
+                    judge(complete=True)
+                    rounds, closed = {}, False
+                touched, most = max(touched, int(at)), int(limit)
+                if not closed and number <= most:
+                    rounds.setdefault(int(number), int(n_errors))  # delivered twice, counted once
+                    judge(complete=False)
+            kept = "" if closed else ",".join(f"{r}:{n}" for r, n in sorted(rounds.items()))
+            state.update((kept, closed, touched, most))
+            state.setTimeoutTimestamp(max(touched + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(results, columns=["project_hash", "path", "stop_round", "errors_left", "outcome"])
 
     return run
 
