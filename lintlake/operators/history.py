@@ -128,21 +128,30 @@ def repeat_offenders(
 def learning_summary(
     history: DataFrame, as_of: datetime, days: int = 7, n_issues: int = 5, n_files: int = 3, project: str | None = None
 ) -> DataFrame:
-    """(project_hash, generated_at, top_issues, problem_files), one row per project."""
+    """(project_hash, generated_at, top_issues, problem_files), one row per project.
+
+    The history is read once: a count per project, file, type and advice is counted again for its
+    type and for its file, and both lists are cut to their length before they are gathered.
+    """
     detail = _count_by_detail(look_back(history, as_of, days, project))
-    issues = top_n(_types(detail), ["project_hash"], "count", "violation_type", n_issues)
-    files = top_n(_files(detail), ["project_hash"], "violation_count", "file_name", n_files)
-
-    def listed(rows: DataFrame, entry: dict[str, str], name: str) -> DataFrame:
-        fields = [F.col(source).alias(target) for target, source in entry.items()]
-        ranked = F.sort_array(F.collect_list(F.struct("rank", *fields)))
-        plain = F.transform(ranked, lambda e: F.struct(*[e[target].alias(target) for target in entry]))
-        return rows.groupBy("project_hash").agg(plain.alias(name))
-
-    top = listed(issues, {"type": "violation_type", "count": "count", "fix": "fix_suggestion"}, "top_issues")
-    worst = listed(files, {"file": "file_name", "violations": "violation_count"}, "problem_files")
-    return top.join(worst, "project_hash", "full").select(
-        "project_hash", wall_clock(as_of).alias("generated_at"), "top_issues", "problem_files"
+    issue, file = F.lit("issue"), F.lit("file")
+    entries = F.array(
+        F.struct(issue.alias("list"), F.col("violation_type").alias("name"), F.col("fix_suggestion").alias("fix")),
+        F.struct(file.alias("list"), F.col("file_name").alias("name"), F.lit(None).cast("string").alias("fix")),
+    )
+    counted = detail.select("project_hash", "n", F.inline(entries)).groupBy("project_hash", "list", "name")
+    counts = counted.agg(F.sum("n").alias("count"), F.max("fix").alias("fix"))
+    ranked = top_n(counts, ["project_hash", "list"], "count", "name", max(n_issues, n_files))
+    kept = ranked.filter(F.col("rank") <= F.when(F.col("list") == issue, n_issues).otherwise(n_files))
+
+    def listed(which: Column, *fields: Column) -> Column:
+        entry = F.when(F.col("list") == which, F.struct("rank", F.struct(*fields).alias("entry")))
+        return F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["entry"])
+
+    return kept.groupBy("project_hash").agg(
+        wall_clock(as_of).alias("generated_at"),
+        listed(issue, F.col("name").alias("type"), F.col("count"), F.col("fix")).alias("top_issues"),
+        listed(file, F.col("name").alias("file"), F.col("count").alias("violations")).alias("problem_files"),
     )
 
 

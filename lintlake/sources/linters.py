@@ -109,14 +109,15 @@ def import_eslint(df: DataFrame) -> DataFrame:
 def import_tsc(df_lines: DataFrame, markers: DataFrame | None = None) -> DataFrame:
     """tsc output lines; errors where the project has a configuration, warnings elsewhere.
 
-    ``markers`` (dir, marker) tells where tsconfig.json files are; only lines that report an
-    error take part in that lookup.
+    ``markers`` (dir, marker) tells where tsconfig.json files are.  They are looked up once per file, and
+    only files that have one are joined to the lines.
     """
     hits = df_lines.filter(F.col("line").rlike(TSC_LINE))
     if markers is None:
         hits = hits.withColumn("config_dir", F.lit(None).cast("string"))
     else:
-        hits = nearest_config(hits, markers, "tsconfig.json")
+        configured = nearest_config(df_lines.select("path").distinct(), markers, "tsconfig.json").filter("config_dir IS NOT NULL")
+        hits = hits.join(configured, "path", "left")
     line_num, column, code, text = (F.regexp_extract("line", TSC_LINE, i) for i in (1, 2, 3, 4))
     row = finding(
         line_num.try_cast("int"),
