@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import buffers as B
@@ -113,37 +113,46 @@ def _hash(min_words: int, min_sentences: int):
                 spans = B.sequence_hashes(hashes, upto[begin], upto[end]).view(np.int64)
                 row = np.searchsorted(first, begin, side="right") - 1
                 place = ((begin - first[row]) << LENGTH_BITS) | (end - begin)
-                ids, texts = (piece.column(c).take(pa.array(row)) for c in ("_id", "_h"))
-                yield pa.RecordBatch.from_arrays([pa.array(spans), ids, texts, pa.array(place)], names=["span", "_id", "_h", "place"])
+                ids, texts = (piece.column(c).take(pa.array(row)) for c in ("_id", "_t"))
+                yield pa.RecordBatch.from_arrays([pa.array(spans), ids, texts, pa.array(place)], names=["span", "_id", "_t", "place"])
 
     return run
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with _t, the text hash of documents that share their _id with another text, and 0 for all others.
+
+    Ids are unique as a rule, and then a place needs no hash beside the id.
+    """
+    shared = docs.groupBy("_id").agg(F.min("_h").alias("least"), F.max("_h").alias("most")).filter("least <> most")
+    shared = written(shared.select("_id", F.lit(True).alias("shared")), "shared-ids")
+    marked = docs.join(small(shared, F.lit(16)), "_id", "left")
+    return marked.withColumn("_t", F.when(F.col("shared"), F.col("_h")).otherwise(F.lit(0))).drop("shared")
+
+
 def repeated_sentences(docs: DataFrame, min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:
-    """(_id, _h, repeated, gone): sentence indexes inside any repeated run, and inside one that begins earlier as well.
+    """(_id, _t, repeated, gone): sentence indexes inside any repeated run, and inside one that begins earlier as well.
 
-    ``docs`` has _id, _h and text; equal (_id, _h) count once.  Only documents with a repeated run have a row.
+    ``docs`` has _id, _t and text; equal (_id, _t) count once.  Only documents with a repeated run have a row.
 
     Runs are shuffled once, by their hash, and sorted there; all occurrences of a run stand together,
     of which only the first and the last place are kept in mind, so a very common passage takes no more memory than a rare one.
     """
-    docs = docs.filter("text IS NOT NULL").select("_id", "_h", "text")
-    runs = docs.mapInArrow(_hash(min_words, min_sentences), "span long, _id long, _h long, place long")
-    own, alike = F.struct("_id", "_h", "place"), Window.partitionBy("span")
+    runs = docs.filter("text IS NOT NULL").select("_id", "_t", "text").mapInArrow(_hash(min_words, min_sentences), "span long, _id long, _t long, place long")
+    own, alike = F.struct("_id", "_t", "place"), Window.partitionBy("span")
     # Equal rows of documents have equal places: those are one occurrence.
     placed = runs.withColumns({"first": F.min(own).over(alike), "last": F.max(own).over(alike)}).filter("first < last")
-    found = placed.select(
-        "_id",
-        "_h",
-        F.shiftright("place", LENGTH_BITS).cast("int").alias("at"),
-        F.col("place").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int").alias("length"),
-        (own > F.col("first")).alias("later"),
-    )
-    found = written(found.distinct(), "repeats")
-    inside = F.sequence("at", F.col("at") + F.col("length") - 1)
-    cover = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    marked = found.groupBy("_id", "_h").agg(cover(inside).alias("repeated"), cover(F.when(F.col("later"), inside)).alias("gone"))
-    return written(marked, "marked")
+    spot = F.shiftleft("place", 1).bitwiseOR((own > F.col("first")).cast("long"))
+    found = placed.groupBy("_id", "_t").agg(F.collect_set(spot).alias("spots"))
+    found = written(found, "repeats")
+
+    def inside(spots: str | Column) -> Column:
+        at = lambda p: F.shiftright(p, LENGTH_BITS + 1).cast("int")
+        length = lambda p: F.shiftright(p, 1).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int")
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(spots, lambda p: F.sequence(at(p), at(p) + length(p) - 1)))))
+
+    later = F.filter("spots", lambda p: p.bitwiseAND(F.lit(1)) == 1)
+    return found.select("_id", "_t", inside("spots").alias("repeated"), inside(later).alias("gone"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +185,11 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_sentences: i
     first, equal ids by a hash of the text) or further up; text is without them.  Null stays
     null; blank texts have no sentence.  Rows equal in doc_id and text count as one document.
     """
-    keyed = docs.select("doc_id", "text").withColumns({"_id": F.coalesce("doc_id", F.lit(-(2**63))), "_h": text_hash()})
+    keyed = docs.select("doc_id", "text").withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_h": text_hash()})
+    keyed = _numbered(keyed)
     marked = repeated_sentences(keyed, min_words, min_sentences)
-    size = 32 + 4 * (F.size("repeated") + F.size("gone"))
-    joined = keyed.join(small(marked, size), ["_id", "_h"], "left").select("doc_id", "text", "repeated", "gone")
+    # The marks grow with the documents, so they meet them in a shuffle at every size.
+    joined = keyed.join(marked.hint("merge"), ["_id", "_t"], "left").select("doc_id", "text", "repeated", "gone")
     done = joined.mapInArrow(_cut, "doc_id long, text string, repeated array<int>, gone array<int>, n_sentences long")
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     return done.select("doc_id", "text", "n_sentences", count("repeated").alias("n_repeated"), count("gone").alias("n_removed"))

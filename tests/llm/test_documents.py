@@ -265,7 +265,7 @@ def test_unmarked_passages_share_a_run():
         sentence = " ".join(common(17)) + ". "
         pairs.append([f"Before it. {sentence}One end", f"Other words. {sentence}Another here"])
     texts = [text for pair in pairs for text in pair]
-    batch = pa.RecordBatch.from_pydict({"_id": list(range(len(texts))), "_h": [0] * len(texts), "text": texts})
+    batch = pa.RecordBatch.from_pydict({"_id": list(range(len(texts))), "_t": [0] * len(texts), "text": texts})
     spans = [set() for _ in texts]
     for out in substring_dedup._hash(16, 2)([batch]):
         for i, span in zip(out.column("_id").to_pylist(), out.column("span").to_pylist(), strict=True):
