@@ -104,6 +104,54 @@ def is_contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 1, misses: int = 2) -> DataFrame:
+    """(doc_id, item_id, start, n_matched): places where a test window stands with words moved, put in, left out or changed.
+
+    A window of n words matches at ``start`` (a position in the document, from 0) if at least n - m of its words stand within
+    ``slop`` positions of their own: word i somewhere from start + i - slop to start + i + slop.  m is ``misses`` for a
+    whole window and in proportion, rounded down, for the shorter window of a short item.  With slop and
+    misses 0 these are the exact occurrences.  One row a document, item and start, n_matched from the item's best
+    window there.  Items with a null item_id are left out; equal rows of documents give their matches once.
+
+    At most m words are missing, so one of the window's m + 1 rarest stands near its place: the
+    postings of those give the places that are looked at, 2 * slop + 1 starts each, and there the words of
+    the document are compared.  While the rarest terms are few enough to be broadcast, postings stay where they lie.
+    """
+    items, windows = test_windows(benchmark.filter("item_id IS NOT NULL"), window)
+    vocabulary = windows.select(F.explode("words").alias("term")).distinct().withColumn("tid", F.monotonically_increasing_id())
+    vocabulary = written(vocabulary, "vocabulary")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), text_hash().alias("_h"), "text")
+    index = written(postings(keyed, vocabulary), "index").distinct()
+
+    allowed = lambda n: F.floor(F.lit(misses) * n / window).cast("int")
+    counts = index.groupBy("tid").agg(F.count("*").alias("n"))
+    terms = windows.select("wid", F.size("words").alias("length"), F.posexplode("words").alias("offset", "term"))
+    terms = terms.join(vocabulary, "term").join(counts, "tid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("wid").orderBy("n", "offset"))  # at most ``window`` rows each
+    rarest = terms.withColumn("rank", rank).filter((F.col("rank") <= allowed(F.col("length")) + 1) & (F.col("n") > 0))
+    rarest = written(rarest.select("wid", "tid", "offset"), "rarest-terms")
+
+    near = index.join(small(rarest, F.lit(32)), "tid").select("_id", "_h", "wid", (F.col("pos") - F.col("offset")).alias("at"))
+    starts = near.select("_id", "_h", "wid", F.explode(F.sequence(F.col("at") - slop, F.col("at") + slop)).alias("start")).distinct()
+    placed = starts.join(small(windows, F.length(F.array_join("words", " ")) + 64), "wid").groupBy("_id", "_h")
+    placed = placed.agg(F.collect_list(F.struct("wid", "start", "words")).alias("places"))
+    tokens = keyed.join(placed, ["_id", "_h"]).dropDuplicates(["_id", "_h"]).select("doc_id", words_of(F.col("text")).alias("w"), "places")
+
+    def stands(place: Column, word: Column, i: Column) -> Column:
+        first = F.greatest(place["start"] + i - slop, F.lit(0))
+        length = F.greatest(place["start"] + i + slop - first + 1, F.lit(0))
+        return F.array_contains(F.slice("w", first + 1, length), word)
+
+    n_matched = lambda p: F.size(F.filter(F.transform(p["words"], lambda word, i: stands(p, word, i)), lambda x: x))
+    each = F.transform(
+        "places", lambda p: F.struct(p["wid"].alias("wid"), p["start"].alias("start"), F.size(p["words"]).alias("length"), n_matched(p).alias("n_matched"))
+    )
+    found = tokens.select("doc_id", F.inline(each)).filter(F.col("n_matched") >= F.col("length") - allowed(F.col("length")))
+    listed = items.select("wid", "item_id").distinct()
+    named = found.join(small(listed, F.length("item_id") + 48), "wid")
+    return named.groupBy("doc_id", "item_id", "start").agg(F.max("n_matched").alias("n_matched"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per row of ``docs`` (doc_id, text).
 

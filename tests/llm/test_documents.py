@@ -307,6 +307,46 @@ def test_decontamination_on_edges(spark, edge_docs, edge_rows):
 # Toxicity
 
 
+def near_by_force(docs, items, window, slop, misses):
+    out = {}
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    for doc_id, text in docs:
+        w = split(text)
+        for item_id, item in items:
+            words_ = split(item)
+            for a in range(max(len(words_) - window, 0) + 1 if words_ else 0):
+                win = words_[a : a + window]
+                need = len(win) - misses * len(win) // window
+                for start in range(-len(win) - slop, len(w) + slop + 1):
+                    n = sum(x in w[max(start + i - slop, 0) : max(start + i + slop + 1, 0)] for i, x in enumerate(win))
+                    if n >= need and item_id is not None:
+                        out[doc_id, item_id, start] = max(n, out.get((doc_id, item_id, start), 0))
+    return [(*k, n) for k, n in out.items()]
+
+
+@pytest.mark.parametrize("window,slop,misses", [(13, 0, 0), (13, 1, 2), (5, 2, 1), (4, 1, 0)])
+def test_proximity_by_force(spark, window, slop, misses):
+    rng = random.Random(window)
+    draw = lambda n: [rng.choice("abcdefghijklmnopqrstuvwx") + str(rng.randrange(4)) for _ in range(n)]
+    items = [(f"i{k}", " ".join(draw(n))) for k, n in enumerate([30, 20, 13, 9, 4, 1])] + [(None, " ".join(draw(14))), ("null", None)]
+    docs = []
+    for k in range(30):
+        w = draw(20)
+        for _, item in items[:4]:
+            part = item.split()
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(part))
+                part[at : at + rng.randrange(2)] = draw(rng.randrange(2))  # changed, put in or left out
+            w[rng.randrange(20) : 0] = part
+            w += part if rng.random() < 0.5 else []
+        docs.append((k, " ".join(w)))
+    docs += [(90, None), (91, ""), (0, docs[0][1]), (92, items[5][1])]
+    found = decontamination.proximity_matches(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string"), window, slop, misses
+    )
+    assert sorted(tuple(r) for r in found.collect()) == sorted(near_by_force(docs, items, window, slop, misses))
+
+
 def test_segments_against_all_cuts():
     import numpy as np
 
