@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lintlake.functions.text import let_sql
+
 from .decontamination import small
 from .frames import text_hash, written
 
@@ -64,52 +66,42 @@ def targets(sizes: DataFrame, share: float = 1.0) -> DataFrame:
     return filled.select("source", "source_size", "sid", "weight", target.alias("target"))
 
 
-def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """Adds a column that is computed once a row.
+def draw_sql(population: str, marked: str, draws: str, unit: str) -> str:
+    """SQL text: how many of ``draws`` from ``population`` are ``marked``: the inverse distribution at ``unit``.
 
-    A plain column would be copied into the lambdas of the next step and computed for each of
-    their elements; nothing is moved through a generator.
+    Weights run from 12 standard deviations below the mean to 12 above; what lies beyond is
+    less than a double can tell from 0.  One expression, in which every step is named and computed
+    once: as columns of a DataFrame the steps would be copied into each other's lambdas.
     """
-    return rows.select(*rows.columns, F.explode_outer(F.array(value)).alias(name))
+    up, down = "((p.k - x) * (p.m - x))", "((x + 1) * (p.n - p.k - p.m + x + 1))"
+    onward = f"IF({up} > 0 AND {down} > 0, s.log + ln({up} / {down}), double('-infinity'))"  # the weight of x + 1 from that of x, as logarithms
+    weight = "exp(s.log - top)"
+    top = (
+        "aggregate(steps, named_struct('log', 0D, 'out', double('-infinity')), "
+        f"(s, x) -> named_struct('log', {onward}, 'out', greatest(s.out, s.log)), s -> s.out)"
+    )
+    goal = (
+        "aggregate(steps, named_struct('log', 0D, 'out', 0D), "
+        f"(s, x) -> named_struct('log', {onward}, 'out', s.out + {weight}), s -> s.out) * u"
+    )
+    found = (
+        "aggregate(steps, named_struct('log', 0D, 'out', 0D, 'at', steps[0]), "
+        f"(s, x) -> named_struct('log', {onward}, 'out', s.out + {weight}, 'at', IF(s.out <= goal, x, s.at)), s -> s.at)"
+    )
+    mean = "IF(p.n > 0, p.m * p.k / p.n, 0D)"
+    spread = "sqrt(greatest(mean * IF(p.n > 1, (1 - p.k / p.n) * (p.n - p.m) / (p.n - 1), 0D), 0D))"
+    low = "bigint(greatest(0D, p.m - (p.n - p.k), double(floor(mean - 12 * spread - 12))))"
+    high = "bigint(least(p.k, p.m, double(ceil(mean + 12 * spread + 12))))"
+    given = f"named_struct('n', double({population}), 'k', double({marked}), 'm', double({draws}))"
+    out = found
+    for name, value in [("goal", goal), ("top", top), ("steps", f"sequence({low}, greatest({low}, {high}))"), ("spread", spread), ("mean", mean), ("u", unit), ("p", given)]:
+        out = let_sql(value, name, out)
+    return out
 
 
 def hypergeometric(rows: DataFrame, out: str) -> DataFrame:
-    """Adds how many of ``draws`` from ``population`` are ``marked``: the inverse distribution at ``unit``.
-
-    Weights run from 12 standard deviations below the mean to 12 above; what lies beyond is
-    less than a double can tell from 0.
-    """
-    columns = rows.columns
-    rows = _once(rows, "_n", F.struct(*[F.col(c).cast("double").alias(c) for c in ("population", "marked", "draws")]))
-    n, k, m = (F.col(f"_n.{c}") for c in ("population", "marked", "draws"))
-    mean = F.when(n > 0, m * k / n).otherwise(0.0)
-    spread = F.sqrt(F.greatest(mean * F.when(n > 1, (1 - k / n) * (n - m) / (n - 1)).otherwise(0.0), F.lit(0.0)))
-    low = F.greatest(F.lit(0.0), m - (n - k), F.floor(mean - 12 * spread - 12).cast("double")).cast("long")
-    high = F.least(k, m, F.ceil(mean + 12 * spread + 12).cast("double")).cast("long")
-
-    def onward(log: Column, x: Column) -> Column:
-        """Logarithm of the weight of x + 1 from that of x."""
-        x = x.cast("double")
-        up, down = (k - x) * (m - x), (x + 1) * (n - k - m + x + 1)
-        return F.when((up > 0) & (down > 0), log + F.log(up / down)).otherwise(F.lit(float("-inf")))
-
-    none = F.lit(float("-inf"))
-    start = lambda out: F.struct(F.lit(0.0).alias("log"), out.alias("out"))
-    rows = _once(rows, "_low", F.struct(low.alias("low"), high.alias("high")))
-    low, high = F.col("_low.low"), F.col("_low.high")
-    rows = _once(rows, "_steps", F.sequence(low, F.greatest(low, high)))
-    top = F.aggregate("_steps", start(none), lambda s, x: F.struct(onward(s["log"], x).alias("log"), F.greatest(s["out"], s["log"]).alias("out")))
-    rows = _once(rows, "_top", top["out"])
-    weight = lambda s: F.exp(s["log"] - F.col("_top"))
-    whole = F.aggregate("_steps", start(F.lit(0.0)), lambda s, x: F.struct(onward(s["log"], x).alias("log"), (s["out"] + weight(s)).alias("out")))
-    rows = _once(rows, "_goal", whole["out"] * F.col("unit"))
-    first = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("out"), low.alias("at"))
-    step = lambda s, x: F.struct(
-        onward(s["log"], x).alias("log"),
-        (s["out"] + weight(s)).alias("out"),
-        F.when(s["out"] <= F.col("_goal"), x).otherwise(s["at"]).alias("at"),
-    )
-    return _once(rows, out, F.aggregate("_steps", first, step)["at"]).select(*columns, out)
+    """Adds a draw from (population, marked, draws, unit); see :func:`draw_sql`."""
+    return rows.withColumn(out, F.expr(draw_sql("population", "marked", "draws", "unit")))
 
 
 def shard_quotas(quotas: DataFrame, depth: int) -> DataFrame:
@@ -125,25 +117,18 @@ def shard_quotas(quotas: DataFrame, depth: int) -> DataFrame:
     n_sources = nodes.select(F.size("q")).first()[0]
     if not n_sources:
         return quotas.select(F.lit(0).cast("long").alias("shard"), "sid", F.col("quota").cast("long").alias("quota"))
+    sums = "aggregate(q, array(0L), (s, x) -> array_append(s, element_at(s, -1) + x.quota))"
     for level in range(depth):
-        upto = F.transform(F.concat(F.array(F.lit(0).cast("int")), F.sequence(F.lit(1), F.size("q"))), lambda i: F.aggregate(F.slice("q", 1, i), F.lit(0).cast("long"), lambda s, x: s + x["quota"]))
-        groups = _once(nodes, "upto", upto).withColumn("draws", F.floor(F.element_at("upto", -1) / 2).cast("long"))
-        groups = groups.withColumns({"lo": F.lit(0), "hi": F.size("q")})
+        whole = F.expr(let_sql(sums, "s", "named_struct('upto', s, 'lo', 0, 'hi', size(q), 'draws', element_at(s, -1) div 2)"))
+        groups = nodes.select("node", "q", whole.alias("g")).select("node", "q", "g.*")
+        # A source's share of the draws, half of the list by half.
+        unit = f"pmod(xxhash64({SEED}, {level}, node, lo, hi), {1 << 53}L) / {float(1 << 53)!r}D"
+        x = draw_sql("upto[hi] - upto[lo]", "upto[mid] - upto[lo]", "draws", unit)
+        part = "named_struct('lo', {}, 'hi', {}, 'draws', {})"
+        two = let_sql(x, "x", f"array({part.format('lo', 'mid', 'x')}, {part.format('mid', 'hi', 'draws - x')})")
+        halves = F.expr(f"IF(hi - lo > 1, {let_sql('int((lo + hi) div 2)', 'mid', two)}, array({part.format('lo', 'hi', 'draws')}))")
         for _ in range(max(n_sources - 1, 0).bit_length()):
-            mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-            at = lambda i: F.element_at("upto", i + 1)
-            groups = groups.withColumn("mid", mid).withColumns(
-                {
-                    "population": at(F.col("hi")) - at(F.col("lo")),
-                    "marked": at(F.col("mid")) - at(F.col("lo")),
-                    "unit": _unit(F.lit(level), F.col("node"), F.col("lo"), F.col("hi")),
-                }
-            )
-            groups = hypergeometric(groups, "x")
-            part = lambda lo, hi, x: F.struct(lo.alias("lo"), hi.alias("hi"), x.alias("draws"))
-            lo, mid, hi, draws, x = (F.col(c) for c in ("lo", "mid", "hi", "draws", "x"))
-            halves = F.when(hi - lo > 1, F.array(part(lo, mid, x), part(mid, hi, draws - x))).otherwise(F.array(part(lo, hi, draws)))
-            groups = groups.select("node", "q", "upto", F.explode(halves).alias("g")).select("node", "q", "upto", "g.*")
+            groups = groups.select("node", "q", "upto", F.inline(halves))
         left = groups.select("node", F.element_at("q", F.col("hi")).alias("x"), "draws")
         both = F.array(
             F.struct((2 * F.col("node")).alias("node"), F.col("draws").alias("quota")),
