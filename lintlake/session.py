@@ -28,9 +28,13 @@ def build_session(master: str | None = None, app_name: str = "lintlake", **conf:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    Where none is named, a folder below the warehouse, which is shared as well.
+    Where none is named, a folder below the warehouse.  That one is shared on a single machine, and on a cluster
+    only if it does not lie on the machine's own disk; else a folder has to be named.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lintlake"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_lintlake"

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from lintlake.operators import corpus, reports
 from lintlake.plans.scan import scan_all, scan_decisions
 from lintlake.sources import config, decisions, events, linters
@@ -191,3 +193,19 @@ def test_decision_documents_round_trip(spark, tmp_path):
     write_decisions(spark.createDataFrame(rows, "path string, decision string, reason string"), place)
     back = spark.read.schema("path string, decision string, reason string").json(place)
     assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_shared_folder_is_never_a_machine_of_a_cluster():
+    class Session:
+        def __init__(self, master, **conf):
+            self.sparkContext = type("Context", (), {"master": master})
+            self.conf = conf
+
+    from lintlake.session import shared_folder
+
+    key, warehouse = "spark.checkpoint.dir", "spark.sql.warehouse.dir"
+    assert shared_folder(Session("yarn", **{key: "hdfs://x/c/", warehouse: "file:/w"})) == "hdfs://x/c"
+    assert shared_folder(Session("local[2]", **{warehouse: "file:/w"})) == "file:/w/_lintlake"
+    assert shared_folder(Session("yarn", **{warehouse: "s3a://b/w/"})) == "s3a://b/w/_lintlake"
+    with pytest.raises(ValueError):
+        shared_folder(Session("spark://h:7077", **{warehouse: "file:/w"}))
