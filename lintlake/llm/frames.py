@@ -45,17 +45,18 @@ def scope(spark) -> Iterator[None]:
         yield
     finally:
         _delete(spark, _scopes.pop())
+        release(spark, at_once=True)
 
 
-def release(spark) -> None:
-    """Lets the driver forget plans, broadcasts and shuffles that nothing refers to, once they fill half of its heap.
+def release(spark, at_once: bool = False) -> None:
+    """Lets the driver forget plans, broadcasts and shuffles that nothing refers to, at once or when they fill half of its heap.
 
     Spark frees broadcasts and shuffle files on all machines when the driver collects its
     references to them, which a driver that only plans may otherwise put off for long.
     """
     jvm = spark.sparkContext._jvm
     runtime = jvm.java.lang.Runtime.getRuntime()
-    if 2 * (runtime.totalMemory() - runtime.freeMemory()) > runtime.maxMemory():
+    if at_once or 2 * (runtime.totalMemory() - runtime.freeMemory()) > runtime.maxMemory():
         jvm.java.lang.System.gc()
 
 
