@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +12,28 @@ from lintlake.llm import decontamination, language_id, line_dedup, mixing, near_
 from lintlake.llm.frames import fresh_path, scope, written
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def tidy(stage: Stage) -> Stage:
+    """Writes what the stage returns and drops the tables and shuffles it needed for that, before the next one begins."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        path = fresh_path(spark, stage.__name__)
+        with scope(spark):
+            return written(stage(spark, docs, sf_dir), stage.__name__, path)
+
+    return run_stage
+
+
+@tidy
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; those without a letter go."""
     return language_id.keep_identified(docs)
 
 
+@tidy
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated runs of lines; a document of which nothing is left goes, n_chars follows the text."""
     found = line_dedup.dedup_lines(docs)
@@ -22,16 +42,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
+@tidy
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return near_dedup.keep_one(docs)
 
 
+@tidy
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark passages."""
     return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, with how many of their words it takes and in which shards."""
     return mixing.mix_rows(docs)
@@ -53,8 +76,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = fresh_path(spark, name)
-        with scope(spark):  # a stage's own tables go when its result is written
-            docs = written(stage(spark, docs, sf_dir), name, path)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
     return docs
