@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from lintlake.functions import paths as P
 from lintlake.functions.findings import REPORTS, explode_findings, explode_items, finding, order_key
 from lintlake.functions.text import py_strip
-from lintlake.operators.corpus import language_of
 from lintlake.operators.projects import nearest_config
 
 RUFF = (

@@ -9,13 +9,12 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.functions import paths as P
 from lintlake.operators import convergence, history, projects, reports
 from lintlake.session import shared_folder
 from lintlake.sources import config, events, history_store, linters
 from lintlake.streaming import streams
 from workloads import fixtures as fx
-from workloads.corpus_queries import ALL_FOUND, FILES, FOUND, WHOLE, decisions_sql, whole
+from workloads.corpus_queries import ALL_FOUND, FILES, WHOLE, whole
 from workloads.registry import AS_OF, query
 
 H = f"WITH h AS ({fx.HISTORY_SQL})"

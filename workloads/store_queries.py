@@ -7,11 +7,12 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.operators import corpus, daily, history, text_index
-from lintlake.sources import changes, history_manifest, linters, report_folder
+from lintlake.operators import daily, history, text_index
+from lintlake.sources import changes, history_manifest, report_folder
+from lintlake.sources.history_store import read_history
 from workloads import fixtures as fx
-from workloads.corpus_queries import ALL_FOUND, FILES, FOUND, WHOLE, whole
-from workloads.history_queries import _ISSUES, _WORST, COLUMNS, H, KEY, RECENT, _drain, _history, _work_folder  # noqa: F401
+from workloads.corpus_queries import ALL_FOUND, FILES, WHOLE, whole
+from workloads.history_queries import COLUMNS, H, KEY, _drain, _history, _work_folder
 from workloads.registry import AS_OF, query
 
 # History by manifest
@@ -75,8 +76,6 @@ _CURRENT = (
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of seven days from noon on: the first day from the history, the others from the counts."""
-    from lintlake.sources.history_store import read_history
-
     stored, counts = _recorded(spark, sf_dir)
     as_of = AS_OF + timedelta(hours=12)
     start = as_of - timedelta(days=7)
