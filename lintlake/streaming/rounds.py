@@ -67,7 +67,8 @@ def _follow(idle_ms: int):
             kept = "" if closed else ",".join(f"{r}:{n}" for r, n in sorted(rounds.items()))
             state.update((kept, closed, touched, most))
             state.setTimeoutTimestamp(max(touched + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(results, columns=["project_hash", "path", "stop_round", "errors_left", "outcome"])
+        if results:
+            yield pd.DataFrame(results, columns=["project_hash", "path", "stop_round", "errors_left", "outcome"])
 
     return run
 
