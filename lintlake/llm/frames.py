@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -13,13 +11,12 @@ from pyspark.sql import types as T
 
 from lintlake.session import shared_folder
 
-
-_scopes: list[str] = []
+_steps: list[str] = []  # the folder of the step that was begun last
 
 
 def fresh_path(spark, name: str) -> str:
     """A new folder for one table, below the run's folder; all executors share it."""
-    return f"{_scopes[-1] if _scopes else run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_steps[-1] if _steps else run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_folder(spark) -> str:
@@ -37,15 +34,24 @@ def clear(spark) -> None:
     _delete(spark, run_folder(spark))
 
 
-@contextmanager
-def scope(spark) -> Iterator[None]:
-    """Intermediate tables written inside are deleted at the end; write what is to stay to a path taken before."""
-    _scopes.append(f"{run_folder(spark)}/scope-{uuid.uuid4().hex}")
-    try:
-        yield
-    finally:
-        _delete(spark, _scopes.pop())
-        release(spark, at_once=True)
+def begin(spark, docs: DataFrame) -> None:
+    """Starts a step of its own over ``docs``: drops the tables and shuffles of the step before, and keeps new ones together.
+
+    Steps write their results before the next one begins.  Where ``docs`` still reads tables of the step before, those stay.
+    """
+    folder = f"{run_folder(spark)}/step-{uuid.uuid4().hex}"
+    if _steps:
+        before = _steps.pop()
+        if not any(f"/{before.rsplit('/', 1)[1]}/" in file for file in docs.inputFiles()):
+            _delete(spark, before)
+            release(spark, at_once=True)
+    _steps.append(folder)
+
+
+def end(spark) -> None:
+    """Ends the step that was begun last, whose result is written, and drops its tables."""
+    if _steps:
+        _delete(spark, _steps.pop())
 
 
 def release(spark, at_once: bool = False) -> None:
