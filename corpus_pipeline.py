@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -9,20 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm import decontamination, language_id, line_dedup, mixing, near_dedup
-from lintlake.llm.frames import fresh_path, scope, written
-
+from lintlake.llm.frames import begin, end, run_folder, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def tidy(stage: Stage) -> Stage:
-    """Writes what the stage returns and drops the tables and shuffles it needed for that, before the next one begins."""
+    """Before the stage begins, drops the tables and shuffles that the stage before it needed; its result is written by then."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        path = fresh_path(spark, stage.__name__)
-        with scope(spark):
-            return written(stage(spark, docs, sf_dir), stage.__name__, path)
+        begin(spark, docs)
+        return stage(spark, docs, sf_dir)
 
     return run_stage
 
@@ -76,6 +75,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    place = f"{run_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name, f"{place}/{name}")
+    end(spark)
     return docs
