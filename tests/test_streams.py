@@ -6,6 +6,7 @@ from lintlake.operators.history import to_history
 from lintlake.plans.scan import scan_all
 from lintlake.sources import history_store
 from lintlake.streaming import streams
+from workloads import history_queries
 
 SCHEMA = "path string, text string, project_hash string, ts timestamp"
 
@@ -40,3 +41,15 @@ def test_stream_scan_is_stateless(spark, tmp_path):
     got = spark.read.schema(found.schema).parquet(str(tmp_path / "out"))
     kinds = {r.violation_type for r in got.collect()}
     assert {"banned_crate_usage", "enum_opportunity", "missing_docstring"} <= kinds
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    (part,) = (tmp_path / "parts").glob("*.parquet")
+    (tmp_path / "file").mkdir()
+    part.rename(tmp_path / "file" / "documents.parquet")
+    for form in ("folder", "file"):
+        found = history_queries._drain(history_queries._document_stream(spark, f"{tmp_path}/{form}"), f"{tmp_path}/{form}-work")
+        assert sorted(r.doc_id for r in found.collect()) == list(range(20)), form

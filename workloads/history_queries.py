@@ -592,15 +592,20 @@ def _(spark, sf_dir):
 # L: streams
 
 
+def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stream over a table, be it one file or a folder of them.
+
+    A pattern may match either; a plain path has to be a folder for a stream, and a filter on names leaves out a folder's files.
+    """
+    return spark.readStream.schema(fx.table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}[.]parquet")
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _table_stream(spark, sf_dir, "events")
 
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = fx.table(spark, sf_dir, "documents")
-    stream = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    return fx.spread(stream, like=documents)
+    return fx.spread(_table_stream(spark, sf_dir, "documents"), like=fx.table(spark, sf_dir, "documents"))
 
 
 def _drain(stream: DataFrame, place: str) -> DataFrame:
