@@ -188,6 +188,35 @@ def test_convergence_on_a_stream_with_late_rounds_and_a_restart(spark, tmp_path)
     ]  # the timer of /end has not run out
 
 
+def test_many_files_share_a_state_and_keep_their_own_timers(spark, tmp_path, monkeypatch):
+    schema = "project_hash string, path string, round int, n_errors long, ts timestamp"
+    rows = [(f"p{i % 3}" if i % 7 else None, f"/f{i}", 1, i % 2, f"2024-01-01 00:{i // 6:02}:00") for i in range(300)]
+    rows += [("p", "/again", 1, 2, "2024-01-01 00:50:00"), ("p", "/again", 2, 1, "2024-01-01 01:10:00"), ("p", "/end", 1, 1, "2024-01-01 01:15:00")]
+    cut, calls = schema.replace("timestamp", "string"), spark.sparkContext.accumulator(0)
+    follow = rounds._follow
+
+    def counted(idle_ms):
+        run = follow(idle_ms)
+
+        def one(key, frames, state):
+            calls.add(1)
+            yield from run(key, frames, state)
+
+        return one
+
+    monkeypatch.setattr(rounds, "_follow", counted)
+    for part in (rows[:150], rows[150:]):
+        spark.createDataFrame(part, cut).withColumn("ts", F.col("ts").cast("timestamp")).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        found = rounds.stream_convergence(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), buckets=4)
+        writer = found.writeStream.option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(rounds.RESULT).parquet(f"{tmp_path}/out").collect()
+    # The watermark ends at 01:05: what came by 00:34 is closed by its timer.
+    late = [(r[0], r[1], 1, 1, "open") for r in rows[:300] if r[3] and int(r[4][14:16]) < 35]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, [(r[0], r[1], 1, 0, "clean") for r in rows[:300] if not r[3]] + late))
+    assert calls.value <= 16  # 4 buckets, twice with rows and twice with timers
+
+
 def test_event_chain_scans_the_last_round_once(spark, tmp_path):
     def event(i, tool, path, *texts, **more):
         return (i, json.dumps({"tool_name": tool, "tool_input": {"file_path": path, "rounds": list(texts), **more}, "ts": f"2024-01-0{i + 1}T00:00:00"}))

@@ -116,17 +116,15 @@ _RUNS = (
     "WHERE outcome <> 'open' OR last_ts + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM r)",
 )
 def _(spark, sf_dir):
-    """Four batches in the order of time, their rows mixed up and all of them twice, with a restart after the second."""
+    """Four batches in the order of time, their rows mixed up and all of them twice, with a restart after each."""
     place = _work_folder(spark, "rounds")
     rows = _edited_rounds(fx.table(spark, sf_dir, "events"))
     for first, last in ((1, 8), (9, 15), (16, 22), (23, 31)):
         part = rows.filter(F.dayofmonth("ts").between(first, last))
-        part.unionByName(part).orderBy(F.xxhash64("project_hash", "path", "round")).coalesce(1).write.mode("append").parquet(f"{place}/in")
-        if last in (15, 31):
-            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
-            found = rounds.stream_convergence(stream)
-            writer = found.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state")
-            writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        part.unionByName(part).orderBy(F.xxhash64("project_hash", "path", "round")).write.mode("append").parquet(f"{place}/in")
+        found = rounds.stream_convergence(spark.readStream.schema(rows.schema).parquet(f"{place}/in"))
+        writer = found.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rounds.RESULT).parquet(f"{place}/out")
 
 
