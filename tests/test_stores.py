@@ -199,6 +199,19 @@ def test_index_finds_what_grep_finds(spark, files, tmp_path):
     same(text_index.grep_indexed(again, "return"), corpus.grep(table, "return"))
 
 
+def test_postings_are_kept_in_lists_and_stretches_lose_none(spark, files, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    words = ["import", "os.path", "ünïcode", "", "日本語の", "ab", "x" * 50]
+    table = files(*[(f"/f{i}.py", "\n".join(" ".join(rng.choices(words, k=3)) for _ in range(30))) for i in range(40)])
+    whole = text_index.write_line_index(table, f"{tmp_path}/whole", blocks=4)
+    assert whole.postings.count() <= whole.lengths.count() * max(1, whole.lines.rdd.getNumPartitions())
+    monkeypatch.setattr(text_index, "STRETCH", 100)
+    cut = text_index.write_line_index(table, f"{tmp_path}/cut", blocks=4)
+    same(cut.lengths, whole.lengths)
+    for regex in ["import os", "ünïc.*本語", "x{40}", "nowhere"]:
+        same(text_index.grep_indexed(cut, regex), corpus.grep(table, regex))
+
+
 # Report folders
 
 
