@@ -188,6 +188,16 @@ def test_convergence_on_a_stream_with_late_rounds_and_a_restart(spark, tmp_path)
     ]  # the timer of /end has not run out
 
 
+def test_reports_about_other_files_go_before_the_shuffle(spark, files):
+    table = files(*[(f"/w/f{i}.rs", "use time;\n") for i in range(2000)], ("/w/a.txt", "x"), ("/w/B.RS", "x"))
+    reports = spark.range(20000).selectExpr("concat('/w/f', id, '.rs') AS path", "if(id % 10 = 3, 'python', 'rust') AS language", "id")
+    odd = [("/w/a.txt", "rust", -1), ("/w/B.RS", "rust", -2), (None, "rust", -3), ("/w/f1.rs", None, -4)]
+    reports = reports.union(spark.createDataFrame(odd, "path string, language string, id long"))
+    left = {r.id for r in reviews._about_files(reports, table, None).collect()}
+    assert {i for i in range(2000) if i % 10 != 3} <= left
+    assert len(left) < 1900
+
+
 def test_many_files_share_a_state_and_keep_their_own_timers(spark, tmp_path, monkeypatch):
     schema = "project_hash string, path string, round int, n_errors long, ts timestamp"
     rows = [(f"p{i % 3}" if i % 7 else None, f"/f{i}", 1, i % 2, f"2024-01-01 00:{i // 6:02}:00") for i in range(300)]
