@@ -146,7 +146,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     longest = runs.agg(F.max("length")).first()[0] or 0
     width, found = 1, None
     while width <= longest:
-        here = _repeated(runs.filter((F.col("length") >= width) & (F.col("length") < 2 * width)), ranks, width)
+        # Written at once: the driver plans one width at a time, however many there are.
+        here = written(_repeated(runs.filter((F.col("length") >= width) & (F.col("length") < 2 * width)), ranks, width), "repeated")
         found = here if found is None else found.unionByName(here)
         if ranks.isEmpty():
             break

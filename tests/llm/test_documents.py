@@ -219,6 +219,17 @@ def test_line_dedup_on_edges(edge_docs, edge_rows, min_words):
     assert all(r.row == 7 and r.size == "clash" for r in found)
 
 
+def test_line_runs_of_all_lengths_in_small_plans(spark, plan):
+    """Runs of 1, 2 to 3 and 4 to 6 lines are found by a join of their own each, which is done before the result is planned."""
+    one, two, six = "a b c d e f", "g h i\nj k l", "m\nn\no\np\nq\nr"
+    texts = [f"{one}\nx1\n{two}\nx2\n{six}", f"y1\n{six}\ny2\n{one}\ny3\n{two}\nm\nn", f"z\n{two}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    decided = line_dedup.repeated_runs(docs.select(F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("_h"), "text"))
+    assert {r._id: r.gone for r in decided.collect()} == {0: [], 1: [1, 2, 3, 4, 5, 6, 8, 10, 11], 2: [1, 2]}
+    # Documents meet what is gone of them; the rounds have no join in here.
+    assert sum("Join" in line and line.startswith("(") for line in plan(decided.select("*")).splitlines()) == 1
+
+
 def test_passages_on_edges(edge_docs, edge_rows):
     found = {(r.doc_id, r.n_sentences): r for r in substring_dedup.dedup_passages(edge_docs).collect()}
     by_id = {k[0]: v for k, v in found.items()}
