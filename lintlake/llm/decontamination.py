@@ -85,7 +85,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     vocabulary = windows.select(F.explode("words").alias("term")).distinct().withColumn("tid", F.monotonically_increasing_id())
     vocabulary = written(vocabulary, "vocabulary")
     index = written(postings(docs, vocabulary), "index")
-    places = candidates(index, windows, vocabulary).join(small(windows, F.length(F.array_join("words", " ")) + 64), "wid")
+    # Written, so that no plan has the lists' joins and those of the texts.
+    places = written(candidates(index, windows, vocabulary), "candidates").join(small(windows, F.length(F.array_join("words", " ")) + 64), "wid")
     places = places.groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "words", "wid")).alias("places"))
     tokens = F.when(F.col("places").isNotNull(), words_of(F.col("text")))
     joined = docs.join(places, ["_id", "_h"], "left").withColumn("w", tokens)

@@ -178,6 +178,7 @@ def assign(rows: DataFrame, slim: DataFrame, share: float = 1.0, depth: int = DE
     docs = at_cut.drop("want").join(small(last, F.lit(40)), ["sid", "block", "cell"])
     docs = docs.groupBy("sid", "_id", "_h", "want").agg(F.sum("size").alias("words"), F.count("*").alias("copies"))
     docs = _edge(docs, ["sid"], "want", _unit(F.col("_id"), F.col("_h"))).select("_id", "_h", F.floor(F.col("taken") / F.col("copies")).alias("doc_taken"))
+    docs = written(docs, "cut-cell")
 
     # One entry for each copy of a block; the permuted list of a source is dealt out to the shards.
     copies = blocks.select("sid", "block", F.explode(F.sequence(F.lit(1), F.col("passes") + 1)).alias("pass"), "passes", "taken")

@@ -373,8 +373,9 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
     found = written(groups(keyed.select("doc_id", "text"), width, threshold).filter("component IS NOT NULL"), "groups")
     of_group = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "_id", "_h")).alias("k"))
     gone = found.join(of_group, "component").filter((F.col("_id") != F.col("k._id")) | (F.col("_h") != F.col("k._h")))
-    gone = gone.select("_id", "_h").distinct()
+    gone = written(gone.select("_id", "_h").distinct(), "gone")
     twice = found.groupBy("_id", "_h").agg(F.count("*").alias("n")).filter("n > 1").select("_id", "_h", F.lit(True).alias("twice"))
+    twice = written(twice, "twice")
     kept = keyed.join(small(gone, F.lit(16)), ["_id", "_h"], "left_anti").join(small(twice, F.lit(24)), ["_id", "_h"], "left")
     once = kept.filter("twice IS NULL").select("row.*")
     return once.unionByName(kept.filter("twice").dropDuplicates(["_id", "_h"]).select("row.*"))

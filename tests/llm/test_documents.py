@@ -7,12 +7,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lintlake.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, substring_dedup, toxicity
+from lintlake.llm import decontamination, frames, language_id, line_dedup, lm_scoring, mixing, near_dedup, substring_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -461,3 +462,47 @@ def test_empty_tables(spark, no_docs, edge_docs):
     assert decontamination.decontaminate(no_docs, nothing).count() == 0
     assert toxicity.score(no_docs, toxicity.fit(toxicity.labelled(no_docs, labels))).count() == 0
     assert lm_scoring.score(no_docs, no_docs).count() == 0
+
+
+def joins(text):
+    return sum("Join" in line and line.startswith("(") for line in text.splitlines())
+
+
+def test_stages_end_in_small_plans(spark, plan):
+    """What a stage finds is written before its documents meet it: joins and groups that find it are in no plan with the texts."""
+    passage = "the quick brown fox jumps over the lazy dog"
+    rows = [(i, f"{passage} and then {i}" if i else None, "ab"[i % 2]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    # Places meet their windows, and documents their places.
+    assert joins(plan(decontamination.keep_clean(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")))) == 2
+    # Documents meet their source, block, cell and, in the cut cell, themselves.
+    assert joins(plan(mixing.mix_rows(docs))) == 4
+    # Each of the two halves of what is kept meets what is gone and what comes twice.
+    assert joins(plan(near_dedup.keep_one(docs))) == 4
+
+
+@pytest.mark.parametrize("used, at_once, collected", [(24, False, 0), (26, False, 1), (26, True, 1), (1, True, 1)])
+def test_the_driver_collects_at_a_quarter_of_its_heap(used, at_once, collected):
+    class Jvm:
+        def __init__(self):
+            self.java = self.lang = self.Runtime = self.System = self
+            self.collected = 0
+
+        def getRuntime(self):
+            return self
+
+        def totalMemory(self):
+            return 50
+
+        def freeMemory(self):
+            return 50 - used
+
+        def maxMemory(self):
+            return 100
+
+        def gc(self):
+            self.collected += 1
+
+    jvm = Jvm()
+    frames.release(SimpleNamespace(sparkContext=SimpleNamespace(_jvm=jvm)), at_once=at_once)
+    assert jvm.collected == collected
