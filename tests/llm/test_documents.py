@@ -447,6 +447,40 @@ def test_lm_without_training(edge_docs, no_docs):
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in found)
 
 
+@pytest.mark.parametrize("nodes, merge", [(0, 50), (40, 1 << 20)])
+def test_lm_keeps_rare_contexts(spark, monkeypatch, nodes, merge):
+    """Scores are those of the whole trie, however few entries are looked up in tasks."""
+    monkeypatch.setattr(lm_scoring, "NODES", nodes)
+    monkeypatch.setattr(lm_scoring, "MERGE", merge)
+    texts = ["seldom banana", "banal bandana " * 9, "", None, "a\xe9\u20acb", "BANANA split", "bananas", "zzz\x00q"]
+    rows = [(i % 7, t) for i, t in enumerate(texts)]
+    learned = [(t or "").translate(LOW).encode() for i, t in rows if i < 4]
+    counts = defaultdict(Counter)
+    for t in learned:
+        p = b"\xff" * lm_scoring.ORDER + t + b"\xff"
+        for j in range(lm_scoring.ORDER, len(p)):
+            for k in range(lm_scoring.ORDER + 1):
+                counts[p[j - k : j]][p[j]] += 1
+
+    def log10(p, j):
+        seen, out = set(), 0.0
+        for k in range(lm_scoring.ORDER, -1, -1):
+            found = {s: c for s, c in counts.get(p[j - k : j], {}).items() if s not in seen}
+            if p[j] in found:
+                return out + math.log10((2 * found[p[j]] - 1) / (2 * sum(found.values())))
+            out += math.log10(len(found) / (2 * sum(found.values()))) if found else 0.0
+            seen |= set(found)
+        return out - math.log10(256 - len(seen))
+
+    expected = []
+    for i, t in rows:
+        p = b"\xff" * lm_scoring.ORDER + (t or "").translate(LOW).encode() + b"\xff"
+        expected.append((i, sum(log10(p, j) for j in range(lm_scoring.ORDER, len(p)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.score) for r in lm_scoring.score(docs, docs.filter("doc_id < 4")).collect())
+    assert found == [(i, pytest.approx(s, rel=1e-9)) for i, s in sorted(expected)]
+
+
 # Empty tables
 
 
