@@ -1,13 +1,21 @@
 """Sources and reports: trees, gates, events, linters, logs, configuration, decisions."""
 
+import hashlib
 import json
+from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 
 from lintlake.operators import corpus, reports
 from lintlake.plans.scan import scan_all, scan_decisions
 from lintlake.sources import config, decisions, events, linters
 from lintlake.sources.tree import files_table, scan_tree
+from workloads import corpus_queries, fixtures
+from workloads.fixtures import write_tree
+from workloads.registry import QUERIES
 
 
 def test_tree_and_gates(spark, tmp_path):
@@ -45,6 +53,46 @@ def test_tree_reads_no_bytes_unless_asked(spark, tmp_path, plan):
     assert "PushedFilters: [IsNotNull(length), GreaterThan(length,100)]" in text and "content" not in text.split("ReadSchema")[1]
 
 
+def test_tree_query_makes_few_folders(spark, tmp_path, monkeypatch):
+    """Files lie many to a folder and go many to a task; rows with one name stay files of their own, and without text they are a line break."""
+    n = 300
+    rows = [(i, f"text {i}") for i in range(n)] + [(1, "text 1"), (1, "other"), (2, None), (None, "nameless")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_queries, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(corpus_queries, "FILES_IN_TASK", 20)
+    found = QUERIES["scan_tree"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= max(len(rows) // 20, spark.sparkContext.defaultParallelism)
+    got = Counter((r.file_name, r.digest, r.language) for r in found.collect())
+    expected = Counter()
+    for i, text in rows[:-1]:
+        content = {0: f"a\0{text}", 2: " \n\t\n"}.get(i % 7, text or "") + "\n"
+        expected["f%d.%s" % (i, "py" if i % 3 else "go"), hashlib.sha256(content.encode()).hexdigest(), "python" if i % 3 else "go"] += 1
+    assert got == expected
+    assert sum(p.is_dir() for p in (tmp_path / "shared").rglob("*")) < n / 4
+
+
+def test_tree_is_written_alike_in_other_stores(spark, tmp_path):
+    files = spark.createDataFrame([("a.py", "x\ny"), ("b.go", None), ("c.py", "\xe9"), (None, "z")], "name string, text string")
+    (tmp_path / "store").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tree.link./in", f"file://{tmp_path}/store")
+    for root in (f"{tmp_path}/disk", "viewfs://tree/in/files"):
+        assert write_tree(files, root) == 4
+        found = scan_tree(spark, root, corpus_queries.TREE_FILES).withColumn("path", corpus_queries.tree_name("path"))
+        got = sorted((r.path, bytes(r.content)) for r in found.collect() if not r.path.startswith("__"))
+        assert got == [("a.py", b"x\ny\n"), ("b.go", b"\n"), ("c.py", "\xe9\n".encode())]
+
+
+@pytest.mark.parametrize("in_folder", [1, 2, 100])
+def test_repeated_task_writes_its_files_once(spark, tmp_path, monkeypatch, in_folder):
+    """Two attempts of a task leave the files of one; names that come again get another folder."""
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda _: SimpleNamespace(partitionId=lambda: 3)))
+    batch = pa.RecordBatch.from_pydict({"name": ["a.py", "b.py", "a.py"], "content": [b"1", b"2", b"3"]})
+    for _ in range(2):
+        assert [b.column("n").to_pylist() for b in fixtures._write_folders(str(tmp_path), in_folder)(iter([batch]))] == [[3]]
+    seen = [p for p in tmp_path.rglob("*.py") if not p.relative_to(tmp_path).parts[0].startswith("_")]
+    assert sorted((p.name, p.read_bytes()) for p in seen) == [("a.py", b"1"), ("a.py", b"3"), ("b.py", b"2")]
+
+
 def test_files_table(spark, tmp_path):
     spark.createDataFrame([("/a.rs", "use rand;", 1)], "name string, body string, other int").write.parquet(str(tmp_path / "t"))
     found = scan_all(files_table(spark, str(tmp_path / "t"), "name", "body")).collect()

@@ -20,6 +20,7 @@ from lintlake.sources.tree import scan_tree
 from workloads import fixtures as fx
 from workloads.registry import query
 
+FILES_IN_TASK = 2000  # small files that one task reads
 PLACE = ["path", "line_num", "violation_type", "severity"]
 
 BR = r"(\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])"
@@ -210,6 +211,14 @@ _TREE = (
 )
 
 
+TREE_FILES = "*{.py,.go,.txt}"
+
+
+def tree_name(path):
+    """The name under which ``write_tree`` wrote a file."""
+    return F.regexp_extract(path, r"([^/=]+)(?:/part-[^/]*\.txt)?$", 1)
+
+
 @query(
     "scan_tree",
     _TREE + "SELECT 'f' || doc_id || '.' || ext AS file_name, octet_length(b) AS length, sha256(c) AS digest, CASE ext WHEN 'py' THEN 'python' ELSE 'go' END AS language, "
@@ -221,8 +230,10 @@ def _(spark, sf_dir):
     n = F.col("doc_id")
     text = F.when(n % 7 == 0, F.concat(F.lit("a\0"), "text")).when(n % 7 == 2, F.lit(" \n\t\n")).otherwise(F.col("text"))
     name = F.concat(F.lit("f"), n.cast("string"), F.when(n % 3 == 0, ".go").otherwise(".py"))
-    fx.text_table(spark, sf_dir, "documents").select(text.alias("value"), name.alias("name")).write.partitionBy("name").text(root)
-    found = scan_tree(spark, root, "*.txt").withColumn("path", F.regexp_extract("path", "/name=([^/]+)/", 1))
+    n_files = fx.write_tree(fx.text_table(spark, sf_dir, "documents").select(text.alias("text"), name.alias("name")), root)
+    # Spark deals out files as if each had another 4 MB, so 32 to a task.
+    tasks = max(spark.sparkContext.defaultParallelism, n_files // FILES_IN_TASK)
+    found = scan_tree(spark, root, TREE_FILES).coalesce(tasks).withColumn("path", tree_name("path"))
     gated = corpus.with_gate(corpus.route_language(found).withColumn("digest", F.sha2("content", 256)))
     return gated.select(F.col("path").alias("file_name"), "length", "digest", "language", "gate")
 

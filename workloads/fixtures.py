@@ -7,6 +7,12 @@ through every splitter, pattern and parser, so the work grows with the text of t
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -436,3 +442,49 @@ def deep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("# "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n# ")), F.lit("\ny = "), F.expr("repeat('-', CASE WHEN doc_id % 2 = 1 THEN 20000 ELSE 5 END)"), F.lit("1\n")
     )
     return text_table(spark, sf_dir, "documents").select(_path(".py").alias("path"), text.alias("text"))
+
+
+def _write_folders(root: str, in_folder: int):
+    """Writes each row as a file of its own, some to a folder; a task's folders get their place at once, when all are written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, names, folder = f"{root}/_{uuid.uuid4().hex}", 0, set(), ""
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if n % in_folder == 0 or name in names:
+                    folder, names = f"{own}/{n}", set()
+                    os.makedirs(folder)
+                with open(f"{folder}/{name}", "xb") as file:
+                    file.write(content)
+                names.add(name)
+                n += 1
+        if n:
+            place = f"{root}/{TaskContext.get().partitionId()}"
+            try:
+                os.rename(own, place)
+            except OSError:  # another attempt of this task was first; what begins with _ is not listed
+                if not os.path.isdir(place):
+                    raise
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    return run
+
+
+def write_tree(files: DataFrame, root: str, in_folder: int = 1000) -> int:
+    """Writes each row of ``files`` (name, text) as a file below ``root``, the text with a final LF; gives their number.
+
+    Spark's writer can name folders only, so it takes a folder for each file, which is slow on a
+    disk of this machine or a mounted one; there, tasks write files themselves, ``in_folder`` to
+    a folder.  In other stores a file is ``name=<name>/part-*.txt``.
+    """
+    spark = files.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getScheme() != "file":
+        files.select("text", "name").write.partitionBy("name").text(root)
+        return files.count()
+    folder = system.makeQualified(path).toUri().getPath()
+    os.makedirs(folder)
+    content = F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary")
+    rows = files.select(F.coalesce("name", F.lit("unnamed")).alias("name"), content.alias("content"))
+    return rows.mapInArrow(_write_folders(folder, in_folder), "n long").agg(F.sum("n")).first()[0] or 0
